@@ -102,18 +102,18 @@ def op9_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_OP9 = rf"""
 with d as (
-  select doc_id, list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), x -> x <> '') tokens from documents
+  select doc_id, list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') tokens from documents
 ), b as (
-  select item_id, list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), x -> x <> '') tokens from benchmark
+  select item_id, list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') tokens from benchmark
 ), dt as (
-  select doc_id, len(tokens) n_doc, unnest(tokens) token, generate_subscripts(tokens, 1) - 1 at from d
+  select doc_id, len(tokens) n_doc, unnest(tokens) token, generate_subscripts(tokens, 1) - 1 pos from d
 ), bt as (
-  select item_id, len(tokens) n, unnest(tokens) token, generate_subscripts(tokens, 1) - 1 at from b where len(tokens) >= {min(map(len, MASKS))}
+  select item_id, len(tokens) n, unnest(tokens) token, generate_subscripts(tokens, 1) - 1 pos from b where len(tokens) >= {min(map(len, MASKS))}
 ), same as (
-  select doc_id, item_id, dt.at - bt.at diagonal, bt.at, n, least(n, n_doc - (dt.at - bt.at)) - greatest(0, -(dt.at - bt.at)) fits
+  select doc_id, item_id, dt.pos - bt.pos diagonal, bt.pos, n, least(n, n_doc - (dt.pos - bt.pos)) - greatest(0, -(dt.pos - bt.pos)) fits
   from dt join bt using (token)
 ), counted as (
-  select *, count(*) over (partition by doc_id, item_id, diagonal order by at range between current row and {WINDOW - 1} following) hits from same
+  select *, count(*) over (partition by doc_id, item_id, diagonal order by pos range between current row and {WINDOW - 1} following) hits from same
 )
 select doc_id, item_id, max(hits) n_matched from counted
 where (n >= {WINDOW} and fits >= {WINDOW} and hits >= {MATCHES}) or (n < {WINDOW} and hits = n)

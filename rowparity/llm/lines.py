@@ -173,21 +173,21 @@ with l as (
 ), w as (
   select *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) words from l
 ), p as (
-  select *, row_number() over (partition by doc_id order by nr) at, sum(words) over (partition by doc_id order by nr) upto
+  select *, row_number() over (partition by doc_id order by nr) pos, sum(words) over (partition by doc_id order by nr) upto
   from w where words > 0
 ), runs as (
-  select 'forward' family, a.doc_id, a.at, min(b.at) last from p a join p b
-    on a.doc_id = b.doc_id and b.at between a.at and a.at + {MIN_WORDS - 1} and b.upto - a.upto + a.words >= {MIN_WORDS} group by all
+  select 'forward' family, a.doc_id, a.pos, min(b.pos) last from p a join p b
+    on a.doc_id = b.doc_id and b.pos between a.pos and a.pos + {MIN_WORDS - 1} and b.upto - a.upto + a.words >= {MIN_WORDS} group by all
   union all
-  select 'backward', b.doc_id, max(a.at), b.at from p a join p b
-    on a.doc_id = b.doc_id and a.at between b.at - {MIN_WORDS - 1} and b.at and b.upto - a.upto + a.words >= {MIN_WORDS} group by b.doc_id, b.at
+  select 'backward', b.doc_id, max(a.pos), b.pos from p a join p b
+    on a.doc_id = b.doc_id and a.pos between b.pos - {MIN_WORDS - 1} and b.pos and b.upto - a.upto + a.words >= {MIN_WORDS} group by b.doc_id, b.pos
 ), named as (
-  select r.family, r.doc_id, r.at, r.last, string_agg(p.line, chr(10) order by p.at) body
-  from runs r join p on p.doc_id = r.doc_id and p.at between r.at and r.last group by all
+  select r.family, r.doc_id, r.pos, r.last, string_agg(p.line, chr(10) order by p.pos) body
+  from runs r join p on p.doc_id = r.doc_id and p.pos between r.pos and r.last group by all
 ), later as (
-  select * from (select *, row_number() over (partition by family, body order by doc_id, at) nth from named) where nth > 1
+  select * from (select *, row_number() over (partition by family, body order by doc_id, pos) nth from named) where nth > 1
 ), gone as (
-  select distinct p.doc_id, p.nr from later r join p on p.doc_id = r.doc_id and p.at between r.at and r.last
+  select distinct p.doc_id, p.nr from later r join p on p.doc_id = r.doc_id and p.pos between r.pos and r.last
 )
 select l.doc_id, count(*) n_lines, count(gone.nr) n_removed,
   md5(coalesce(string_agg(l.line, chr(10) order by l.nr) filter (where gone.nr is null), '')) kept_md5

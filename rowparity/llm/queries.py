@@ -30,6 +30,7 @@ select page_id, n payload_bytes, d payload_digest,
   case when first_id is not null and first_id <> page_id then first_id end refers_to
 from q left join best using (d)
 """,
+    "op4_suffix_array_dedup": substrings.ORACLE_OP4,
     "op6_line_runs": lines.ORACLE_OP6,
     "op9_spaced_seeds": decontamination.ORACLE_OP9,
 }

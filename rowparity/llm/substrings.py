@@ -391,3 +391,28 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without strings of 200 bytes that repeat."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return remove_repeats(docs, 200).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+ORACLE_OP4 = """
+with d as (
+  select doc_id, encode(coalesce(text, '')) b, strlen(coalesce(text, '')) n from documents
+), w as (
+  select doc_id, i, md5(b[i + 1 : i + 200]) m from (select doc_id, b, unnest(range(0, n - 199)) i from d where n >= 200)
+), r as (
+  select doc_id, i, true hit from w where m in (select m from w group by m having count(*) > 1)
+), e as (
+  select doc_id, j, hex(b[j + 1 : j + 1]) x from (select doc_id, b, unnest(range(0, n)) j from d)
+), c as (
+  select e.doc_id, j, x, bool_or(hit) over (partition by e.doc_id order by j rows between 199 preceding and current row) is not null gone
+  from e left join r on r.doc_id = e.doc_id and r.i = e.j
+), s as (
+  select *, gone and not coalesce(lag(gone) over (partition by doc_id order by j), false) opens from c
+), g as (
+  select doc_id, count(*) filter (where gone) n_removed, count(*) filter (where opens) n_spans,
+    sha256(unhex(coalesce(string_agg(x, '' order by j) filter (where not gone), ''))) kept_sha256
+  from s group by doc_id
+)
+select d.doc_id, n n_bytes, coalesce(n_removed, 0) n_removed, coalesce(n_spans, 0) n_spans,
+  coalesce(kept_sha256, sha256(unhex(''))) kept_sha256
+from d left join g using (doc_id)
+"""
