@@ -14,10 +14,10 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +30,7 @@ from .shared import written
 #: many pieces share is no single task.
 RANK_PARTS = 256
 #: Words kept with their ids in a Python worker; then it starts afresh.
-WORD_CACHE = 600_000
+WORD_CACHE = 1_000_000
 #: Marks whose ids stand for themselves after a letter.
 CLOSING = (".", ",")
 _cache: dict[str, bytes] = {}
@@ -44,26 +44,56 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=2)
+def _model(path: str):
+    return _tokenizer(path).model
+
+
+def _byte_letters() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: itself where it is printable, else one after 255."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(other)) for b in range(256)]
+
+
+_LETTERS = dict(enumerate(_byte_letters()))
+
+
 def _plain(text: str) -> bool:
-    """Whether str.lower() does what the tokenizer's own lower-casing does."""
+    """Whether str.lower() does what the tokenizer's own lower-casing and composing does."""
     return "<|" not in text and (text.isascii() or max(text) < "ɐ")
 
 
+def _encoded(words: list[str], path: str) -> Iterator[tuple[str, bytes]]:
+    """The ids of each stretch of text without blanks.
+
+    The vocabulary's pieces of a lower-case Latin word are those of its bytes,
+    without the steps that find words in a text.
+    """
+    model, other = _model(path), []
+    for word in words:
+        if word.isalpha() and (word.isascii() or max(word) < "ɐ") and word.islower():
+            letters = word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
+            yield word, array("I", [token.id for token in model.tokenize(letters)]).tobytes()
+        else:
+            other.append(word)
+    for word, code in zip(other, _tokenizer(path).encode_batch_fast(other, add_special_tokens=False), strict=True):
+        yield word, array("I", code.ids).tobytes()
+
+
 def token_bytes(texts: list[str | None], path: str) -> Iterator[bytes]:
     """The little-endian unsigned 32-bit ids of each text, and a closing 0.
 
     The vocabulary's words end at white space, so ids are looked up by the
     stretch between blanks and line ends, and only new stretches are encoded.
     """
-    cache, coder = _cache, _tokenizer(path)
+    cache = _cache
     split = [((t.lower() if _plain(t) else t).replace("\n", " ").split(" ") if t else []) for t in texts]
     if len(cache) > WORD_CACHE:
         cache.clear()
-    new = set().union(*split) - cache.keys()
+    new = set().union(*split).difference(cache)
     closed = {w for w in new if w[-1:] in CLOSING and w[-2:-1].isalpha()}  # a letter and then a mark end two words
-    new = list((new - closed | {w[:-1] for w in closed} | set(CLOSING)) - cache.keys())
-    for word, code in zip(new, coder.encode_batch(new, add_special_tokens=False), strict=True):
-        cache[word] = np.array(code.ids, "<u4").tobytes()
+    cache.update(_encoded(list((new - closed | {w[:-1] for w in closed} | set(CLOSING)).difference(cache)), path))
     for word in closed:
         cache[word] = cache[word[:-1]] + cache[word[-1]]
     for words in split:
