@@ -30,7 +30,7 @@ from .shared import written
 #: many pieces share is no single task.
 RANK_PARTS = 256
 #: Words kept with their ids in a Python worker; then it starts afresh.
-WORD_CACHE = 1_000_000
+WORD_CACHE = 400_000
 #: Marks whose ids stand for themselves after a letter.
 CLOSING = (".", ",")
 _cache: dict[str, bytes] = {}

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words kept with their counts in a Python worker; then it starts afresh.
-WORD_CACHE = 500_000
+WORD_CACHE = 300_000
 
 
 class Automaton:

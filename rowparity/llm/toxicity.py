@@ -25,7 +25,7 @@ POSITIVES, UNLABELLED = 4_000, 16_000
 #: Hash buckets of words.
 BUCKETS = 1 << 20
 #: Words kept with their weights in a Python worker; then it starts afresh.
-WORD_CACHE = 500_000
+WORD_CACHE = 300_000
 MARKS = b".,;:!?\"'()[]{}"
 
 
