@@ -2,7 +2,7 @@
 
 A record ends with two line ends, which the text writer puts between rows as
 its separator; so archives are written inside the JVM to any store that Spark
-can write to.
+can write to.  Files are gzipped as a whole; offsets count unpacked bytes.
 
 Reading doesn't trust the magic string, which a payload may hold as well.
 Tasks emit every place of it as a candidate with the offset of its successor:
@@ -13,6 +13,7 @@ many steps as the logarithm of their number.  The others lie in payloads.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 
 import numpy as np
@@ -85,7 +86,7 @@ def _records(rows: DataFrame) -> DataFrame:
 
 def write_archives(rows: DataFrame, path: str) -> None:
     """Writes rows of ``record_types`` as WARC files below ``path``."""
-    _records(rows).write.option("lineSep", END).option("compression", "none").text(path)
+    _records(rows).write.option("lineSep", END).option("compression", "gzip").text(path)
 
 
 def candidates_of(data: bytes) -> list[tuple[int, int, dict[str, str], int]]:
@@ -153,6 +154,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     def find(batches):
         for batch in batches:
             for file, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
                 found = candidates_of(data)
                 if not found:
                     continue
