@@ -127,7 +127,8 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     names = [c for c in docs.columns if c != "line_dedup"]
     found = repeated_lines(docs, min_words).withColumnsRenamed({"doc_id": "__id", "text_key": "__key", "runs": "__runs"})
     rows = docs.select(*names, F.xxhash64("text").alias("__text_key"))
-    rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left")
+    # always by shuffle: what is removed grows with the corpus
+    rows = rows.join(found.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left")
     rows = rows.withColumn("__lines", F.split(F.col("text").cast("string"), "\n"))
     numbers = F.filter(F.transform("__lines", lambda x, i: F.when(x.rlike(WORD), i)), lambda i: i.isNotNull())
     rows = rows.withColumn("__place", F.when(F.col("__runs").isNotNull(), numbers))
