@@ -153,17 +153,19 @@ def _keyed(nodes: DataFrame) -> DataFrame:
 def linked(nodes: DataFrame, bits: int = 4) -> DataFrame:
     """(node, component) of the different fingerprints in ``nodes`` that have a link.
 
-    First each bucket's members are held against its least and its greatest
-    member.  Buckets that then lie in one component are done, so a large
-    group of near copies makes no pairs within itself; in the others each
-    pair from different components is verified.
+    A bucket of two is verified where it is counted.  Of larger ones, each
+    member is first held against the least and the greatest.  Buckets that
+    then lie in one component are done, so a large group of near copies makes
+    no pairs within itself; in the others each pair from different components
+    is verified.
     """
     keyed = _keyed(nodes)
-    shared = written(keyed.groupBy("key").agg(F.min("fingerprint").alias("low"), F.max("fingerprint").alias("high")).where("low <> high"), "buckets")
-    members = written(keyed.join(shared, "key"), "members")
+    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fingerprint").alias("low"), F.max("fingerprint").alias("high"))
     close = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= bits
-    stars = [members.where(close("fingerprint", end)).select(F.col("fingerprint").alias("a"), F.col(end).alias("b")) for end in ("low", "high")]
-    first = components(stars[0].union(stars[1]))
+    buckets = written(buckets.where((F.col("n") > 2) | ((F.col("n") == 2) & close("low", "high"))), "buckets")
+    members = written(keyed.join(buckets.where("n > 2"), "key"), "members")
+    ends = [members.where(close("fingerprint", end)).select(F.col("fingerprint").alias("a"), F.col(end).alias("b")) for end in ("low", "high")]
+    first = components(buckets.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).union(ends[0]).union(ends[1]))
     named = members.select("key", "fingerprint").join(first.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
     named = written(named.withColumn("component", F.coalesce("component", "fingerprint")), "named")
     mixed = written(named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key"), "mixed")
@@ -172,9 +174,9 @@ def linked(nodes: DataFrame, bits: int = 4) -> DataFrame:
     pairs = open_.withColumnRenamed("fingerprint", "a").join(other, "key").where((F.col("component") < F.col("other")) & close("a", "b"))
     second = components(pairs.select(F.col("component").alias("a"), F.col("other").alias("b")))
     second = second.select(F.col("node").alias("component"), F.col("component").alias("whole"))
-    nodes_first = named.select(F.col("fingerprint").alias("node"), "component").distinct()
-    out = written(nodes_first.join(second, "component", "left").select("node", F.coalesce("whole", "component").alias("component")), "linked")
-    for table in (shared, members, named, mixed, open_):
+    out = first.join(second, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+    out = written(out.union(second.select("component", "whole")).distinct(), "linked")
+    for table in (buckets, members, named, mixed, open_):
         dropped(table)
     return out
 
