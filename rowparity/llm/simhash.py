@@ -1,7 +1,7 @@
 """SimHash near-duplicates, found with Golay-code fuzzy hashing.
 
-A fingerprint's 64 bits are cut into segments of 23, 23 and 18 bits, the last
-padded.  The binary Golay code of length 23 is perfect: a word is within 3
+A fingerprint's 64 bits are cut into segments of 22, 21 and 21 bits, padded to
+23.  The binary Golay code of length 23 is perfect: a word is within 3
 errors of exactly one codeword, and within 4 of five on average.  Where two
 fingerprints differ in at most 4 bits, some two of the segments differ in at
 most 2 bits together.  Then one of these holds for the segments (i, j):
@@ -33,7 +33,7 @@ from .shared import dropped, written
 #: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 generates the binary Golay code.
 GENERATOR = 0b110001110101
 #: Offset and length of the fingerprint's segments.
-SEGMENTS = ((0, 23), (23, 23), (46, 18))
+SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Byte to its bits, one in each byte of a word, the first bit lowest.
 _SPREAD = np.array([sum((b >> (7 - k) & 1) << (8 * k) for k in range(8)) for b in range(256)], np.uint64)
 
@@ -153,25 +153,38 @@ def _keyed(nodes: DataFrame) -> DataFrame:
 def linked(nodes: DataFrame, bits: int = 4) -> DataFrame:
     """(node, component) of the different fingerprints in ``nodes`` that have a link.
 
-    A bucket of two is verified where it is counted.  Of larger ones, each
-    member is first held against the least and the greatest.  Buckets that
-    then lie in one component are done, so a large group of near copies makes
-    no pairs within itself; in the others each pair from different components
-    is verified.
+    A bucket's least and greatest member, by value and by a rotation of it,
+    and the XOR of all, tell all its members if they are few; such buckets are
+    verified where they are counted.  Of larger ones, each member is first
+    held against the least and the greatest.  Buckets that then lie in one
+    component are done, so a large group of near copies makes no pairs within
+    itself; in the others each pair from different components is verified.
     """
     keyed = _keyed(nodes)
-    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fingerprint").alias("low"), F.max("fingerprint").alias("high"))
-    close = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= bits
-    buckets = written(buckets.where((F.col("n") > 2) | ((F.col("n") == 2) & close("low", "high"))), "buckets")
-    members = written(keyed.join(buckets.where("n > 2"), "key"), "members")
-    ends = [members.where(close("fingerprint", end)).select(F.col("fingerprint").alias("a"), F.col(end).alias("b")) for end in ("low", "high")]
-    first = components(buckets.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).union(ends[0]).union(ends[1]))
+    turned = keyed.withColumn("turned", F.shiftleft("fingerprint", 29).bitwiseOR(F.shiftrightunsigned("fingerprint", 35)))
+    back = lambda c: F.shiftrightunsigned(c, 29).bitwiseOR(F.shiftleft(c, 35))
+    close = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= bits
+    buckets = turned.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor("fingerprint").alias("all"),
+        F.min("fingerprint").alias("low"), F.max("fingerprint").alias("high"), F.min("turned").alias("low2"), F.max("turned").alias("high2"),
+    ).where("n > 1")
+    buckets = buckets.withColumn("known", F.array_distinct(F.array("low", "high", back("low2"), back("high2"))))
+    missing = F.aggregate("known", F.col("all"), lambda s, x: s.bitwiseXOR(x))
+    known = F.when(F.size("known") == F.col("n") - 1, F.concat("known", F.array(missing))).otherwise(F.col("known"))
+    buckets = buckets.select("key", "n", "low", "high", known.alias("known")).withColumn("whole", F.size("known") == F.col("n"))
+    pair = lambda x, i: F.transform(F.filter(F.col("known"), lambda y, j: (j > i) & close(x, y)), lambda y: F.struct(x.alias("a"), y.alias("b")))
+    buckets = buckets.withColumn("links", F.when(F.col("whole"), F.flatten(F.transform("known", pair))))
+    buckets = written(buckets.where("not whole or size(links) > 0").select("key", "low", "high", "whole", "links"), "buckets")
+    direct = buckets.where("whole").select(F.explode("links").alias("link")).select("link.a", "link.b")
+    members = written(keyed.join(buckets.where("not whole").select("key", "low", "high"), "key"), "members")
+    ends = [members.where(close(F.col("fingerprint"), F.col(end))).select(F.col("fingerprint").alias("a"), F.col(end).alias("b")) for end in ("low", "high")]
+    first = components(direct.union(ends[0]).union(ends[1]))
     named = members.select("key", "fingerprint").join(first.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
     named = written(named.withColumn("component", F.coalesce("component", "fingerprint")), "named")
     mixed = written(named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key"), "mixed")
     open_ = written(named.join(mixed, "key"), "open")
     other = open_.select("key", F.col("fingerprint").alias("b"), F.col("component").alias("other"))
-    pairs = open_.withColumnRenamed("fingerprint", "a").join(other, "key").where((F.col("component") < F.col("other")) & close("a", "b"))
+    pairs = open_.withColumnRenamed("fingerprint", "a").join(other, "key").where((F.col("component") < F.col("other")) & close(F.col("a"), F.col("b")))
     second = components(pairs.select(F.col("component").alias("a"), F.col("other").alias("b")))
     second = second.select(F.col("node").alias("component"), F.col("component").alias("whole"))
     out = first.join(second, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
