@@ -73,7 +73,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     # only texts with a hit are cut into tokens again
     with_hits = docs.select(*row_key(), "text")
-    with_hits = with_hits.join(found, same_row(with_hits, found)).select(with_hits["doc_id"], with_hits["text_key"], token_hashes("text").alias("tokens"), "hits")
+    with_hits = with_hits.join(found.hint("merge"), same_row(with_hits, found)).select(with_hits["doc_id"], with_hits["text_key"], token_hashes("text").alias("tokens"), "hits")
     pairs = with_hits.select("doc_id", "text_key", "tokens", F.explode("hits").alias("hit")).select("doc_id", "text_key", "tokens", "hit.*")
     pairs = pairs.join(items.withColumnRenamed("tokens", "item_tokens"), "item_id")
     low, high = F.greatest(F.lit(0), -F.col("diagonal")), F.least(F.size("item_tokens"), F.size("tokens") - F.col("diagonal"))
@@ -91,7 +91,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents in which an item is found."""
     bad = written(leaks(docs, benchmark).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct(), "leaks")
     rows = docs.withColumn("__text_key", F.xxhash64("text"))
-    return rows.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left_anti").select(*docs.columns)
+    return rows.join(bad.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left_anti").select(*docs.columns)
 
 
 def op9_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:

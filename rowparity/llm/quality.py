@@ -229,7 +229,7 @@ def keep_good(docs: DataFrame, width: float = WIDTH) -> DataFrame:
     rejected = written(quality(docs, width).where("not kept").select("doc_id", "text_key").distinct(), "rejected")
     rejected = rejected.withColumnsRenamed({"doc_id": "__id", "text_key": "__key"})
     rows = docs.withColumn("__text_key", F.xxhash64("text"))
-    return rows.join(rejected, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left_anti").select(*docs.columns)
+    return rows.join(rejected.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left_anti").select(*docs.columns)
 
 
 def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -222,7 +222,7 @@ def one_of_each(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("text_key").alias("first_key"))
     first = written(first.withColumnRenamed("component_id", "first_id"), "first")
     rows = docs.select("*", F.xxhash64("text").alias("__key"))
-    kept = rows.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("__key") == F.col("first_key")), "left_semi")
+    kept = rows.join(first.hint("merge"), F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("__key") == F.col("first_key")), "left_semi")
     return kept.dropDuplicates(["doc_id", "__key"]).select(*docs.columns)
 
 
