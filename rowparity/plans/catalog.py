@@ -520,7 +520,7 @@ def call_concordance(spark, d):
     return _concordance(spark, d)
 
 
-@query(CALLS + "select "first", "second", case when shared < 20 then 'insufficient calls' when concordance >= 0.98 then 'match' when concordance >= 0.9 then 'possible match' else 'mismatch' end status from p")
+@query(CALLS + "select \"first\", \"second\", case when shared < 20 then 'insufficient calls' when concordance >= 0.98 then 'match' when concordance >= 0.9 then 'possible match' else 'mismatch' end status from p")
 def pair_status(spark, d):
     return _concordance(spark, d).select("first", "second", identity.status(F.col("shared"), F.col("concordance")).alias("status"))
 
