@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.buckets import floor_div
+from ..functions.buckets import floor_div, six_digits
 
 WINDOW = 1_000_000
 
@@ -51,5 +51,5 @@ def top(counts: DataFrame, n: int = 20) -> DataFrame:
 
 def bedgraph(rows: DataFrame, value: str) -> DataFrame:
     """Lines of a bedGraph track, sorted."""
-    text = F.concat_ws(" ", "contig", F.col("start").cast("string"), F.col("end").cast("string"), F.format_string("%.6g", F.col(value).cast("double")))
+    text = F.concat_ws(" ", "contig", F.col("start").cast("string"), F.col("end").cast("string"), six_digits(F.col(value)))
     return rows.orderBy("contig", "start").select(text.alias("value"))
