@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.canon import field_digest, record_digest
+from ..functions.canon import canonical, field_digest, record_digest
 
 #: Residual records of a key that are paired by likeness; beyond it, by the order of their digests.
 NEAREST = 200
@@ -99,7 +99,7 @@ def changes(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str
 
     ranked = rest.where(~by_likeness).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
     ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy(*keys, "side").orderBy("digest", "copy")))
-    sides = [F.max(F.when(F.col("side") == s, F.struct(*others, F.lit(True).alias("present")))).alias(s) for s in ("left", "right")]
+    sides = [F.first(F.when(F.col("side") == s, F.struct(*others, F.lit(True).alias("present"))), ignorenulls=True).alias(s) for s in ("left", "right")]
     paired = ranked.groupBy(*keys, "place").agg(*sides)
     status = F.when(F.col("left").isNotNull() & F.col("right").isNotNull(), "modified").when(F.col("left").isNotNull(), "left_only").otherwise("right_only")
     paired = paired.select(*keys, status.alias("status"), *(F.col(f"left.{f}").alias(f"{f}_before") for f in others), *(F.col(f"right.{f}").alias(f"{f}_after") for f in others))
@@ -118,9 +118,17 @@ def changed(field: str) -> Column:
     return ~F.col(f"{field}_before").eqNullSafe(F.col(f"{field}_after"))
 
 
+def differs(found: DataFrame, field: str) -> Column:
+    """As ``changed``, also for types without an order, such as maps."""
+    kind = found.schema[f"{field}_before"].dataType
+    if "map<" not in kind.simpleString():
+        return changed(field)
+    return canonical(F.col(f"{field}_before"), kind) != canonical(F.col(f"{field}_after"), kind)
+
+
 def field_changes(found: DataFrame, fields: list[str]) -> DataFrame:
     """(field, n): in how many modified pairs each field differs; fields that never do are absent."""
-    names = F.explode(F.filter(F.array(*(F.when(changed(f), F.lit(f)) for f in fields)), lambda x: x.isNotNull()))
+    names = F.explode(F.filter(F.array(*(F.when(differs(found, f), F.lit(f)) for f in fields)), lambda x: x.isNotNull()))
     return found.where("status = 'modified'").select(names.alias("field")).groupBy("field").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -144,7 +152,7 @@ def map_transitions(name: str, before: Column, after: Column) -> Column:
 
 def ledger(found: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     """(status, identity, changed_fields, first, second) as text, for a difference table."""
-    names = F.array_join(F.filter(F.array(*(F.when(changed(f), F.lit(f)) for f in fields)), lambda x: x.isNotNull()), ",")
+    names = F.array_join(F.filter(F.array(*(F.when(differs(found, f), F.lit(f)) for f in fields)), lambda x: x.isNotNull()), ",")
     text = lambda suffix: F.concat_ws("|", *(F.coalesce(F.col(f"{f}_{suffix}").cast("string"), F.lit("null")) for f in fields))
     return found.select(
         "status",
