@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 #: Most training texts of each kind.
 POSITIVES, UNLABELLED = 4_000, 16_000
+#: How far, in log odds, scores may be shifted so that the prior's share of the unlabelled texts lies above one half.
+MOST_SHIFT = 1.25
 #: Hash buckets of words.
 BUCKETS = 1 << 20
 #: Words kept with their weights in a Python worker; then it starts afresh.
@@ -92,6 +94,9 @@ def fit(positive, unlabelled, prior: float, steps: int = 200, rate: float = 0.05
         move = rate * m / (1 - 0.9**step) / scale
         w, bias = w - move[:-1], bias - float(move[-1])
         w = np.sign(w) * np.maximum(np.abs(w) - rate * lasso / scale[:-1], 0)
+    # the lasso shrinks scores; the prior says how many unlabelled texts lie above 0
+    z = np.bincount(ru, w[xu], n_unlabelled) + bias
+    bias -= float(np.clip(np.quantile(z, 1 - prior), -MOST_SHIFT, MOST_SHIFT))
     weights[used] = w
     return weights, bias
 
