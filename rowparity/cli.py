@@ -1,4 +1,4 @@
-"""Command line: ``python -m rowparity compare|batch|baseline|matrix ...``.
+"""Command line: ``python -m rowparity compare|batch|baseline-create|baseline-check|matrix|identity|manifest ...``.
 
 Exit codes: 0 equivalent or passed, 1 different or failed, 2 an error.
 """
@@ -8,6 +8,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from collections import Counter
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,7 @@ from . import artifacts, report
 from .batch import run as run_batch
 from .compare import compare, labels
 from .functions.canon import record_digest
-from .operators import baseline, matrix, policy
+from .operators import baseline, identity, matrix, policy
 from .sources import bam, manifest, vcf
 
 
@@ -64,6 +65,9 @@ def _parser() -> argparse.ArgumentParser:
     many.add_argument("--output", help="a folder for all reports")
     for name, paths in (("create", ("manifest", "baseline")), ("check", ("manifest", "baseline"))):
         command(f"baseline-{name}", *paths)
+    same = command("identity", "first", "second")
+    same.add_argument("--json")
+    command("manifest", "before", "after", "output")
     grid = command("matrix")
     grid.add_argument("paths", nargs="+")
     return parser
@@ -145,4 +149,31 @@ def _matrix(spark: SparkSession, o: argparse.Namespace) -> int:
     return 0
 
 
-_COMMANDS = {"compare": _compare, "batch": _batch, "baseline-create": _create, "baseline-check": _check, "matrix": _matrix}
+def _identity(spark: SparkSession, o: argparse.Namespace) -> int:
+    calls = [identity.genotype_calls(vcf.genotypes(vcf.read(spark, p))) for p in (o.first, o.second)]
+    pairs = identity.concordance(*calls).withColumn("status", identity.status(F.col("shared"), F.col("concordance"))).persist()
+    best = identity.best_matches(pairs)
+    for r in best:
+        print(f"{r['first']}\t{r['second']}\t{r['shared']:,} shared\t{r['concordance']:.1%}\t{r['status']}")
+    if o.json:
+        artifacts.write_text(o.json, json.dumps([r.asDict() for r in best], indent=2), o.force)
+    return int(not best or any(r["status"] not in ("match", "possible match") for r in best))
+
+
+def _manifest(spark: SparkSession, o: argparse.Namespace) -> int:
+    sides = []
+    for root in (o.before, o.after):
+        names = sorted(str(p.relative_to(root)) for p in Path(root).rglob("*") if p.name.lower().endswith(manifest.SUFFIXES))
+        sides.append(spark.createDataFrame([(n,) for n in names], "path string"))
+    rows = manifest.pair(*sides).orderBy("path").collect()
+    if missing := [f"{r['path']} ({r['status']})" for r in rows if r["status"] != "paired"]:
+        raise ValueError(f"unpaired files: {', '.join(missing[:10])}")
+    twice = [k for k, n in Counter((r["sample"], r["stage"]) for r in rows).items() if n > 1]
+    if twice:
+        raise ValueError(f"duplicate sample and stage: {', '.join(twice[0])}")
+    lines = ["\t".join(manifest.REQUIRED), *("\t".join([r["sample"], r["stage"], *(str(Path(side).resolve() / r["path"]) for side in (o.before, o.after))]) for r in rows)]
+    artifacts.write_text(o.output, "\n".join(lines) + "\n", o.force)
+    return 0
+
+
+_COMMANDS = {"identity": _identity, "manifest": _manifest, "compare": _compare, "batch": _batch, "baseline-create": _create, "baseline-check": _check, "matrix": _matrix}

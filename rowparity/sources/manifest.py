@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REQUIRED = ("sample", "stage", "before", "after")
+SUFFIXES = (".vcf.gz", ".vcf.bgz", ".vcf", ".bcf", ".bam", ".cram", ".parquet", ".csv")
 OPTIONAL = ("profile", "reference", "normalize")
 
 
@@ -28,6 +29,6 @@ def pair(before: DataFrame, after: DataFrame) -> DataFrame:
     """(path, sample, stage, status) of two listings (path) of relative paths "stage/sample.suffix"."""
     a, b = before.select("path", F.lit(True).alias("in_before")), after.select("path", F.lit(True).alias("in_after"))
     both = a.join(b, "path", "fullouter")
-    name = F.regexp_replace(F.substring_index("path", "/", -1), r"\.(vcf\.gz|vcf\.bgz|vcf|bcf|bam|cram|parquet|csv)$", "")
+    name = F.regexp_replace(F.substring_index("path", "/", -1), rf"({'|'.join(x.replace('.', '[.]') for x in SUFFIXES)})$", "")
     status = F.when(F.col("in_after").isNull(), "missing after").when(F.col("in_before").isNull(), "missing before").otherwise("paired")
     return both.select("path", name.alias("sample"), F.split_part("path", F.lit("/"), F.lit(1)).alias("stage"), status.alias("status"))

@@ -47,6 +47,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def genotypes(records: DataFrame) -> DataFrame:
+    """Records (contig, pos, alleles, samples) with samples as maps of names to allele numbers; null where one is missing."""
+    numbers = lambda gt: F.transform(F.split(gt, r"[/|]"), lambda x: x.try_cast("int"))
+    calls = F.transform_values("samples", lambda _, s: numbers(F.coalesce(F.element_at(s["values"], "GT"), F.lit("."))))
+    return records.select("contig", "pos", "alleles", calls.alias("samples"))
+
+
 def split_alleles(records: DataFrame) -> DataFrame:
     """A row for each alternate allele."""
     return records.select(*(c for c in records.columns if c != "alleles"), F.explode(F.slice("alleles", 2, F.size("alleles"))).alias("alt"), F.col("alleles")[0].alias("ref")).withColumn("alleles", F.array("ref", "alt")).drop("ref", "alt")

@@ -55,6 +55,22 @@ def test_baseline_and_matrix(spark, tree, capsys):
     assert "0.500" in capsys.readouterr().out
 
 
+def test_identity_and_manifest(spark, tree, capsys):
+    calls = ["0/1", "1|1", "0/0"] * 10
+    one, two = vcf(tree / "x.vcf", *calls), vcf(tree / "y.vcf", *(c.replace("|", "/") for c in calls))
+    assert main(["identity", one, two], spark) == 0
+    assert "30 shared\t100.0%\tmatch" in capsys.readouterr().out
+    assert main(["identity", one, vcf(tree / "z.vcf", *["0/0"] * 30)], spark) == 1
+    for side in ("before", "after"):
+        (tree / side / "calls").mkdir(parents=True)
+        vcf(tree / side / "calls" / "s1.vcf", "0/1")
+    args = ["manifest", str(tree / "before"), str(tree / "after"), str(tree / "new.tsv")]
+    assert main(args, spark) == 0 and (tree / "new.tsv").read_text().split("\n")[1].startswith("s1\tcalls\t")
+    assert main(["batch", str(tree / "new.tsv")], spark) == 0
+    vcf(tree / "before" / "calls" / "s2.vcf", "0/1")
+    assert main([*args, "--force"], spark) == 2 and "missing after" in capsys.readouterr().err
+
+
 def test_workspaces(tmp_path):
     target = tmp_path / "out"
     with artifacts.workspace(str(target)) as folder:
