@@ -166,3 +166,14 @@ def ledger(found: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
 def write_ledger(table: DataFrame, path: str, force: bool = False, compression: str = "none") -> None:
     """Writes a ledger as tab-separated text; refuses to replace one without ``force``."""
     table.write.mode("overwrite" if force else "error").option("sep", "\t").option("header", True).option("compression", compression).csv(path)
+
+
+def write_changes(found: DataFrame, keys: list[str], fields: list[str], path: str) -> None:
+    """Writes the records behind ``changes`` as four Parquet tables below ``path``, in the columns of the source.
+
+    only-in-first, only-in-second, modified-first and modified-second.
+    """
+    found = found.persist()
+    for status, suffix, name in (("left_only", "before", "only-in-first"), ("right_only", "after", "only-in-second"), ("modified", "before", "modified-first"), ("modified", "after", "modified-second")):
+        found.where(F.col("status") == status).select(*keys, *(F.col(f"{f}_{suffix}").alias(f) for f in fields)).write.parquet(f"{path}/{name}")
+    found.unpersist()

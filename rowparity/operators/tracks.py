@@ -53,3 +53,24 @@ def bedgraph(rows: DataFrame, value: str) -> DataFrame:
     """Lines of a bedGraph track, sorted."""
     text = F.concat_ws(" ", "contig", F.col("start").cast("string"), F.col("end").cast("string"), six_digits(F.col(value)))
     return rows.orderBy("contig", "start").select(text.alias("value"))
+
+
+def write_tracks(counts: DataFrame, path: str, width: int = WINDOW, lengths: DataFrame | None = None) -> None:
+    """Writes the tracks of ``windows`` below ``path``: density, rate and coverage as bedGraph, and a summary by contig.
+
+    The rate is at most 1, the density counts changes.  A track has a line
+    for each window, so it is sorted into one file.
+    """
+    rows = density(counts, width, lengths)
+    rows = rows.withColumns({"rate": F.least(F.lit(1.0), "fraction"), "density": F.col("changes").cast("double")})
+    for value in ("density", "rate", "coverage_log2"):
+        bedgraph(rows, value).coalesce(1).write.text(f"{path}/{value}.bedGraph")
+    contigs(counts).orderBy(F.desc("changes"), "contig").coalesce(1).write.option("sep", "\t").option("header", True).csv(f"{path}/contig-summary.tsv")
+
+
+def igv_batch(places: list[tuple[str, int]], files: list[str], genome: str, reach: int = 100) -> str:
+    """A script for a genome browser that visits each place (from 0); without places it raises."""
+    if not places:
+        raise ValueError("no places to visit")
+    lines = ["new", f"genome {genome}", *(f"load {f}" for f in files)]
+    return "\n".join([*lines, *(f"goto {c}:{max(1, p + 1 - reach)}-{p + 1 + reach}" for c, p in places)]) + "\n"

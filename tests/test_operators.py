@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rowparity.functions import buckets
-from rowparity.operators import baseline, fingerprint, headers, identity, matrix, metrics, policy, regions, sketch, tracks
+from rowparity.operators import baseline, fingerprint, headers, identity, match, matrix, metrics, policy, regions, sketch, tracks
 from rowparity.sources import manifest, vcf
 from rowparity.streaming import fingerprint as stream
 
@@ -45,6 +45,22 @@ def test_windows(spark):
     assert [r.value for r in tracks.bedgraph(tracks.density(counts), "fraction").collect()] == ["a 0 1000000 0.25"]
 
 
+def test_written_tracks_and_changes(spark, tmp_path):
+    place = lambda rows: spark.createDataFrame(rows, "contig string, position long")
+    counts = tracks.windows(place([("chr1", 9)]), place([("chr1", 9)]), place([("chr1", 9)] * 3))
+    tracks.write_tracks(counts, str(tmp_path / "t"), lengths=spark.createDataFrame([("chr1", 1000)], "contig string, length long"))
+    line = lambda name: [r.value for r in spark.read.text(str(tmp_path / "t" / f"{name}.bedGraph")).collect()]
+    assert (line("density"), line("rate"), line("coverage_log2")) == (["chr1 0 1000 3"], ["chr1 0 1000 1"], ["chr1 0 1000 0"])
+    assert spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "t" / "contig-summary.tsv")).first().contig == "chr1"
+    assert tracks.igv_batch([("chr1", 9)], ["a.bam"], "hg38") == "new\ngenome hg38\nload a.bam\ngoto chr1:1-110\n"
+    with pytest.raises(ValueError):
+        tracks.igv_batch([], [], "hg38")
+    a, b = spark.createDataFrame([(1, "x"), (2, "y"), (4, "s")], "k int, v string"), spark.createDataFrame([(1, "z"), (3, "w"), (4, "s")], "k int, v string")
+    match.write_changes(match.changes(a, b, ["k"], ["k", "v"]), ["k"], ["v"], str(tmp_path / "c"))
+    read = lambda name: [tuple(r) for r in spark.read.parquet(str(tmp_path / "c" / name)).collect()]
+    assert [read(n) for n in ("only-in-first", "only-in-second", "modified-first", "modified-second")] == [[(2, "y")], [(3, "w")], [(1, "x")], [(1, "z")]]
+
+
 def test_distributions(spark):
     hist = spark.createDataFrame([("m", 0.0, 3), ("m", 10.0, 1), ("e", 5.0, 2), ("e", 7.0, 2)], "metric string, bucket double, n long")
     other = spark.createDataFrame([("m", 0.0, 1), ("m", 10.0, 1)], "metric string, bucket double, n long")
