@@ -10,6 +10,7 @@ import re
 import shutil
 import tempfile
 from collections.abc import Iterator
+from datetime import datetime, timezone
 from pathlib import Path
 
 MARK = "manifest.json"
@@ -80,3 +81,22 @@ def write_text(path: str, text: str, force: bool = False) -> None:
         os.replace(name, place)
     finally:
         Path(name).unlink(missing_ok=True)
+
+
+def checksum(path: str, block: int = 1 << 20) -> str:
+    """The SHA-256 of a file, or of the names and files of a folder."""
+    digest, root = hashlib.sha256(), Path(path)
+    for p in sorted(root.rglob("*")) if root.is_dir() else [root]:
+        if p.is_file():
+            digest.update(str(p.relative_to(root)).encode() if p != root else b"")
+            with p.open("rb") as source:
+                while data := source.read(block):
+                    digest.update(data)
+    return digest.hexdigest()
+
+
+def reproducibility(result: dict, arguments: list[str], inputs: list[str], reference: str | None, seconds: float) -> str:
+    """What another run needs to be the same: the command, the checksums and the result."""
+    named = lambda p: {"path": str(Path(p).resolve()), "sha256": checksum(p)}
+    values = {"format": 1, "generated_utc": datetime.now(timezone.utc).isoformat(), "command": ["rowparity", *arguments], "duration_seconds": round(seconds, 6)}
+    return json.dumps(values | {"inputs": [named(p) for p in inputs], "reference": named(reference) if reference else None, "comparison": result}, indent=2, sort_keys=True)

@@ -11,7 +11,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .compare import Comparison, compare
+from .compare import Comparison
+from .inputs import Pair
 from .operators import policy as policies
 
 
@@ -70,10 +71,12 @@ def judge(spark: SparkSession, result: Comparison, policy: policies.Policy) -> t
 
 
 def run(
-    spark: SparkSession, entries: list[dict], keys: list[str], load: Callable[[SparkSession, str], DataFrame], fields: list[str] | None = None,
-    base: policies.Policy | None = None, document: policies.Document | None = None, at_once: int = 4,
+    spark: SparkSession, entries: list[dict], pair: Callable[[dict], Pair],
+    base: policies.Policy | None = None, document: policies.Document | None = None, at_once: int = 4, use: Callable[[dict, Pair, DataFrame], None] | None = None,
 ) -> Batch:
-    """Compares each entry's before and after; the jobs of ``at_once`` entries share the cluster.
+    """Compares each entry's before and after as ``pair`` gives them; the jobs of ``at_once`` entries share the cluster.
+
+    ``use`` is called with the changes of each entry.
 
     An entry that fails raises with its sample and stage.
     """
@@ -82,8 +85,9 @@ def run(
         began = time.monotonic()
         sample, stage = entry["sample"], entry["stage"]
         try:
-            result = compare(load(spark, entry["before"]), load(spark, entry["after"]), keys, fields, explain=True)
-            policy, rules = policies.resolve(base or policies.Policy(), document, sample=sample, stage=stage, profile=entry.get("profile") or "")
+            both = pair(entry)
+            result = both.compare(use=(lambda found: use(entry, both, found)) if use else None)
+            policy, rules = policies.resolve(base or policies.Policy(), document, sample=sample, stage=stage, kind=both.kind or "table", profile=entry.get("profile") or "strict")
             violations, passed = judge(spark, result, policy)
         except Exception as e:
             raise RuntimeError(f"{sample} / {stage}: {e}") from e

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -63,16 +64,20 @@ def labels(first: str, second: str) -> tuple[str, str]:
 def compare(
     left: DataFrame, right: DataFrame, keys: list[str], fields: list[str] | None = None, explain: bool = False,
     transitions: list[Column] | None = None, names: tuple[str, str] = ("first", "second"),
+    labels: Callable[[DataFrame], Column] | None = None, structure: list[str] | None = None, use: Callable[[DataFrame], None] | None = None,
 ) -> Comparison:
     """Compares two tables by ``keys`` over ``fields`` (all shared columns).
 
     Equal fingerprints end the work: all records are identical and nothing is
     matched.  Fields of one side alone, or of another type, are differences
-    of structure.
+    of structure, unless ``structure`` names those.  ``labels`` makes an array
+    of transitions from the changes, instead of ``transitions``; ``use`` is
+    called with the changes before they are let go.
     """
     shared = [c for c in left.columns if c in right.columns]
     fields = fields or shared
-    structure = headers.messages("Columns", headers.differences(headers.schema_rows(left), headers.schema_rows(right)))
+    if structure is None:
+        structure = headers.messages("Columns", headers.differences(headers.schema_rows(left), headers.schema_rows(right)))
     verdict = {r["name"]: r["equal"] for r in fingerprint.compare(left, right, fields).collect()}
     equal = verdict.pop("record")
     identity = [sketch.kmv(df.select(record_digest(df, keys).alias("h"))) for df in (left, right)]
@@ -84,13 +89,17 @@ def compare(
     out = Comparison(*names, n_left, n_right, equal, not structure, [f for f in fields if not verdict[f]], overlap, similarity, relation, structure=structure)
     if explain and equal:
         out.identical, out.modified, out.left_only, out.right_only = n_left, 0, 0, 0
+        if use:
+            use(match.changes(left, right, keys, fields))
     elif explain:
         out.identical, out.modified, out.left_only, out.right_only = match.totals(left, right, keys, fields).first()
         found = match.changes(left, right, keys, fields).persist()
         others = [f for f in fields if f not in keys]
         out.field_changes = {r["field"]: r["n"] for r in match.field_changes(found, others).collect()}
-        moves = transitions if transitions is not None else [F.when(match.differs(found, f), F.lit(f"{f.replace('_', ' ')} changed")) for f in others]
-        if moves:
+        moves = labels(found) if labels else transitions if transitions is not None else [F.when(match.differs(found, f), F.lit(f"{f.replace('_', ' ')} changed")) for f in others]
+        if labels or moves:
             out.transitions = {r["label"]: r["n"] for r in match.transitions(found, moves).orderBy(F.desc("n"), "label").limit(100).collect()}
+        if use:
+            use(found)
         found.unpersist()
     return out

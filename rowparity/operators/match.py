@@ -132,9 +132,9 @@ def field_changes(found: DataFrame, fields: list[str]) -> DataFrame:
     return found.where("status = 'modified'").select(names.alias("field")).groupBy("field").agg(F.count(F.lit(1)).alias("n"))
 
 
-def transitions(found: DataFrame, labels: list[Column]) -> DataFrame:
-    """(label, n) of the labels, null where there is no change, over the modified pairs."""
-    names = F.explode(F.filter(F.array(*labels), lambda x: x.isNotNull()))
+def transitions(found: DataFrame, labels: list[Column] | Column) -> DataFrame:
+    """(label, n) of the labels, null where there is no change, over the modified pairs; one column is an array of them."""
+    names = F.explode(F.filter(labels if isinstance(labels, Column) else F.array(*labels), lambda x: x.isNotNull()))
     return found.where("status = 'modified'").select(names.alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 

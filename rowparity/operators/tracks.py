@@ -74,3 +74,13 @@ def igv_batch(places: list[tuple[str, int]], files: list[str], genome: str, reac
         raise ValueError("no places to visit")
     lines = ["new", f"genome {genome}", *(f"load {f}" for f in files)]
     return "\n".join([*lines, *(f"goto {c}:{max(1, p + 1 - reach)}-{p + 1 + reach}" for c, p in places)]) + "\n"
+
+
+def bed(places: DataFrame) -> DataFrame:
+    """(value): lines of a BED track with the number of changes of a status at each place, sorted.
+
+    ``places`` has contig, position and status.
+    """
+    counts = places.where("contig is not null and position >= 0").groupBy("contig", "position", "status").agg(F.count(F.lit(1)).alias("n"))
+    text = F.concat_ws("\t", "contig", F.col("position").cast("string"), (F.col("position") + 1).cast("string"), F.concat("status", F.lit(";x"), F.col("n").cast("string")))
+    return counts.orderBy("contig", "position", "status").select(text.alias("value"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+from collections import Counter
 from html import escape
 from xml.sax.saxutils import quoteattr
 
@@ -54,9 +56,51 @@ def html(result: Comparison) -> str:
     """A page that needs no other file."""
     counts = _table(["identical", "modified", "only in first", "only in second"], [[result.identical, result.modified, result.left_only, result.right_only]])
     body = "".join(f"<p>{escape(x)}</p>" for x in findings(result)) + counts + _table(["field", "changes"], [list(x) for x in result.field_changes.items()])
+    states, cells = transition_matrix(result)
+    if states:
+        body += _table(["from \\ to", *states], [[s, *row] for s, row in zip(states, cells, strict=True)])
     return _page(f"{result.first} and {result.second}", body + _table(["change", "records"], [list(x) for x in list(result.transitions.items())[:50]]))
 
 
+def svg(result: Comparison, most: int = 12) -> str:
+    """A figure: the counts, and a bar for each of the ``most`` frequent changes, else fields."""
+    bars = list((result.transitions or result.field_changes).items())[:most]
+    top = max([n for _, n in bars], default=1)
+    width, row, first = 900, 26, 110
+    height = first + row * max(1, len(bars)) + 20
+    out = [f'<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 {width} {height}" font-family="sans-serif" font-size="14"><rect width="{width}" height="{height}" fill="white"/>']
+    say = lambda x, y, text, more="": out.append(f'<text x="{x}" y="{y}"{more}>{escape(text)}</text>')
+    say(20, 34, f"{result.first} and {result.second}: {result.relation}", ' font-size="18"')
+    counts = "not matched" if result.identical is None else f"identical {result.identical:,}, modified {result.modified:,}, only in first {result.left_only:,}, only in second {result.right_only:,}"
+    say(20, 60, f"records {result.n_left:,} and {result.n_right:,}; {counts}")
+    say(20, 84, f"overlap {result.overlap:.1%}, similarity {result.similarity:.1%}")
+    for k, (label, n) in enumerate(bars):
+        y = first + k * row
+        say(20, y + 15, label if len(label) <= 44 else label[:43] + "…")
+        out.append(f'<rect x="380" y="{y}" width="{max(1, round(420 * n / top))}" height="18" fill="#4a6fa5"/>')
+        say(390 + round(420 * n / top), y + 14, f"{n:,}")
+    if not bars:
+        say(20, first + 15, "No changes to show.")
+    return "".join([*out, "</svg>"])
+
+
+def transition_matrix(result: Comparison, most: int = 8) -> tuple[list[str], list[list[int]]]:
+    """States and the counts of moves between the ``most`` frequent: of genotypes, else of mapping qualities."""
+    for kind in (r"genotype .*", "MAPQ"):
+        moves = [(m[1], m[2], n) for label, n in result.transitions.items() if (m := re.fullmatch(rf"{kind}: (.+?) → (.+)", label))]
+        if moves:
+            weight = Counter()
+            for a, b, n in moves:
+                weight.update({a: n})
+                weight.update({b: n})
+            states = [s for s, _ in sorted(weight.items(), key=lambda x: (-x[1], x[0]))[:most]]
+            cells = Counter()
+            for a, b, n in moves:
+                cells[a, b] += n
+            return states, [[cells[a, b] for b in states] for a in states]
+    return [], []
+
+
 def batch_text(batch: Batch) -> str:
     lines = [f"{'pass' if batch.passed else 'fail'}: {sum(i.passed for i in batch.items)} of {len(batch.items)} comparisons"]
     for item in batch.items:
@@ -72,6 +116,13 @@ def batch_html(batch: Batch) -> str:
     return _page("Batch", _table(["sample", *stages, "first difference"], grid) + _table(["change", "records"], [list(x) for x in list(batch.transitions.items())[:20]]))
 
 
+def matrix_html(names: list[str], rows: list[list[float]], outliers: list[str]) -> str:
+    """A heat table of similarities, in the order of ``names``."""
+    cell = lambda v: f"<td style='background:rgba(74,111,165,{v:.3f})'>{v:.3f}</td>"
+    body = "".join(f"<tr><th>{escape(n)}{' (outlier)' if n in outliers else ''}</th>{''.join(map(cell, row))}</tr>" for n, row in zip(names, rows, strict=True))
+    return _page("Similarity", f"<table><tr><th></th>{''.join(f'<th>{escape(n)}</th>' for n in names)}</tr>{body}</table>")
+
+
 def junit(batch: Batch) -> str:
     """A test case for each comparison."""
     cases = []

@@ -1,19 +1,23 @@
-"""BAM files as tables, by a Python data source.
+"""BAM files as tables and back, by a Python data source.
 
 A file is one partition, read as a stream of its BGZF members in bounded
-memory; repartition what is read.  Paths are those that pyarrow's file systems
-know (local, HDFS, S3).
+memory; repartition what is read.  Written are the partitions as parts beside
+the target, which the driver joins, as BGZF members can be, when all tasks are
+done; what a lost or repeated task wrote is left out.  Paths are those that
+pyarrow's file systems know (local, HDFS, S3).
 """
 
 from __future__ import annotations
 
+import json
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 SCHEMA = (
     "read_name string, flags int, reference string, position long, mapping_quality int, cigar array<struct<op:int,len:int>>,"
@@ -24,6 +28,8 @@ BATCH = 2_000
 # fixed values of the format: bases by their 4-bit code, and the sizes of numeric tags
 BASES = "=ACMGRSVTWYHKDBN"
 NUMBERS = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
+#: Bytes of a BGZF member before it is packed, and of a copy between files.
+MEMBER, COPY = 0xFF00, 1 << 22
 
 
 class _Stream:
@@ -47,10 +53,14 @@ class _Stream:
         return out
 
 
-def _open(path: str):
+def _system(path: str):
     from pyarrow import fs
 
-    system, place = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("/") else (fs.LocalFileSystem(), path)
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("/") else (fs.LocalFileSystem(), path)
+
+
+def _open(path: str):
+    system, place = _system(path)
     return system.open_input_stream(place, compression=None)
 
 
@@ -119,6 +129,116 @@ def records(path: str) -> Iterator[dict]:
             yield record(data, names)
 
 
+def packed(data: bytes) -> bytes:
+    """One BGZF member."""
+    squeeze = zlib.compressobj(6, zlib.DEFLATED, -15)
+    body = squeeze.compress(data) + squeeze.flush()
+    head = struct.pack("<4BIBBH2sHH", 31, 139, 8, 4, 0, 0, 255, 6, b"BC", 2, len(body) + 25)
+    return head + body + struct.pack("<II", zlib.crc32(data), len(data))
+
+
+def _bin(start: int, end: int) -> int:
+    """The smallest bin of the format's five-level index that holds [start, end)."""
+    for level in range(5, 0, -1):
+        shift = 29 - 3 * level
+        if start >> shift == (end - 1) >> shift:
+            return ((1 << 3 * level) - 1) // 7 + (start >> shift)
+    return 0
+
+
+def _tag(name: str, kind: str, value: str) -> bytes:
+    head = name.encode() + kind.encode()
+    if kind == "A":
+        return head + value.encode()
+    if kind == "i":
+        n = int(value)
+        return name.encode() + (b"i" + struct.pack("<i", n) if n < 1 << 31 else b"I" + struct.pack("<I", n))
+    if kind == "f":
+        return head + struct.pack("<f", float(value))
+    if kind == "B":
+        one, *values = value.split(",")
+        number = float if one == "f" else int
+        return head + one.encode() + struct.pack(f"<i{len(values)}{NUMBERS[one]}", len(values), *map(number, values))
+    return head + value.encode() + b"\0"
+
+
+def encoded(row: dict, numbers: dict[str, int]) -> bytes:
+    """One record with its size; ``numbers`` has each reference's place in the header."""
+    name = (row["read_name"] or "*").encode() + b"\0"
+    ops = [(c["len"], c["op"]) for c in row["cigar"] or []]
+    bases, mate = row["sequence"] or "", row["mate"]
+    codes = [BASES.index(b) if b in BASES else 15 for b in bases.upper()] + [0] * (len(bases) % 2)
+    span = max(1, sum(n for n, op in ops if op in (0, 2, 3, 7, 8)))
+    place = lambda r: -1 if r is None else numbers[r]
+    start = row["position"]
+    body = struct.pack(
+        "<iiBBHHHiiii", place(row["reference"]), start, len(name), row["mapping_quality"], _bin(start, start + span) if start >= 0 else 4680,
+        len(ops), row["flags"], len(bases), place(mate["reference"]), mate["position"], row["template_length"],
+    )
+    body += name + b"".join(struct.pack("<I", n << 4 | op) for n, op in ops) + bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2], strict=True))
+    body += bytes(row["qualities"]) if row["qualities"] else b"\xff" * len(bases)
+    body += b"".join(_tag(k, v["type"], v["value"]) for k, v in sorted((row["tags"] or {}).items()))
+    return struct.pack("<i", len(body)) + body
+
+
+class _Part(WriterCommitMessage):
+    def __init__(self, partition: int, path: str):
+        self.partition, self.path = partition, path
+
+
+class BamWriter(DataSourceWriter):
+    """Writes each partition as a part of members; ``commit`` joins them behind the header."""
+
+    def __init__(self, path: str, text: str, references: list[tuple[str, int]], overwrite: bool):
+        self.path, self.text, self.references, self.overwrite = path, text, references, overwrite
+        self.parts = f"{path}.parts-{uuid.uuid4().hex}"
+
+    def write(self, iterator) -> _Part:
+        from pyspark import TaskContext
+
+        numbers = {name: k for k, (name, _) in enumerate(self.references)}
+        system, folder = _system(self.parts)
+        system.create_dir(folder, recursive=True)
+        place = f"{folder}/{uuid.uuid4().hex}"
+        held = bytearray()
+        with system.open_output_stream(place) as out:
+            for row in iterator:
+                held += encoded(row.asDict(recursive=True), numbers)
+                while len(held) >= MEMBER:
+                    out.write(packed(bytes(held[:MEMBER])))
+                    del held[:MEMBER]
+            if held:
+                out.write(packed(bytes(held)))
+        return _Part(TaskContext.get().partitionId(), place)
+
+    def commit(self, messages) -> None:
+        system, place = _system(self.path)
+        text = self.text.encode()
+        head = b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(self.references))
+        for name, length in self.references:
+            head += struct.pack("<i", len(name) + 1) + name.encode() + b"\0" + struct.pack("<i", length)
+        private = f"{place}.{uuid.uuid4().hex}"
+        with system.open_output_stream(private) as out:
+            for k in range(0, len(head), MEMBER):
+                out.write(packed(head[k : k + MEMBER]))
+            for part in sorted((m for m in messages if m), key=lambda m: m.partition):
+                with system.open_input_stream(part.path, compression=None) as raw:
+                    while data := raw.read(COPY):
+                        out.write(data)
+            out.write(packed(b""))
+        if not self.overwrite and system.get_file_info(place).type.name != "NotFound":
+            system.delete_file(private)
+            self.abort(messages)
+            raise FileExistsError(f"{self.path} exists")
+        system.move(private, place)
+        self.abort(messages)
+
+    def abort(self, messages) -> None:
+        system, folder = _system(self.parts)
+        if system.get_file_info(folder).type.name != "NotFound":
+            system.delete_dir(folder)
+
+
 class _File(InputPartition):
     def __init__(self, path: str):
         self.path = path
@@ -158,6 +278,9 @@ class BamDataSource(DataSource):
         paths = self.options.get("paths") or self.options["path"]
         return BamReader(paths.split(","), to_arrow_schema(schema))
 
+    def writer(self, schema, overwrite: bool) -> BamWriter:
+        return BamWriter(self.options["path"], self.options.get("header", ""), [(n, k) for n, k in json.loads(self.options["references"])], overwrite)
+
 
 def read(spark: SparkSession, *paths: str) -> DataFrame:
     """The records of BAM files."""
@@ -167,5 +290,18 @@ def read(spark: SparkSession, *paths: str) -> DataFrame:
 
 def references(path: str) -> list[tuple[str, int]]:
     """The references and their lengths, from the header alone."""
+    return read_alignment_header(path)[1]
+
+
+def read_alignment_header(path: str) -> tuple[str, list[tuple[str, int]]]:
+    """The header's text and its references, on the driver."""
     with _open(path) as raw:
-        return read_header(_Stream(raw))[1]
+        return read_header(_Stream(raw))
+
+
+def write(records: DataFrame, path: str, text: str, references: list[tuple[str, int]], force: bool = False) -> None:
+    """Writes records (the columns of ``SCHEMA``) as one BAM file, in the order of the partitions."""
+    records.sparkSession.dataSource.register(BamDataSource)
+    rows = records.select("read_name", "flags", "reference", "position", "mapping_quality", "cigar", "mate", "template_length", "sequence", "qualities", "tags")
+    out = rows.write.format("bam").mode("overwrite" if force else "append")
+    out.option("header", text).option("references", json.dumps(references)).save(path)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.buckets import six_digits
+
 
 def header(spark: SparkSession, path: str) -> DataFrame:
     """(section, name, value) of the header's definitions, and the sample names."""
@@ -67,3 +69,22 @@ def write(records: DataFrame, path: str) -> None:
     others = F.array_join(F.slice("alleles", 2, F.size("alleles")), ",")
     line = F.concat_ws("\t", "contig", F.col("pos").cast("string"), dot(F.col("identifiers")), F.col("alleles")[0], dot(others), dot(F.col("quality").cast("string")), dot(F.array_join("filters", ";")), dot(info))
     records.select(line.alias("value")).write.text(path)
+
+
+def lines(records: DataFrame, samples: list[str]) -> DataFrame:
+    """(value): records as lines of VCF with the columns of ``samples``, in place order; genotypes come first."""
+    entry = lambda e: F.when(e["value"] == "true", e["key"]).otherwise(F.concat(e["key"], F.lit("="), e["value"]))
+    dot = lambda c: F.when(c.isNull() | (c == ""), ".").otherwise(c)
+    info = F.array_join(F.transform(F.array_sort(F.map_entries("info")), entry), ";")
+    cells = ["contig", F.col("pos").cast("string"), dot(F.col("identifiers")), F.col("alleles")[0], dot(F.array_join(F.slice("alleles", 2, F.size("alleles")), ",")), dot(six_digits(F.col("quality"))), dot(F.array_join("filters", ";")), dot(info)]
+    if samples:
+        named = F.array_sort(F.array_distinct(F.flatten(F.transform(F.map_values("samples"), lambda s: F.map_keys(s["values"])))))
+        keys = F.concat(F.filter(named, lambda k: k == "GT"), F.filter(named, lambda k: k != "GT"))
+        cells.append(dot(F.array_join(keys, ":")))
+        cells += [dot(F.array_join(F.transform(keys, lambda k, n=n: F.coalesce(F.element_at(F.element_at("samples", n)["values"], k), F.lit("."))), ":")) for n in samples]
+    return records.orderBy("contig", "pos", "alleles").select(F.concat_ws("\t", *cells).alias("value"))
+
+
+def header_text(spark: SparkSession, path: str) -> list[str]:
+    """The lines of the header."""
+    return [r["value"] for r in spark.read.text(path).where(F.col("value").startswith("#")).collect()]
