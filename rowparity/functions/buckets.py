@@ -54,9 +54,10 @@ def flag_states(flags: Column) -> Column:
 
 
 def six_digits(value: Column) -> Column:
-    """A number with six significant digits, short: 0.25, 1e-05, 1.5e+06."""
+    """A number with six significant digits, short: 0.25, 1e-05, 1.5e+06; null stays null."""
     text = F.format_string("%.5e", value.cast("double"))
     power = F.substring_index(text, "e", -1)
     bare = lambda c: F.regexp_replace(F.regexp_replace(c, r"(\.\d*?)0+$", "$1"), r"\.$", "")
     fixed = bare(text.try_cast("decimal(38,10)").cast("string"))
-    return F.when(power.try_cast("int").between(-4, 5), fixed).otherwise(F.concat(bare(F.substring_index(text, "e", 1)), F.lit("e"), power))
+    short = F.when(power.try_cast("int").between(-4, 5), fixed).otherwise(F.concat(bare(F.substring_index(text, "e", 1)), F.lit("e"), power))
+    return F.when(value.isNotNull(), short)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.buckets import six_digits
@@ -71,6 +71,10 @@ def write(records: DataFrame, path: str) -> None:
     records.select(line.alias("value")).write.text(path)
 
 
+def _values(keys: Column, values: Column) -> Column:
+    return F.transform(keys, lambda k: F.coalesce(F.element_at(values, k), F.lit(".")))
+
+
 def lines(records: DataFrame, samples: list[str]) -> DataFrame:
     """(value): records as lines of VCF with the columns of ``samples``, in place order; genotypes come first."""
     entry = lambda e: F.when(e["value"] == "true", e["key"]).otherwise(F.concat(e["key"], F.lit("="), e["value"]))
@@ -81,7 +85,7 @@ def lines(records: DataFrame, samples: list[str]) -> DataFrame:
         named = F.array_sort(F.array_distinct(F.flatten(F.transform(F.map_values("samples"), lambda s: F.map_keys(s["values"])))))
         keys = F.concat(F.filter(named, lambda k: k == "GT"), F.filter(named, lambda k: k != "GT"))
         cells.append(dot(F.array_join(keys, ":")))
-        cells += [dot(F.array_join(F.transform(keys, lambda k, n=n: F.coalesce(F.element_at(F.element_at("samples", n)["values"], k), F.lit("."))), ":")) for n in samples]
+        cells += [dot(F.array_join(_values(keys, F.element_at("samples", n)["values"]), ":")) for n in samples]
     return records.orderBy("contig", "pos", "alleles").select(F.concat_ws("\t", *cells).alias("value"))
 
 
