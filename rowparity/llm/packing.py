@@ -13,6 +13,7 @@ offset", so placing the pieces is an equi-join on the length.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -64,6 +65,12 @@ def _plain(text: str) -> bool:
     return "<|" not in text and (text.isascii() or max(text) < "ɐ")
 
 
+@lru_cache(maxsize=1 << 16)
+def _closes(letter: str) -> bool:
+    """Whether a mark behind this character begins a word: it is a letter, and stays one when composed and lower-cased."""
+    return letter.isalpha() and unicodedata.normalize("NFC", letter).lower().isalpha()
+
+
 def _encoded(words: list[str], path: str) -> Iterator[tuple[str, bytes]]:
     """The ids of each stretch of text without blanks.
 
@@ -92,7 +99,7 @@ def token_bytes(texts: list[str | None], path: str) -> Iterator[bytes]:
     if len(cache) > WORD_CACHE:
         cache.clear()
     new = set().union(*split).difference(cache)
-    closed = {w for w in new if w[-1:] in CLOSING and w[-2:-1].isalpha()}  # a letter and then a mark end two words
+    closed = {w for w in new if w[-1:] in CLOSING and _closes(w[-2:-1])}  # a letter and then a mark end two words
     cache.update(_encoded(list((new - closed | {w[:-1] for w in closed} | set(CLOSING)).difference(cache)), path))
     for word in closed:
         cache[word] = cache[word[:-1]] + cache[word[-1]]

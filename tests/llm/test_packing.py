@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -8,7 +9,8 @@ from tokenizers import Tokenizer
 from rowparity.llm.packing import pack, pack_documents, packing_plan, token_bytes
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-ODD = ["", None, "<|endoftext|> a <|ENDOFTEXT|>", "Σ it's ΑΣ ,'s", "a\tb\x1cc  d\r\n", "ÀÉ é İ", "x,, y., z.", "日本 語.", "don't. we've, 12.5"]
+ODD = ["", None, "<|endoftext|> a <|ENDOFTEXT|>", "Σ it's ΑΣ ,'s", "a\tb\x1cc  d\r\n", "ÀÉ é İ", "x,, y., z.", "日本 語.", "don't. we've, 12.5", "д İ. Σİ, \ufb2a."]
+ALPHABET = [*"aXZ  \n\t\r.,;'’-_01!()<|>[]#é\u0301ßİıſ\u212a\u00c5\u00a0\u2009\u3000中ДʼnΣσς\u200b\ufeff😀\x00\x1c\x85", "the", "ing", "<|endoftext|>", " the ", "n't", "...", "'s"]
 
 
 def test_ids_equal_the_tokenizers():
@@ -17,6 +19,14 @@ def test_ids_equal_the_tokenizers():
         assert np.frombuffer(data, "<u4").tolist() == [*coder.encode(text or "", add_special_tokens=False).ids, 0]
 
 
+def test_ids_of_random_texts():
+    coder, r = Tokenizer.from_file(PATH), random.Random(5)
+    for _ in range(40):
+        texts = ["".join(r.choice(ALPHABET) for _ in range(r.randint(0, 40))) for _ in range(100)]
+        for text, data in zip(texts, token_bytes(texts, PATH), strict=True):
+            assert np.frombuffer(data, "<u4").tolist() == [*coder.encode(text, add_special_tokens=False).ids, 0], text
+
+
 def check_places(rows, capacity):
     sequences = {}
     for r in rows:
