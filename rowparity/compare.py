@@ -35,6 +35,7 @@ class Comparison:
     field_changes: dict[str, int] = field(default_factory=dict)
     transitions: dict[str, int] = field(default_factory=dict)
     structure: list[str] = field(default_factory=list)
+    shifts: list[dict] = field(default_factory=list)
 
     @property
     def equivalent(self) -> bool:

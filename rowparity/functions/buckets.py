@@ -12,8 +12,8 @@ def floor_div(value: Column, step: float) -> Column:
 
 
 def bucket(value: Column, step: int, most: int) -> Column:
-    """The least multiple of ``step`` in the value's bucket, at most ``most``."""
-    return F.least(F.lit(most).cast("long"), floor_div(value, step) * step)
+    """The least multiple of ``step`` in the value's bucket, at most ``most``; null stays null."""
+    return F.when(value.isNotNull(), F.least(F.lit(most).cast("long"), floor_div(value, step) * step))
 
 
 def half_even(value: Column, parts: int) -> Column:

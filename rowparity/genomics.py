@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions import buckets
-from .operators import match, normalize, regions
+from .operators import match, metrics, normalize, regions
 from .sources import bam, bcf, vcf
 
 # fixed values: the fields and profiles of both kinds, the flags that tell the records of a template apart, the CIGAR letters
@@ -220,3 +220,43 @@ def places(found: DataFrame, kind: str) -> DataFrame:
         return found.select("contig", (F.col("pos") - 1).alias("position"), "status")
     side = lambda f: F.when(F.col("status") == "left_only", F.col(f"{f}_before")).otherwise(F.col(f"{f}_after"))
     return found.select(side("reference").alias("contig"), side("position").alias("position"), "status").where("contig is not null and position >= 0")
+
+
+def _named(metric: str, values: Column) -> Column:
+    return F.transform(values, lambda v: F.struct(F.lit(metric).alias("metric"), v.alias("bucket")))
+
+
+def histograms(records: DataFrame, kind: str, fields: list[str]) -> DataFrame:
+    """(metric, bucket, n) of the metrics whose fields are compared, in one pass; a record may have several values."""
+    bit = lambda n: F.array((F.col("flags").bitwiseAND(F.lit(n)) != 0).cast("double"))
+    one = lambda value, step, most: F.array(buckets.bucket(value, step, most).cast("double"))
+    found: list[tuple[str, str, Column]] = []  # field, metric, values
+    if kind == "alignment":
+        size = F.abs("template_length")
+        found += [("mapping_quality", "mapping_quality", one(F.col("mapping_quality"), 5, 255)), ("sequence", "read_length", one(F.coalesce(F.length("sequence"), F.lit(0)), 250, 100_000))]
+        found += [("template_length", "insert_size", one(F.when(size > 0, size), 100, 10_000))]
+        found += [("flags", f"{name}_rate", bit(n)) for name, n in (("unmapped", 4), ("duplicate", 0x400), ("secondary", 0x100), ("supplementary", 0x800))]
+    else:
+        numbers = lambda key: F.filter(F.transform(F.split(F.element_at("info", key), ","), lambda v: v.try_cast("double")), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+        called = F.transform(F.map_values("samples"), lambda s: F.filter(F.split(F.element_at(s["values"], "GT"), "[/|]"), lambda a: a != "."))
+        mixed = F.transform(F.filter(called, lambda g: F.size(g) > 0), lambda g: (F.size(F.array_distinct(g)) > 1).cast("double"))
+        found += [
+            ("quality", "variant_quality", one(F.col("quality"), 10, 1_000)), ("info", "depth", F.transform(numbers("DP"), lambda v: buckets.bucket(v, 10, 10_000).cast("double"))),
+            ("info", "allele_frequency", F.transform(numbers("AF"), lambda v: buckets.half_even(v, 20))), ("samples", "heterozygous_rate", mixed),
+            ("filters", "filtered_rate", F.array((F.size(F.array_except("filters", F.array(F.lit("PASS")))) > 0).cast("double"))),
+        ]
+    rows = [_named(name, values) for field, name, values in found if field in fields]
+    if not rows:
+        return records.sparkSession.createDataFrame([], "metric string, bucket double, n long")
+    pairs = F.flatten(F.array(*(F.coalesce(r, F.array().cast("array<struct<metric:string,bucket:double>>")) for r in rows)))
+    return records.select(F.inline(pairs)).where("bucket is not null").groupBy("metric", "bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
+def shifts(left: DataFrame, right: DataFrame, kind: str, fields: list[str]) -> list[dict]:
+    """The metrics that moved most: name, distance, and each side's median (its mean for a rate)."""
+    sides = [histograms(df, kind, fields).persist() for df in (left, right)]
+    moved = metrics.shifts(*sides).collect()
+    middle = [{r["metric"]: (r["median"], r["mean"]) for r in df.groupBy("metric").agg(F.percentile("bucket", 0.5, F.col("n")).alias("median"), (F.sum(F.col("bucket") * F.col("n")) / F.sum("n")).alias("mean")).collect()} for df in sides]
+    for df in sides:
+        df.unpersist()
+    return [{"metric": r["metric"], "distance": r["distance"], "first": middle[0][r["metric"]][k], "second": middle[1][r["metric"]][k]} for r in moved for k in [int(r["metric"].endswith("_rate"))]]

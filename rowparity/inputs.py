@@ -26,7 +26,10 @@ class Pair:
     contigs: dict[str, int | None] | None = None
 
     def compare(self, names: tuple[str, str] = ("first", "second"), explain: bool = True, use: Callable[[DataFrame], None] | None = None) -> Comparison:
-        return compare(self.left, self.right, self.keys, self.fields, explain, names=names, labels=self.labels, structure=self.structure, use=use)
+        out = compare(self.left, self.right, self.keys, self.fields, explain, names=names, labels=self.labels, structure=self.structure, use=use)
+        if explain and self.kind and not out.content_equal:
+            out.shifts = genomics.shifts(self.left, self.right, self.kind, self.fields)
+        return out
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:

@@ -22,6 +22,8 @@ def findings(result: Comparison) -> list[str]:
         out.append(f"{name.replace('_', ' ')} changed in {n / result.modified:.1%} of modified records.")
     elif result.left_only or result.right_only:
         out.append(f"Records differ by membership: {result.left_only:,} only in the first, {result.right_only:,} only in the second.")
+    if result.shifts:
+        out.append(shift_text(result.shifts[0]))
     if result.transitions:
         label, n = next(iter(result.transitions.items()))
         out.append(f"The most frequent change is {label} ({n:,}).")
@@ -30,6 +32,16 @@ def findings(result: Comparison) -> list[str]:
     return out[:3]
 
 
+def shift_text(shift: dict) -> str:
+    """A sentence on a metric that moved."""
+    name = shift["metric"].replace("_", " ").capitalize()
+    if shift["metric"].endswith("_rate"):
+        return f"{name} {'rose' if shift['second'] > shift['first'] else 'fell'} from {shift['first']:.1%} to {shift['second']:.1%}."
+    if shift["first"] == shift["second"]:
+        return f"{name} has the same median, {shift['first']:g}, but its distribution moved by {shift['distance']:.0%}."
+    return f"{name} moved from a median of {shift['first']:g} to {shift['second']:g}."
+
+
 def text(result: Comparison) -> str:
     """A report for a terminal."""
     lines = [
@@ -56,6 +68,8 @@ def html(result: Comparison) -> str:
     """A page that needs no other file."""
     counts = _table(["identical", "modified", "only in first", "only in second"], [[result.identical, result.modified, result.left_only, result.right_only]])
     body = "".join(f"<p>{escape(x)}</p>" for x in findings(result)) + counts + _table(["field", "changes"], [list(x) for x in result.field_changes.items()])
+    if result.shifts:
+        body += _table(["metric", "distance", "first", "second"], [[x["metric"], f"{x['distance']:.3f}", f"{x['first']:g}", f"{x['second']:g}"] for x in result.shifts])
     states, cells = transition_matrix(result)
     if states:
         body += _table(["from \\ to", *states], [[s, *row] for s, row in zip(states, cells, strict=True)])

@@ -11,7 +11,7 @@ from rowparity.cli import main
 from rowparity.compare import Comparison
 from rowparity.inputs import pair
 from rowparity.operators import normalize
-from rowparity.report import svg, transition_matrix
+from rowparity.report import findings, shift_text, svg, transition_matrix
 from rowparity.sources import bam, bcf, vcf
 
 HEAD = (
@@ -197,6 +197,19 @@ def test_identity_of_alignments(spark, tmp_path):
     assert [(r["shared"], r["matches"], r["status"]) for r in json.loads((tmp_path / "i.json").read_text())] == [(2, 2, "insufficient calls")]
 
 
+def test_shifts(spark, tmp_path, files):
+    (tmp_path / "c.vcf").write_text(HEAD + "\n".join([LINES[0].replace("1/2", "1/1").replace("0|1", "1|1").replace("DP=20", "DP=45"), *LINES[1:]]) + "\n")
+    out = pair(spark, files[0], str(tmp_path / "c.vcf")).compare()
+    assert [(x["metric"], round(x["distance"], 6), x["first"], x["second"]) for x in out.shifts] == [("depth", 0.5, 160.0, 170.0), ("heterozygous_rate", 0.4, 0.4, 0.0)]
+    assert findings(out)[1] == "Depth moved from a median of 160 to 170." and shift_text(out.shifts[1]) == "Heterozygous rate fell from 40.0% to 0.0%."
+    records = vcf.read(spark, files[0])
+    found = {(r.metric, r.bucket): r.n for r in genomics.histograms(records, "variant", list(genomics.VARIANT)).collect()}
+    assert found == {("variant_quality", 60): 1, ("variant_quality", 0): 1, ("depth", 20): 1, ("depth", 300): 1, ("allele_frequency", 0.5): 1, ("allele_frequency", 0.25): 1, ("heterozygous_rate", 1): 2, ("heterozygous_rate", 0): 3, ("filtered_rate", 0): 2, ("filtered_rate", 1): 1}
+    one_, two = write(tmp_path / "a.bam", [block("r", 22), block("s", 22)]), write(tmp_path / "b.bam", [block("r", 61, flags=4), block("s", 22)])
+    assert [(x["metric"], x["distance"], x["second"]) for x in pair(spark, one_, two).compare().shifts] == [("mapping_quality", 0.5, 40.0), ("unmapped_rate", 0.5, 0.5)]
+    assert genomics.histograms(records, "variant", ["locus"]).count() == 0
+
+
 def test_figures():
     result = Comparison("a", "b", 3, 3, False, True, ["samples"], 1.0, 0.5, "related datasets", 1, 2, 0, 0, {"samples": 2}, {"genotype s<1: 0/1 → 1/1": 2, "genotype t: 1/1 → 0/0": 1})
     assert "genotype s&lt;1" in svg(result)
