@@ -194,6 +194,18 @@ def linked(nodes: DataFrame, bits: int = 4) -> DataFrame:
     return out
 
 
+def grouped(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
+    """``near_duplicates`` with component: one of the component's fingerprints, which tells components apart where ids don't."""
+    each = written(fingerprints(docs, words), "fingerprints")
+    nodes = written(each.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "nodes")
+    links = linked(nodes, bits)
+    named = nodes.join(links.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
+    named = written(named.select("fingerprint", "least", F.coalesce("component", "fingerprint").alias("component")), "named")
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    result = written(named.join(least, "component").select("fingerprint", "component", "component_id"), "components")
+    return each.join(result, "fingerprint").select("doc_id", "text_key", "fingerprint", "component", "component_id")
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
     """(doc_id, text_key, fingerprint, component_id) of every document.
 
@@ -203,26 +215,25 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame
     texts have the fingerprint 0, which links like any other.  Equal rows get
     equal results; an empty table gives an empty one.
     """
-    each = written(fingerprints(docs, words), "fingerprints")
-    nodes = written(each.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "nodes")
-    links = linked(nodes, bits)
-    named = nodes.join(links.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
-    named = written(named.select("fingerprint", "least", F.coalesce("component", "fingerprint").alias("component")), "named")
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    result = written(named.join(least, "component").select("fingerprint", "component_id"), "components")
-    return each.join(result, "fingerprint").select("doc_id", "text_key", "fingerprint", "component_id")
+    return grouped(docs, words, bits).drop("component")
 
 
 def one_of_each(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
-    """``docs`` with one document of each group of near-duplicates: the one with the least doc_id.
+    """``docs`` with one document of each group of near-duplicates: the one with the least doc_id, null ids last.
 
     Of rows with that doc_id and different texts, and of equal rows, one stays.
     """
-    found = near_duplicates(docs, words, bits)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("text_key").alias("first_key"))
-    first = written(first.withColumnRenamed("component_id", "first_id"), "first")
+    return first_of_each(docs, grouped(docs, words, bits))
+
+
+def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The first row of ``docs`` of each component in ``found`` (doc_id, text_key, component)."""
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("least")
+    first = found.groupBy("component").agg(least).select(F.col("least.doc_id").alias("first_id"), F.col("least.text_key").alias("first_key"))
+    first = written(first, "first")
     rows = docs.select("*", F.xxhash64("text").alias("__key"))
-    kept = rows.join(first.hint("merge"), F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("__key") == F.col("first_key")), "left_semi")
+    # keys before ids: many documents may have no id
+    kept = rows.join(first.hint("merge"), (F.col("__key") == F.col("first_key")) & F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
     return kept.dropDuplicates(["doc_id", "__key"]).select(*docs.columns)
 
 

@@ -87,3 +87,13 @@ def test_documents_against_brute_force(spark, documents, texts):
     kept = one_of_each(documents(texts)).collect()
     assert len(kept) == len(set(groups))
     assert near_duplicates(documents([])).collect() == []
+
+
+def test_components_with_null_and_repeated_ids_keep_one_each(spark, documents):
+    r = random.Random(12)
+    base = [" ".join("".join(r.choice("abcde") for _ in range(4)) for _ in range(120)) for _ in range(9)]
+    ids = [None, None, None, None, 7, 7, 7, 3, 4]
+    rows = [*zip(ids, base, strict=True), (None, base[0].upper()), (7, base[1]), (7, base[4].upper())]
+    kept = one_of_each(documents(rows)).collect()
+    assert sorted(row.text.lower() for row in kept) == sorted(base)
+    assert {row.doc_id for row in kept if row.text.lower() == base[1]} == {7}
