@@ -1,14 +1,14 @@
 """Quality rules: base rules, and perplexity under an n-gram model per language.
 
 The model is modified Kneser-Ney over the UTF-8 bytes of the texts, of order
-3, counted by Spark over all documents.  Bytes bound its size, whatever the
+3, counted by Spark over all different texts.  Bytes bound its size, whatever the
 corpus is: a language has at most 256^3 trigrams, and natural text has some
 tens of thousands.  Trigrams with their log probabilities are kept in sorted
 arrays of their codes, the lower orders in full tables.
 
 Perplexities are judged by language: the band is ``WIDTH`` interquartile
-ranges beyond the quartiles of the language's log perplexities, over all
-documents that pass the base rules.  Repetition lies below, noise above.
+ranges beyond the quartiles of the language's log perplexities, over the
+different texts that pass the base rules, and ``FLOOR`` at least.  Repetition lies below, noise above.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from .shared import written
 
 #: Interquartile ranges between the quartiles and the ends of the band.
 WIDTH = 4.0
+#: Nats per byte from the quartiles to the ends of the band at least; interquartile ranges of sf0.1 and check_s are 0.024 to 0.048.
+FLOOR = 0.04
 #: Characters of symbols, and of ASCII white space.
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -180,9 +182,15 @@ def _models(counts: DataFrame) -> dict[str, KneserNey]:
     return models
 
 
+def different(docs: DataFrame) -> DataFrame:
+    """(lang, text): each text of a language once, so that copies don't make it the model's own."""
+    rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_key"))
+    return rows.groupBy("lang", "text_key").agg(F.first("text").alias("text"))
+
+
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, lang, the base metrics and log_perplexity (per byte; null without text) of each document."""
-    models = docs.sparkSession.sparkContext.broadcast(_models(gram_counts(docs)))
+    models = docs.sparkSession.sparkContext.broadcast(_models(gram_counts(different(docs))))
 
     def run(batches):
         for whole in batches:
@@ -216,8 +224,9 @@ def quality(docs: DataFrame, width: float = WIDTH) -> DataFrame:
     own.  Equal rows get equal results; an empty table gives an empty one.
     """
     each = written(measured(docs), "measured")
-    quartiles = each.where("not base_failed").groupBy("lang").agg(F.percentile_approx("log_perplexity", [0.25, 0.75], 100_000).alias("q"))
-    reach = width * (F.col("q")[1] - F.col("q")[0])
+    texts = each.where("not base_failed").groupBy("lang", "text_key").agg(F.first("log_perplexity").alias("log_perplexity"))  # copies don't weigh
+    quartiles = texts.groupBy("lang").agg(F.percentile_approx("log_perplexity", [0.25, 0.75], 100_000).alias("q"))
+    reach = F.greatest(width * (F.col("q")[1] - F.col("q")[0]), F.lit(FLOOR))
     bands = quartiles.select("lang", (F.col("q")[0] - reach).alias("low"), (F.col("q")[1] + reach).alias("high"))
     # a row for each language
     found = each.join(F.broadcast(bands), "lang", "left")

@@ -89,3 +89,14 @@ def test_documents(spark, documents):
     assert sorted(str(row.doc_id) for row in kept.collect()) == sorted(str(i) for i, t in [*good, (None, ""), (3, "")])
     assert kept.columns == documents(rows, extra=True).columns
     assert quality(documents([])).collect() == [] and keep_good(documents([])).collect() == []
+
+
+def test_copies_of_one_text_move_no_band(spark, documents):
+    r = random.Random(6)
+    words = ["".join(r.choice("aeioutnsrl") for _ in range(r.randint(2, 6))) for _ in range(300)]
+    good = [" ".join(r.choice(words) for _ in range(r.randint(60, 200))) for _ in range(60)]
+    rows = [*enumerate(good), *((100 + k, good[7]) for k in range(90))]
+    out = quality(documents(rows)).where("doc_id < 60").collect()
+    assert len(out) == 60 and all(row.kept for row in out)
+    alone = quality(documents([(k, good[7]) for k in range(9)])).collect()
+    assert all(row.kept and row.low < row.log_perplexity < row.high for row in alone)
