@@ -100,3 +100,12 @@ def test_copies_of_one_text_move_no_band(spark, documents):
     assert len(out) == 60 and all(row.kept for row in out)
     alone = quality(documents([(k, good[7]) for k in range(9)])).collect()
     assert all(row.kept and row.low < row.log_perplexity < row.high for row in alone)
+
+
+def test_symbols_behind_words_leave_the_band(spark, documents):
+    r = random.Random(6)
+    words = ["".join(r.choice("aeioutnsrl") for _ in range(r.randint(2, 6))) for _ in range(300)]
+    good = [" ".join(r.choice(words) for _ in range(r.randint(60, 200))) for _ in range(60)]
+    marked = [(100 + n, " ".join(w + "%" * (k % n == 0) for k, w in enumerate(r.choices(words, k=150)))) for n in (3, 4, 5, 6, 8, 10, 12, 15, 20, 30)]
+    out = {row.doc_id: row for row in quality(documents([*enumerate(good), *marked])).collect()}
+    assert all(out[k].kept for k in range(60)) and not out[103].kept and not out[104].kept and not out[104].base_failed
