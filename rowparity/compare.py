@@ -99,7 +99,7 @@ def compare(
         out.field_changes = {r["field"]: r["n"] for r in match.field_changes(found, others).collect()}
         moves = labels(found) if labels else transitions if transitions is not None else [F.when(match.differs(found, f), F.lit(f"{f.replace('_', ' ')} changed")) for f in others]
         if labels or moves:
-            out.transitions = {r["label"]: r["n"] for r in match.transitions(found, moves).orderBy(F.desc("n"), "label").limit(100).collect()}
+            out.transitions = {r["label"]: r["n"] for r in match.transitions(found, moves).orderBy(F.desc("n"), "label").collect()}
         if use:
             use(found)
         found.unpersist()
