@@ -52,16 +52,26 @@ def canonical(value: Column, kind: T.DataType) -> Column:
 
 def field_digest(df: DataFrame, name: str, bits: int = 128) -> Column:
     """The digest of one field: MD5, or SHA-256 with 256 bits."""
-    text = canonical(F.col(name), df.schema[name].dataType).cast("binary")
+    text = canonical(df[f"`{name}`"], df.schema[name].dataType).cast("binary")
     return F.md5(text) if bits == 128 else F.sha2(text, bits)
 
 
 def record_digest(df: DataFrame, fields: list[str], bits: int = 128) -> Column:
     """The digest of a record: of its fields' digests, in order."""
-    joined = F.concat(*(field_digest(df, f, bits) for f in fields)).cast("binary")
+    return joined_digest([field_digest(df, f, bits) for f in fields], bits)
+
+
+def joined_digest(digests: list[Column], bits: int = 128) -> Column:
+    """The digest of a record from those of its fields."""
+    joined = F.concat(*digests).cast("binary")
     return F.md5(joined) if bits == 128 else F.sha2(joined, bits)
 
 
+def lane(digest: Column, k: int) -> Column:
+    """The k-th 48 bits of a hex digest, as a long."""
+    return F.conv(F.substring(digest, 1 + 12 * k, 12), 16, 10).cast("long")
+
+
 def limb(digest: Column, k: int) -> Column:
     """The k-th 32 bits of a hex digest, as a long."""
     return F.conv(F.substring(digest, 1 + 8 * k, 8), 16, 10).cast("long")

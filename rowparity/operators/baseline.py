@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .fingerprint import LIMBS, fingerprints
-
-VALUES = ["n", *(f"{kind}_{k}" for kind in ("sum", "xor") for k in range(LIMBS))]
+from .fingerprint import VALUES, fingerprints
 
 
 def schema_digest(df: DataFrame, fields: list[str]) -> str:

@@ -5,112 +5,247 @@ records cancel by multiplicity, map-side first, so a key or record that many
 rows share is a few counts before anything is shuffled.  What is left of a key
 is paired until one side is used up (modified); the rest is one-sided.  Keys
 may be null and need not be unique.
+
+Keys and fields travel in two structs, so columns may have any names.
+
+Residual records of a key are paired by one rule, whatever their number: first
+those that differ in one field, then in two, and so on; sets of fields of one
+size in the order of the fields, and within a set by the records' places (see
+``_place``).  A table so wide that a size has too many sets (``FIELD_SETS``)
+pairs what is left then by place alone.  Keys with few residual records are
+paired where they are grouped; for the others each set of fields is an
+aggregate of its own, whose ranks are dealt into parts, so no task holds a
+key.  Both ways give the same pairs.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+from itertools import combinations
+from math import comb
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.canon import canonical, field_digest, record_digest
+from ..functions.canon import canonical, record_digest
+from ..storage import dropped, written
 
-#: Residual records of a key that are paired by likeness; beyond it, by the order of their digests.
-NEAREST = 200
+#: Residual records of a key that are paired where they are grouped; a matter of the plan, not of the result.
+TOGETHER = 64
+#: Sets of different fields that are told apart.
+FIELD_SETS = 1024
+#: Parts that a group's ranks are dealt into.
+PARTS = 64
 
 
-def counted(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
-    """(*keys, *fields, digest, n_left, n_right) of every different record of a key."""
-    sides = [
-        df.select(*keys, *(f for f in fields if f not in keys), record_digest(df, fields).alias("digest"), F.lit(side == 0).cast("long").alias("l"), F.lit(side == 1).cast("long").alias("r"))
-        for side, df in enumerate((left, right))
-    ]
-    others = [f for f in fields if f not in keys]
-    return sides[0].unionByName(sides[1]).groupBy(*keys, "digest", *others).agg(F.sum("l").alias("n_left"), F.sum("r").alias("n_right"))
+def _rest(keys: list[str], fields: list[str]) -> list[str]:
+    return [f for f in fields if f not in keys]
+
+
+def _tagged(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str], values: bool) -> DataFrame:
+    """(key, digest[, record], n_left, n_right) of every different record of a key."""
+    sides = []
+    for side, df in enumerate((left, right)):
+        columns = [F.struct(*(df[f"`{k}`"].alias(f"k{i}") for i, k in enumerate(keys))).alias("key"), record_digest(df, fields).alias("digest")]
+        if values:
+            others = [df[f"`{f}`"].alias(f"f{i}") for i, f in enumerate(_rest(keys, fields))]
+            columns.append(F.struct(*others, F.lit(True).alias("present")).alias("record"))
+        sides.append(df.select(*columns, F.lit(1 - side).cast("long").alias("l"), F.lit(side).cast("long").alias("r")))
+    by = ["key", "digest", "record"] if values else ["key", "digest"]
+    return sides[0].union(sides[1]).groupBy(*by).agg(F.sum("l").alias("n_left"), F.sum("r").alias("n_right"))
 
 
 def by_key(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
-    """(*keys, identical, rest_left, rest_right) of each key."""
+    """(key, identical, rest_left, rest_right) of each key, a struct of k0, k1, ..."""
     same = F.least("n_left", "n_right")
-    return counted(left, right, keys, fields).groupBy(*keys).agg(
-        F.sum(same).alias("identical"), F.sum(F.col("n_left") - same).alias("rest_left"), F.sum(F.col("n_right") - same).alias("rest_right")
+    return _tagged(left, right, keys, fields, False).groupBy("key").agg(
+        F.sum(same).alias("identical"),
+        F.sum(F.col("n_left") - same).alias("rest_left"),
+        F.sum(F.col("n_right") - same).alias("rest_right"),
     )
 
 
+def _large() -> Column:
+    """Whether a key's residual records are too many to be paired together."""
+    both = (F.col("rest_left") > 0) & (F.col("rest_right") > 0)
+    return both & (F.col("rest_left") + F.col("rest_right") > TOGETHER)
+
+
+def _sums() -> list[Column]:
+    pairs = F.least("rest_left", "rest_right")
+    named = {
+        "identical": F.col("identical"), "modified": pairs,
+        "left_only": F.col("rest_left") - pairs, "right_only": F.col("rest_right") - pairs,
+    }
+    return [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(n) for n, c in named.items()]
+
+
 def totals(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     """One row: identical, modified, left_only, right_only.
 
     identical + modified + left_only is the left side's count, and likewise
     for the right.  Empty sides give zeros.
     """
-    pairs = F.least("rest_left", "rest_right")
-    return by_key(left, right, keys, fields).agg(
-        *(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(n) for n, c in (("identical", F.col("identical")), ("modified", pairs), ("left_only", F.col("rest_left") - pairs), ("right_only", F.col("rest_right") - pairs)))
-    )
+    return by_key(left, right, keys, fields).agg(*_sums())
 
 
-def residuals(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
-    """The records left after cancelling: (*keys, *fields, digest, side, n)."""
-    rest = counted(left, right, keys, fields)
-    rest = rest.withColumns({"side": F.when(F.col("n_left") > F.col("n_right"), "left").otherwise("right"), "n": F.abs(F.col("n_left") - F.col("n_right"))})
-    return rest.where("n > 0").drop("n_left", "n_right")
-
-
-def _nearest(keys: list[str], others: list[str]):
-    """Pairs a key's residual records: the greatest digest on the left with the right record of the fewest different fields."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.loc[rows.index.repeat(rows["n"])].sort_values("digest")
-        left, right = (rows[rows.side == s].to_dict("records") for s in ("left", "right"))
-        out = []
-        while left and right:
-            a = left.pop()
-            b = right.pop(min(range(len(right)), key=lambda k: (sum(a[f"d_{f}"] != right[k][f"d_{f}"] for f in others), k)))
-            out.append((a, b))
-        out += [(a, None) for a in left] + [(None, b) for b in right]
-        return pd.DataFrame(
-            [{**{k: (a or b)[k] for k in keys}, "status": "modified" if a and b else "left_only" if a else "right_only", **{f"{f}_before": a[f] if a else None for f in others}, **{f"{f}_after": b[f] if b else None for f in others}} for a, b in out],
-            columns=[*keys, "status", *(f"{f}_before" for f in others), *(f"{f}_after" for f in others)],
-        )
-
-    return run
+def totals_and_large(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """``totals`` with large: whether ``changes`` has a key to pair in steps."""
+    return by_key(left, right, keys, fields).agg(*_sums(), F.coalesce(F.bool_or(_large()), F.lit(False)).alias("large"))
 
 
-def changes(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str], nearest: int = NEAREST) -> DataFrame:
+def residual_counts(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """One row: left_rest and right_rest, the records left after cancelling."""
+    same = F.least("n_left", "n_right")
+    sums = {"left_rest": F.col("n_left") - same, "right_rest": F.col("n_right") - same}
+    found = _tagged(left, right, keys, fields, False)
+    return found.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in sums.items()))
+
+
+def _place(digest: Column, copy: Column) -> Column:
+    """Where a residual record stands among those of its key and side: by part, digest and copy."""
+    part = F.pmod(F.xxhash64(digest, copy), F.lit(PARTS)).cast("int")
+    return F.struct(part.alias("part"), digest.alias("digest"), copy.alias("copy"))
+
+
+def _levels(n: int) -> int:
+    """Sizes of sets of ``n`` fields that are told apart."""
+    total = 0
+    for size in range(1, n + 1):
+        total += comb(n, size)
+        if total > FIELD_SETS:
+            return size - 1
+    return n
+
+
+def _paired_together(rows: DataFrame, n: int) -> DataFrame:
+    """(key, before, after) of the residual records (key, is_left, place, marks, record) of keys with few."""
+    levels = _levels(n)
+    item = F.struct("place", "marks", "record")
+    sides = {"lefts": F.col("is_left"), "rights": ~F.col("is_left")}
+    group = rows.groupBy("key_digest").agg(F.first("key").alias("key"), *(F.collect_list(F.when(c, item)).alias(name) for name, c in sides.items()))
+    by_place = lambda a, b: F.when(a["place"] < b["place"], -1).when(a["place"] > b["place"], 1).otherwise(0)
+    group = group.select("key", *(F.array_sort(name, by_place).alias(name) for name in sides))
+    fields = F.array(*(F.lit(k) for k in range(n))).cast("array<int>")
+
+    def pair(left: Column, i: Column, right: Column, j: Column) -> Column:
+        other = F.filter(fields, lambda k: F.get(left["marks"], k) != F.get(right["marks"], k))
+        size = F.size(other)
+        told = size <= levels
+        which = F.when(told, other).otherwise(F.array().cast("array<int>"))
+        return F.struct(F.when(told, size).otherwise(levels + 1).alias("size"), which.alias("which"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+
+    both = F.transform("lefts", lambda x, i: F.transform("rights", lambda y, j: pair(x, i, y, j)))
+    none = F.array().cast("array<int>")
+    start = F.struct(none.alias("used_left"), none.alias("used_right"))
+
+    def take(state: Column, p: Column) -> Column:
+        free = ~F.array_contains(state["used_left"], p["i"]) & ~F.array_contains(state["used_right"], p["j"])
+        more = F.struct(
+            F.concat(state["used_left"], F.array(p["i"])).alias("used_left"), F.concat(state["used_right"], F.array(p["j"])).alias("used_right")
+        )
+        return F.when(free, more).otherwise(state)
+
+    group = group.withColumn("taken", F.aggregate(F.array_sort(F.flatten(both)), start, take))
+    record = lambda items, k: F.get(items, k)["record"]
+    nothing = F.lit(None).cast(rows.schema["record"].dataType)
+    row = lambda a, b: F.struct(a.alias("before"), b.alias("after"))
+    modified = F.zip_with("taken.used_left", "taken.used_right", lambda i, j: row(record(F.col("lefts"), i), record(F.col("rights"), j)))
+    free = lambda items, used: F.filter(items, lambda x, k: ~F.array_contains(used, k.cast("int")))
+    alone = [
+        F.transform(free(F.col("lefts"), F.col("taken.used_left")), lambda x: row(x["record"], nothing)),
+        F.transform(free(F.col("rights"), F.col("taken.used_right")), lambda x: row(nothing, x["record"])),
+    ]
+    return group.select("key", F.explode(F.concat(modified, *alone)).alias("p")).select("key", "p.before", "p.after")
+
+
+def _paired_in_steps(rows: DataFrame, n: int) -> DataFrame:
+    """As ``_paired_together``, a set of fields at a time."""
+    rest = written(rows, "residuals")
+    done = []
+    every = tuple(range(n))
+    levels = _levels(n)
+    sizes = [list(combinations(every, size)) for size in range(1, levels + 1)]
+    for sets in [*sizes, [every]] if levels < n else sizes:
+        keys = [F.struct(F.lit(at).alias("at"), _block(n, free).alias("block")) for at, free in enumerate(sets)]
+        blocks = rest.select("is_left", F.explode(F.array(*keys)).alias("b")).groupBy("b.at", "b.block")
+        shared = blocks.agg(F.bool_or("is_left").alias("l"), F.bool_or(~F.col("is_left")).alias("r")).where("l and r")
+        for at in sorted(r["at"] for r in shared.select("at").distinct().collect()):
+            result = written(_step(rest, _block(n, sets[at])), "step")
+            done.append(result.where("first is not null and second is not null").select("key", F.col("first.record").alias("before"), F.col("second.record").alias("after")))
+            one = result.where("first is null or second is null").select("key", F.coalesce("first", "second").alias("x"), F.col("first").isNotNull().alias("is_left"))
+            old, rest = rest, written(one.select("key", "is_left", "x.*"), "residuals")
+            dropped(old)
+    nothing = F.lit(None).cast(rows.schema["record"].dataType)
+    record = lambda is_left: F.when(F.col("is_left") == F.lit(is_left), F.col("record")).otherwise(nothing)
+    out = rest.select("key", record(True).alias("before"), record(False).alias("after"))
+    return reduce(DataFrame.union, done, out)
+
+
+def _block(n: int, free: tuple[int, ...]) -> Column:
+    """Names the records of a key that agree in all fields but those in ``free``."""
+    return F.md5(F.concat(F.col("key_digest"), *(F.col("marks")[k] for k in range(n) if k not in free)).cast("binary"))
+
+
+def _step(rest: DataFrame, block: Column) -> DataFrame:
+    """(key, first, second): the i-th left with the i-th right record of each block, and those without another."""
+    rows = rest.withColumn("block", block).withColumn("part", F.col("place.part"))
+    counts = rows.groupBy("block", "is_left", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("block", "is_left").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # PARTS rows at most
+    counts = counts.select("block", "is_left", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    nth = F.row_number().over(Window.partitionBy("block", "is_left", "part").orderBy("place"))
+    ranked = rows.withColumn("nth", nth).join(counts, ["block", "is_left", "part"])
+    ranked = ranked.select("block", (F.col("offset") + F.col("nth")).alias("rank"), "is_left", "key", F.struct("key_digest", "place", "marks", "record").alias("x"))
+    sides = [ranked.where(F.col("is_left") == F.lit(s)).select("block", "rank", F.col("key").alias(f"key_{s}"), F.col("x").alias(name)) for s, name in ((True, "first"), (False, "second"))]
+    both = sides[0].join(sides[1], ["block", "rank"], "fullouter")
+    return both.select(F.coalesce("key_True", "key_False").alias("key"), "first", "second")
+
+
+def changes(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str], large: bool | None = None) -> DataFrame:
     """A row for each change: (*keys, status, <field>_before, <field>_after ...).
 
-    status is modified, left_only or right_only.  A key with one residual
-    record on a side pairs without a choice; keys with several on both sides,
-    up to ``nearest`` records, are paired by likeness; larger ones by rank, so
-    that no task holds them.
+    status is modified, left_only or right_only.  ``large`` says whether some
+    key has too many residual records to be paired where they are grouped, as
+    ``totals_and_large`` finds it; else that is counted first.  Columns that
+    would have one name in the result raise.
     """
-    others = [f for f in fields if f not in keys]
-    rest = residuals(left, right, keys, fields)
-    sizes = rest.groupBy(*keys).agg(F.sum(F.when(F.col("side") == "left", F.col("n")).otherwise(0)).alias("k_left"), F.sum(F.when(F.col("side") == "right", F.col("n")).otherwise(0)).alias("k_right"))
-    named = sizes.select(*(F.col(k).alias(f"__{k}") for k in keys), "k_left", "k_right")
-    rest = rest.join(named, _all(F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys)).drop(*(f"__{k}" for k in keys))
-    by_likeness = (F.col("k_left") > 0) & (F.col("k_right") > 0) & (F.col("k_left") + F.col("k_right") > 2) & (F.col("k_left") + F.col("k_right") <= nearest)
-
-    schema = ", ".join([*(f"`{k}` {left.schema[k].dataType.simpleString()}" for k in keys), "status string", *(f"`{f}_before` {left.schema[f].dataType.simpleString()}" for f in others), *(f"`{f}_after` {left.schema[f].dataType.simpleString()}" for f in others)])
-    choice = rest.where(by_likeness)
-    choice = choice.withColumns({f"d_{f}": field_digest(choice, f) for f in others})
-    chosen = choice.groupBy(*keys).applyInPandas(_nearest(keys, others), schema)
-
-    ranked = rest.where(~by_likeness).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
-    ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy(*keys, "side").orderBy("digest", "copy")))
-    sides = [F.first(F.when(F.col("side") == s, F.struct(*others, F.lit(True).alias("present"))), ignorenulls=True).alias(s) for s in ("left", "right")]
-    paired = ranked.groupBy(*keys, "place").agg(*sides)
-    status = F.when(F.col("left").isNotNull() & F.col("right").isNotNull(), "modified").when(F.col("left").isNotNull(), "left_only").otherwise("right_only")
-    paired = paired.select(*keys, status.alias("status"), *(F.col(f"left.{f}").alias(f"{f}_before") for f in others), *(F.col(f"right.{f}").alias(f"{f}_after") for f in others))
-    return paired.unionByName(chosen)
-
-
-def _all(conditions):
-    out = F.lit(True)
-    for c in conditions:
-        out = out & c
-    return out
+    others = _rest(keys, fields)
+    names = [*keys, "status", *(f"{f}_{when}" for f in others for when in ("before", "after"))]
+    if len({n.lower() for n in names}) < len(names):
+        raise ValueError(f"rename columns: two of the result's would have one name ({', '.join(names)})")
+    if large is None:
+        large = totals_and_large(left, right, keys, fields).first()["large"]
+    found = _tagged(left, right, keys, fields, True)
+    n = F.abs(F.col("n_left") - F.col("n_right"))
+    rest = found.where("n_left <> n_right").select(
+        "key", "digest", "record", (F.col("n_left") > F.col("n_right")).alias("is_left"), n.alias("n"),
+        record_digest(found, ["key"]).alias("key_digest"),
+    )
+    count = lambda is_left: F.sum(F.when(F.col("is_left") == F.lit(is_left), F.col("n")).otherwise(0))
+    sizes = rest.groupBy("key_digest").agg(count(True).alias("rest_left"), count(False).alias("rest_right"))
+    rest = rest.join(sizes, "key_digest")
+    two_sided = (F.col("rest_left") > 0) & (F.col("rest_right") > 0)
+
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy")
+    alone = rest.where(~two_sided).select("key", "is_left", "record", copies)
+    nothing = F.lit(None).cast(rest.schema["record"].dataType)
+    out = alone.select("key", F.when(F.col("is_left"), F.col("record")).otherwise(nothing).alias("before"), F.when(~F.col("is_left"), F.col("record")).otherwise(nothing).alias("after"))
+
+    kinds = rest.schema["record"].dataType
+    marks = F.array(*(_mark(F.col("record")[f"f{i}"], kinds[f"f{i}"].dataType) for i in range(len(others)))).cast("array<string>")
+    rows = rest.where(two_sided).select("*", copies).select("key_digest", "key", "is_left", "record", marks.alias("marks"), _place(F.col("digest"), F.col("copy")).alias("place"), _large().alias("large"))
+    out = out.union(_paired_together(rows.where("not large").drop("large"), len(others)))
+    if large:
+        out = out.union(_paired_in_steps(rows.where("large").drop("large"), len(others)))
+    status = F.when(F.col("before").isNotNull() & F.col("after").isNotNull(), "modified").when(F.col("before").isNotNull(), "left_only").otherwise("right_only")
+    value = [F.col(when)[f"f{i}"].alias(f"{f}_{when}") for when in ("before", "after") for i, f in enumerate(others)]
+    return out.select(*(F.col("key")[f"k{i}"].alias(k) for i, k in enumerate(keys)), status.alias("status"), *value)
+
+
+def _mark(value: Column, kind: T.DataType) -> Column:
+    return F.md5(canonical(value, kind).cast("binary"))
 
 
 def changed(field: str) -> Column:

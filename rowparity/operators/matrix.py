@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,18 +38,26 @@ def outliers(pairs: DataFrame, below: float = 0.15) -> DataFrame:
 
 
 def order(names: list[str], value: dict[tuple[str, str], float]) -> list[str]:
-    """The tables in the order of average-linkage clusters, so that like ones are neighbours."""
-    like = lambda a, b: 1.0 if a == b else value[min(a, b), max(a, b)]
-    groups = [[n] for n in names]
-    while len(groups) > 1:
-        best, at = -1.0, (0, 1)
-        for i, one in enumerate(groups):
-            for j in range(i + 1, len(groups)):
-                mean = sum(like(a, b) for a in one for b in groups[j]) / (len(one) * len(groups[j]))
-                if mean > best:
-                    best, at = mean, (i, j)
-        right, left = groups.pop(at[1]), groups.pop(at[0])
-        if like(left[-1], right[0]) < like(right[-1], left[0]):
-            left, right = right, left
-        groups.append(left + right)
-    return groups[0] if groups else []
+    """The tables in the order of average-linkage clusters, so that like ones are neighbours.
+
+    ``total`` holds the sums of similarities between clusters.  The two with
+    the greatest mean, the first such pair, become one, whose sums are those
+    of its parts; of its two arrangements the one with likelier neighbours at
+    the seam is taken.
+    """
+    n = len(names)
+    like = np.array([[1.0 if a == b else value[min(a, b), max(a, b)] for b in names] for a in names], float).reshape(n, n)
+    total, chains = like.copy(), [[k] for k in range(n)]
+    while len(chains) > 1:
+        size = np.array(list(map(len, chains)), float)
+        mean = np.where(np.triu(np.ones_like(total), 1) > 0, total / np.outer(size, size), -np.inf)
+        i, j = np.unravel_index(np.argmax(mean), mean.shape)
+        one, two = chains[i], chains[j]
+        joined = two + one if like[one[-1], two[0]] < like[two[-1], one[0]] else one + two
+        keep = [k for k in range(len(chains)) if k not in (i, j)]
+        merged = total[i] + total[j]
+        grown = np.zeros((len(keep) + 1, len(keep) + 1))
+        grown[:-1, :-1] = total[np.ix_(keep, keep)]
+        grown[-1, :-1] = grown[:-1, -1] = merged[keep]
+        total, chains = grown, [*(chains[k] for k in keep), joined]
+    return [names[k] for chain in chains for k in chain]

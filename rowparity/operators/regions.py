@@ -17,13 +17,20 @@ def merge(intervals: DataFrame) -> DataFrame:
 
 
 def _overlapping(records: DataFrame, intervals: DataFrame, bin_size: int, how: str) -> DataFrame:
-    """Semi or anti join on overlap: both sides in fixed bins, an equi-join on (contig, bin) and the overlap."""
-    bins = lambda a, b: F.sequence(F.floor(a / bin_size), F.floor((b - 1) / bin_size))
-    sides = intervals.select(F.col("contig").alias("__contig"), F.col("start").alias("__from"), F.col("end").alias("__to"), F.explode(bins(F.col("start"), F.col("end"))).alias("__bin"))
-    rows = records.withColumn("__row", F.monotonically_increasing_id())
-    binned = rows.where("contig is not null and start >= 0").withColumn("__b", F.explode(bins(F.col("start"), F.greatest(F.col("end"), F.col("start") + 1))))
-    hit = binned.join(sides, (F.col("contig") == F.col("__contig")) & (F.col("__b") == F.col("__bin")) & (F.col("__from") < F.col("end")) & (F.col("__to") > F.col("start")), "left_semi")
-    return rows.join(hit.select("__row").distinct(), "__row", how).drop("__row")
+    """Semi or anti join on overlap with merged intervals.
+
+    An interval answers for the starts from the end of the one before it up to
+    its own end: the first that can overlap a record which starts there.  So a
+    record meets one interval at most, by (contig, bin of its start).
+    """
+    before = F.coalesce(F.lag("end").over(Window.partitionBy("contig").orderBy("start")), F.lit(0))
+    bins = F.sequence(F.floor(F.col("since") / bin_size), F.floor((F.col("end") - 1) / bin_size))
+    each = intervals.withColumn("since", before).where("end > since").withColumn("bin", F.explode(bins)).alias("i")
+    rows = records.alias("r")
+    start, end = F.col("r.start"), F.col("r.end")
+    same = (F.col("r.contig") == F.col("i.contig")) & (F.floor(start / bin_size) == F.col("i.bin"))
+    meets = (start >= F.col("i.since")) & (start < F.col("i.end")) & (F.col("i.start") < end)
+    return rows.join(each, same & meets, how)
 
 
 def allowed(records: DataFrame, include: DataFrame | None, exclude: DataFrame | None, bin_size: int = 16_384) -> DataFrame:

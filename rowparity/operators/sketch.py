@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,8 +11,17 @@ SIZE = 512
 
 
 def kmv(digests: DataFrame, size: int = SIZE) -> DataFrame:
-    """The ``size`` least different digests of a column ``h``; kept per task before the merge."""
-    return digests.select("h").distinct().orderBy("h").limit(size)
+    """The ``size`` least different digests of a column ``h``; a task keeps no more before the merge."""
+
+    def least(batches):
+        kept = pa.array([], pa.string())
+        for batch in batches:
+            both = pc.unique(pa.concat_arrays([kept, batch.column(0).cast(pa.string())]))
+            kept = both.take(pc.array_sort_indices(both)[:size])
+        yield pa.RecordBatch.from_arrays([kept], names=["h"])
+
+    found = digests.select("h").where("h is not null").mapInArrow(least, "h string")
+    return found.distinct().orderBy("h").limit(size)
 
 
 def cardinality(sketch: DataFrame, size: int = SIZE) -> DataFrame:

@@ -22,15 +22,16 @@ def header(spark: SparkSession, path: str) -> DataFrame:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Records (contig, pos, stop, identifiers, alleles, quality, filters, info, samples) of plain or gzipped VCF.
 
-    info maps keys to texts (flags to "true"); samples maps names to structs of
-    the FORMAT values and whether the genotype is phased.
+    info maps keys to texts (flags to "true"), a text being all that follows
+    the first "="; of a key that a record repeats the last value counts.
+    samples maps names to structs of the FORMAT values and whether the
+    genotype is phased.
     """
     names = [r["name"] for r in header(spark, path).where("section = 'sample'").orderBy(F.col("value").cast("int")).collect()]
     cells = F.split("value", "\t")
     rows = spark.read.text(path).where(~F.col("value").startswith("#") & (F.col("value") != "")).select(cells.alias("c"))
     none = lambda c: F.when(c != ".", c)
-    info = F.transform(F.split(F.get("c", F.lit(7)), ";"), lambda x: F.struct(F.split_part(x, F.lit("="), F.lit(1)).alias("key"), F.when(F.contains(x, F.lit("=")), F.substring_index(x, "=", -1)).otherwise("true").alias("value")))
-    info = F.map_from_entries(F.filter(info, lambda e: e["key"] != "."))
+    info = _info(F.split(F.get("c", F.lit(7)), ";"))
     keys = F.split(F.get("c", F.lit(8)), ":")
 
     def sample(k: int):
@@ -49,6 +50,17 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _info(entries: Column) -> Column:
+    """INFO entries as a map; empty entries and "." are none."""
+    name = lambda x: F.substring_index(x, "=", 1)
+    last = F.filter(
+        entries,
+        lambda x, i: ~name(x).isin(".", "") & ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda y: name(y) == name(x)),
+    )
+    value = lambda x: F.when(F.contains(x, F.lit("=")), F.substring(x, F.length(name(x)) + 2, F.length(x))).otherwise("true")
+    return F.map_from_entries(F.transform(last, lambda x: F.struct(name(x).alias("key"), value(x).alias("value"))))
+
+
 def genotypes(records: DataFrame) -> DataFrame:
     """Records (contig, pos, alleles, samples) with samples as maps of names to allele numbers; null where one is missing."""
     numbers = lambda gt: F.transform(F.split(gt, r"[/|]"), lambda x: x.try_cast("int"))

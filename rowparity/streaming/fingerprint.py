@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.fingerprint import LIMBS, fingerprints
+from ..operators.fingerprint import VALUES, fingerprints
 
 
 def append(stream: DataFrame, fields: list[str], path: str, checkpoint: str) -> StreamingQuery:
@@ -24,5 +24,4 @@ def append(stream: DataFrame, fields: list[str], path: str, checkpoint: str) ->
 
 def total(parts: DataFrame) -> DataFrame:
     """The fingerprints of all that the stream has read."""
-    aggs = [F.sum("n").alias("n")] + [F.sum(f"sum_{k}").alias(f"sum_{k}") for k in range(LIMBS)] + [F.bit_xor(f"xor_{k}").alias(f"xor_{k}") for k in range(LIMBS)]
-    return parts.groupBy("name").agg(*aggs)
+    return parts.groupBy("name").agg(*((F.bit_xor if v.startswith("xor") else F.sum)(v).alias(v) for v in VALUES))

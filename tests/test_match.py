@@ -38,9 +38,8 @@ def test_against_brute_force(spark, seed):
     assert row.identical + row.modified + row.left_only == len(left) and row.identical + row.modified + row.right_only == len(right)
     back = match.totals(b, a, ["k"], FIELDS).first()
     assert [back.identical, back.modified, back.left_only, back.right_only] == [row.identical, row.modified, row.right_only, row.left_only]
-    for nearest in (200, 0):
-        found = Counter(x.status for x in match.changes(a, b, ["k"], FIELDS, nearest).collect())
-        assert [found[s] for s in ("modified", "left_only", "right_only")] == brute(left, right)[1:]
+    found = Counter(x.status for x in match.changes(a, b, ["k"], FIELDS).collect())
+    assert [found[s] for s in ("modified", "left_only", "right_only")] == brute(left, right)[1:]
 
 
 def test_pairs_are_the_most_alike(spark):
@@ -51,6 +50,43 @@ def test_pairs_are_the_most_alike(spark):
     assert {(r.field, r.n) for r in match.field_changes(match.changes(a, b, ["k"], FIELDS), ["a", "b"]).collect()} == {("b", 2)}
 
 
+def test_both_ways_of_pairing_give_the_same_pairs(spark, monkeypatch):
+    r = random.Random(5)
+    rows = [[(r.choice([None, 1]), r.choice("abc"), r.randint(0, 6), r.choice([None, "p", "q"])) for _ in range(n)] for n in (40, 50)]
+    a, b = (spark.createDataFrame(x, "k int, a string, b int, c string") for x in rows)
+    found = []
+    for together in (1000, 2):
+        monkeypatch.setattr(match, "TOGETHER", together)
+        found.append(Counter(tuple(x) for x in match.changes(a, b, ["k"], a.columns).collect()))
+    assert found[0] == found[1] and found[0].total() > 20
+    # no two records that are left over, one on each side, are as alike as a pair of one different field
+    alone = [[x for x in found[0] if x[1] == s] for s in ("left_only", "right_only")]
+    assert not any(x[0] == y[0] and sum(x[2 + k * 2] != y[3 + k * 2] for k in range(3)) < 2 for x in alone[0] for y in alone[1])
+
+
+def test_many_residual_records_of_one_key(spark):
+    n = 20_000
+    a = spark.range(n).select(F.lit(1).alias("k"), F.col("id").alias("a"), F.lit("x").alias("b"))
+    b = a.withColumn("b", F.when(F.col("a") % 2 == 0, "y").otherwise(F.lit("x"))).where("a <> 1 and a <> 2")
+    found = match.changes(a, b, ["k"], ["k", "a", "b"]).groupBy("status", F.expr("a_before = a_after").alias("same")).count().collect()
+    assert {(r.status, r.same): r["count"] for r in found} == {("modified", True): n // 2 - 1, ("left_only", None): 2}
+
+
+def test_columns_may_have_any_names(spark):
+    names = ["n", "side", "digest", "l", "r", "n_left", "k_left", "key", "record", "present", "f0", "k0", "place", "a.b"]
+    schema = "k int, " + ", ".join(f"`{c}` bigint" for c in names)
+    big = 9007199254740993
+    one = [(1, *(big + k for k in range(len(names)))), (1, *([None] * len(names)))]
+    two = [(1, *(big + k + 100 * (c == "n") for k, c in enumerate(names))), (1, *([7] * len(names)))]
+    a, b = spark.createDataFrame(one, schema), spark.createDataFrame(two, schema)
+    found = match.changes(a, b, ["k"], ["k", *names])
+    rows = {r["n_before"]: r.asDict() for r in found.collect()}
+    assert rows[big]["n_after"] == big + 100 and all(rows[big][f"{c}_after"] == big + k for k, c in enumerate(names) if c != "n")
+    assert all(rows[None][f"{c}_after"] == 7 for c in names)
+    with pytest.raises(ValueError, match="one name"):
+        match.changes(a.withColumnRenamed("k", "status"), b.withColumnRenamed("k", "status"), ["status"], ["status", "n"])
+
+
 def test_a_table_equals_itself_in_any_order(spark):
     rows = table(random.Random(9), 200)
     a = spark.createDataFrame(rows, SCHEMA)
@@ -85,7 +121,7 @@ def test_nulls_and_bounds_don_t_run_together(spark):
 def test_empty_tables_have_fingerprints(spark):
     empty = spark.createDataFrame([], SCHEMA)
     rows = fingerprint.fingerprints(empty, FIELDS).collect()
-    assert len(rows) == 4 and all(r.n == r.sum_0 == r.xor_3 == 0 for r in rows)
+    assert len(rows) == 4 and all(r.n == r.high_0 == r.xor_1 == 0 for r in rows)
 
 
 def test_map_transitions_and_ledger(spark, tmp_path):
