@@ -1,159 +1,177 @@
-r"""Repeated runs of lines, by prefix doubling over line-id sequences; DataFrame functions only.
+r"""Repeated runs of lines: a suffix array over line ids by distributed prefix doubling; DataFrame functions only.
 
 A document is the sequence of its lines' ids (two 64-bit hashes; blank lines
-don't count).  Doubling names the runs of 1, 2, 4, ... lines that begin at
-each line: a run's name comes from the names of its halves.  Positions with
-one name at level k are an interval of the suffix array with a common prefix
-of 2^k lines; equal names are all that deletion asks for, so the intervals
-are found by grouping names, and the order among them is never made.
-
-A run counts if it has ``MIN_WORDS`` words.  From each line the shortest run
-that does is named by lifting through the levels, once forward and once
-backward.  A maximal repeated run of enough words is the union of the
-shortest ones in it: a line that no forward run within it reaches ends a
-backward one.  So lines are deleted that lie in a run which also begins
-earlier in the corpus, ordered by document id and line.
+don't count).  A suffix begins at each line.  Level k sorts the suffixes by
+their first 2^k lines: a suffix's rank there is the number of suffixes before
+its group.  Level k + 1 sorts the pairs (rank of the first half, rank of the
+second half), which each suffix gets by a join with the suffix 2^k lines on.
+A group is an interval of the suffix array whose longest common prefix is
+2^k lines or more.  Suffixes alone in their group have no copy and leave, so
+the rounds end when no run of 2^k lines occurs twice.
+
+Groups are counted before they are sorted or joined back, map-side first, so a
+line that a third of all rows share is one row of each task.  Nothing is held
+for a document but its text and the places of its repeated lines.
+
+A line is deleted if it lies in a run of ``min_lines`` lines or more that also
+begins earlier in the corpus, ordered by document id and line.  With 1, the
+default, that is any repeated run.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .shared import dropped, row_key, written
+from .shared import dropped, written
 
-MIN_WORDS = 25
+MIN_LINES = 1
 WORD = r"[^\x20\x09-\x0D]+"
+#: Stands for a null id, before all others.
+NO_ID = -(1 << 63)
+PLACE = ["id", "text_key", "at"]
 
 
-def _step(values: Column, k: int, join) -> Column:
-    """Level k of an array from level k - 1; null where the run would leave the document."""
-    far = 1 << (k - 1)
-    return F.transform(values, lambda x, i: join(x, F.get(values, i + far)))
-
-
-def _runs(df: DataFrame, words: str, one: str, two: str, min_words: int, tag: str) -> DataFrame:
-    """Adds ``tag``: by line, the names and length of the shortest run with enough words, or null."""
-    levels = max(1, (min_words - 1).bit_length())
-    both = lambda x, y: F.when(y.isNotNull(), F.xxhash64(x, y))
-    name = lambda base, k: F.col(base) if k == 0 else F.col(f"{tag}_{base}_{k}")
-    for k in range(1, levels):
-        df = df.withColumns({
-            f"{tag}_{words}_{k}": _step(name(words, k - 1), k, lambda x, y: x + y),
-            f"{tag}_{one}_{k}": _step(name(one, k - 1), k, both),
-            f"{tag}_{two}_{k}": _step(name(two, k - 1), k, both),
-        })
-    state = F.transform(F.col(words), lambda x, i: F.struct(i.cast("int").alias("at"), F.lit(0).cast("long").alias("sum"), F.lit(1).cast("long").alias("one"), F.lit(2).cast("long").alias("two")))
-
-    def lifted(state: Column, k: int) -> Column:
-        def lift(s: Column) -> Column:
-            more = s["sum"] + F.get(name(words, k), s["at"])
-            moved = F.struct(
-                (s["at"] + (1 << k)).alias("at"),
-                more.alias("sum"),
-                F.xxhash64(s["one"], F.get(name(one, k), s["at"])).alias("one"),
-                F.xxhash64(s["two"], F.get(name(two, k), s["at"])).alias("two"),
-            )
-            return F.when(more < min_words, moved).otherwise(s)
-
-        return F.transform(state, lift)
-
-    for k in range(levels - 1, -1, -1):
-        df = df.withColumn(f"{tag}_state_{k}", lifted(state, k))
-        state = F.col(f"{tag}_state_{k}")
-    last = lambda base, s: F.get(F.col(base), s["at"])
-    done = lambda s, i: F.when(
-        last(words, s).isNotNull(),
-        F.struct(
-            F.xxhash64(F.lit(tag), s["one"], last(one, s)).alias("one"),
-            F.xxhash64(F.lit(tag), s["two"], last(two, s)).alias("two"),
-            i.cast("int").alias("at"),
-            (s["at"] - i + 1).cast("int").alias("lines"),
-        ),
-    )
-    return df.withColumn(tag, F.transform(state, done))
+def _key() -> list[Column]:
+    """A document: its id and a hash of its text."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("text_key")]
 
 
-def _split(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, lines, place): lines of the text, and the numbers of those with a word."""
-    rows = docs.select(*row_key(), F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n").alias("lines"))
-    numbers = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(WORD), i)), lambda i: i.isNotNull())
-    return rows.withColumn("place", numbers)
-
-
-def line_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(one, two, doc_id, text_key, at, lines): every line's shortest runs, numbered without blank lines."""
-    rows = _split(docs).where(F.size("place") > 0)
-    line = lambda i: F.get(F.col("lines"), i)
-    rows = rows.select(
-        "doc_id", "text_key",
-        F.transform("place", lambda i: F.regexp_count(line(i), F.lit(WORD)).cast("long")).alias("words"),
-        F.transform("place", lambda i: F.xxhash64(line(i))).alias("one"),
-        F.transform("place", lambda i: F.xxhash64(F.lit("2"), line(i))).alias("two"),
-    )
-    rows = _runs(rows, "words", "one", "two", min_words, "forward").select("doc_id", "text_key", "words", "one", "two", "forward")
-    rows = rows.select("doc_id", "text_key", "forward", *(F.reverse(c).alias(c) for c in ("words", "one", "two")))
-    rows = _runs(rows, "words", "one", "two", min_words, "backward")
-    n = F.size("words")
-    back = F.transform("backward", lambda r: F.when(r.isNotNull(), F.struct(r["one"], r["two"], (n - r["at"] - r["lines"]).alias("at"), r["lines"].alias("lines"))))
-    runs = F.filter(F.concat("forward", back), lambda r: r.isNotNull())
-    return rows.select("doc_id", "text_key", F.explode(runs).alias("run")).select("run.one", "run.two", "doc_id", "text_key", "run.at", "run.lines")
-
-
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, text_key, runs): the runs (at, lines) of each document that also begin earlier."""
-    place = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(-(1 << 63)).cast("decimal(20,0)")) * F.lit(1 << 31).cast("decimal(11,0)") + F.col("at").cast("decimal(10,0)")
-    runs = written(line_runs(docs, min_words), "line-runs")
-    placed = runs.withColumn("order", place.cast("decimal(38,0)"))
-    first = placed.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n"), F.min("order").alias("first"))
-    first = written(first.where("n > 1").select("one", "two", "first"), "first-runs")
-    later = placed.join(first, ["one", "two"]).where(F.col("order") > F.col("first"))
-    found = written(later.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("at", "lines")).alias("runs")), "later-runs")
-    dropped(runs)
-    dropped(first)
+def _split() -> Column:
+    return F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")
+
+
+def _order() -> Column:
+    """Where a suffix begins in the corpus; documents have fewer than 2^31 lines."""
+    return (F.col("id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("at").cast("decimal(10,0)")).cast("decimal(38,0)")
+
+
+def suffixes(docs: DataFrame) -> DataFrame:
+    """(id, text_key, at, one, two): the line id at each suffix; lines are numbered without blank ones."""
+    worded = F.filter(_split(), lambda x: x.rlike(WORD))
+    ids = F.transform(worded, lambda x: F.struct(F.xxhash64(x).alias("one"), F.xxhash64(F.lit("2"), x).alias("two")))
+    rows = docs.select(*_key(), F.posexplode(ids).alias("at", "line"))
+    return rows.select(*PLACE, "line.one", "line.two")
+
+
+def _ranked(groups: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, rank, first) of the groups (*by, n, first): the suffixes before each in the order of ``by``."""
+    parts = groups.repartitionByRange(*by).sortWithinPartitions(*by).select("*", F.spark_partition_id().alias("part"))
+    parts = written(parts, "groups")
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = parts.groupBy("part").agg(F.sum("n").alias("n"))
+    starts = sizes.select("part", before(Window.orderBy("part")).alias("start"))  # a row for each partition
+    within = parts.select("*", before(Window.partitionBy("part").orderBy(*by)).alias("inside"))
+    found = within.join(F.broadcast(starts), "part").select(*by, (F.col("start") + F.col("inside")).alias("rank"), "first")
+    found = written(found, "ranks")
+    dropped(parts)
+    return found
+
+
+def _level(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """(id, text_key, at, rank, later) of the suffixes (*PLACE, *by) whose group has others."""
+    groups = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(_order()).alias("first")).where("n > 1")
+    ranks = _ranked(groups, by)
+    # always by shuffle: the groups grow with the corpus; adaptive execution splits a group that many rows share
+    found = rows.join(ranks.hint("merge"), by).select(*PLACE, "rank", (_order() > F.col("first")).alias("later"))
+    found = written(found, name)
+    dropped(ranks)
     return found
 
 
-def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def _shifted(level: DataFrame, lines: int) -> DataFrame:
+    """(id, text_key, at, second): the rank of the suffix that begins ``lines`` on."""
+    return level.select("id", "text_key", (F.col("at") - lines).alias("at"), F.col("rank").alias("second"))
+
+
+def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+    """(id, text_key, starts, longest) of the documents with a run that also begins earlier.
+
+    ``starts`` are the lines where a run of ``min_lines`` lines does;
+    ``longest`` is the greatest 2^k for which one of 2^k lines does.
+    """
+    rows = written(suffixes(docs), "suffixes")
+    level = _level(rows, ["one", "two"], "level-0")
+    once = written(level.distinct(), "level-0")  # equal rows of documents are one place
+    for table in (rows, level):
+        dropped(table)
+    level, lines, windows, deepest = once, 1, None, []
+    while not level.isEmpty():
+        later = level.where("later")
+        if lines <= min_lines < 2 * lines:
+            wide = later if lines == min_lines else _window(level, min_lines - lines).where("later")
+            windows = written(wide.select(*PLACE), "windows")
+        deepest.append(written(later.select("id", "text_key").distinct().withColumn("longest", F.lit(lines)), "deepest"))
+        pairs = written(level.withColumnRenamed("rank", "first_half").drop("later").join(_shifted(level, lines), PLACE), "pairs")
+        below = _level(pairs, ["first_half", "second"], f"level-{len(deepest)}")
+        for table in (pairs, level):
+            dropped(table)
+        level, lines = below, 2 * lines
+    found = level.select("id", "text_key").withColumn("longest", F.lit(0)).where("false")
+    for table in deepest:
+        found = found.union(table)
+    found = found.groupBy("id", "text_key").agg(F.max("longest").alias("longest"))
+    if windows is None:
+        return found.withColumn("starts", F.array().cast("array<int>"))
+    starts = windows.groupBy("id", "text_key").agg(F.collect_list("at").alias("starts"))
+    found = written(found.join(starts, ["id", "text_key"], "left"), "repeated")
+    for table in (windows, *deepest):
+        dropped(table)
+    return found
+
+
+def _window(level: DataFrame, on: int) -> DataFrame:
+    """(*PLACE, later) of runs between two levels: a run is named by the ranks of its first and its last 2^k lines."""
+    pairs = level.withColumnRenamed("rank", "first_half").drop("later").join(_shifted(level, on), PLACE)
+    return _level(written(pairs, "pairs"), ["first_half", "second"], "window")
+
+
+def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """The columns of ``docs``, with the results in a struct ``line_dedup``.
 
-    ``line_dedup`` has n_lines, n_removed and text: the text without later
-    copies, the text as it was where nothing goes.  Blank lines stay.  A null
-    text has no lines.  Rows with one doc_id and one text are one place in the
-    corpus and are no copies of each other; a null id comes before all others.
-    An empty table gives an empty one.  A column of ``docs`` with the name
-    line_dedup is replaced.
+    ``line_dedup`` has n_lines, n_removed, longest_run (see ``repeated_runs``;
+    0 without one) and text: the text without later copies, the text as it was
+    where nothing goes.  Blank lines stay.  A null text has no lines; an empty
+    one has one blank line.  Texts may have up to 2^31 lines; one text is one
+    row.  Rows with one doc_id and one text are one place in the corpus and are
+    no copies of each other; a null id comes before all others, and of two
+    texts with one id neither is earlier at equal lines.  An empty table gives
+    an empty one.  A column of ``docs`` with the name line_dedup is replaced.
     """
     names = [c for c in docs.columns if c != "line_dedup"]
-    found = repeated_lines(docs, min_words).withColumnsRenamed({"doc_id": "__id", "text_key": "__key", "runs": "__runs"})
-    rows = docs.select(*names, F.xxhash64("text").alias("__text_key"))
+    found = repeated_runs(docs, min_lines)
+    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in names)).alias("doc"), *_key(), F.col("text").cast("string").alias("text"))
     # always by shuffle: what is removed grows with the corpus
-    rows = rows.join(found.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left")
-    rows = rows.withColumn("__lines", F.split(F.col("text").cast("string"), "\n"))
-    numbers = F.filter(F.transform("__lines", lambda x, i: F.when(x.rlike(WORD), i)), lambda i: i.isNotNull())
-    rows = rows.withColumn("__place", F.when(F.col("__runs").isNotNull(), numbers))
-    gone = F.flatten(F.transform("__runs", lambda r: F.slice(F.col("__place"), r["at"] + 1, r["lines"])))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), gone)
-    rows = rows.withColumn("__kept", F.when(F.col("__runs").isNotNull(), kept))
-    changed = F.col("__kept").isNotNull()
-    text = F.array_join(F.transform("__kept", lambda i: F.get(F.col("__lines"), i)), "\n")
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.size("__lines"))
-    return rows.select(*names, F.struct(
+    rows = rows.join(found.hint("merge"), ["id", "text_key"], "left")
+    gone = F.flatten(F.transform("starts", lambda s: F.sequence(s, s + min_lines - 1)))
+    rows = rows.withColumn("lines", _split()).withColumn("gone", F.when(F.size("starts") > 0, F.array_distinct(gone)))
+    numbers = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(WORD), i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("numbers", F.when(F.col("gone").isNotNull(), numbers))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.transform("gone", lambda k: F.get("numbers", k)))
+    rows = rows.withColumn("kept", F.when(F.col("gone").isNotNull(), kept))
+    changed = F.col("kept").isNotNull()
+    text = F.array_join(F.transform("kept", lambda i: F.get(F.col("lines"), i)), "\n")
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines"))
+    result = F.struct(
         n.cast("long").alias("n_lines"),
-        F.when(changed, n - F.size("__kept")).otherwise(0).cast("long").alias("n_removed"),
-        F.when(changed, text).otherwise(F.col("text").cast("string")).alias("text"),
-    ).alias("line_dedup"))
+        F.when(changed, n - F.size("kept")).otherwise(0).cast("long").alias("n_removed"),
+        F.coalesce("longest", F.lit(0)).cast("long").alias("longest_run"),
+        F.when(changed, text).otherwise(F.col("text")).alias("text"),
+    )
+    rows = rows.select("doc", result.alias("result"))
+    return rows.select(*(F.col("doc").getField(c).alias(c) for c in names), F.col("result").alias("line_dedup"))
 
 
-def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def without_repeats(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """``docs`` with the shortened texts and their n_chars; documents of which no word is left go."""
-    found = deduplicated(docs, min_words)
+    found = deduplicated(docs, min_lines)
     result = F.col("line_dedup")
     found = found.where((result["n_removed"] == 0) | result["text"].rlike(WORD))
     changed = result["n_removed"] > 0
     columns = []
     for field in docs.schema.fields:
-        value = F.col(field.name)
+        value = F.col(f"`{field.name}`")
         if field.name == "text":
             value = F.when(changed, result["text"]).otherwise(value).alias("text")
         elif field.name == "n_chars":
@@ -163,34 +181,31 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def op6_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines removed from every document, and a digest of what is left."""
+    """Lines removed from every document, its longest repeated run, and a digest of what is left."""
     found = deduplicated(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", F.col("line_dedup.n_lines").alias("n_lines"), F.col("line_dedup.n_removed").alias("n_removed"), F.md5(F.col("line_dedup.text").cast("binary")).alias("kept_md5"))
+    result = F.col("line_dedup")
+    digest = F.md5(result["text"].cast("binary")).alias("kept_md5")
+    return found.select("doc_id", *(result[c].alias(c) for c in ("n_lines", "n_removed", "longest_run")), digest)
 
 
-ORACLE_OP6 = rf"""
+ORACLE_OP6 = r"""
 with l as (
   select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) - 1 nr from documents
-), w as (
-  select *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) words from l
 ), p as (
-  select *, row_number() over (partition by doc_id order by nr) pos, sum(words) over (partition by doc_id order by nr) upto
-  from w where words > 0
+  select *, row_number() over (partition by doc_id order by nr) pos from l where regexp_matches(line, '[^\x20\x09-\x0D]')
+), pairs as (
+  select a.doc_id, a.nr, a.pos, b.doc_id other, a.pos - b.pos diagonal
+  from p a join p b on a.line = b.line and (b.doc_id < a.doc_id or b.doc_id = a.doc_id and b.pos < a.pos)
+), islands as (
+  select *, pos - row_number() over (partition by doc_id, other, diagonal order by pos) island from pairs
 ), runs as (
-  select 'forward' family, a.doc_id, a.pos, min(b.pos) last from p a join p b
-    on a.doc_id = b.doc_id and b.pos between a.pos and a.pos + {MIN_WORDS - 1} and b.upto - a.upto + a.words >= {MIN_WORDS} group by all
-  union all
-  select 'backward', b.doc_id, max(a.pos), b.pos from p a join p b
-    on a.doc_id = b.doc_id and a.pos between b.pos - {MIN_WORDS - 1} and b.pos and b.upto - a.upto + a.words >= {MIN_WORDS} group by b.doc_id, b.pos
-), named as (
-  select r.family, r.doc_id, r.pos, r.last, string_agg(p.line, chr(10) order by p.pos) body
-  from runs r join p on p.doc_id = r.doc_id and p.pos between r.pos and r.last group by all
-), later as (
-  select * from (select *, row_number() over (partition by family, body order by doc_id, pos) nth from named) where nth > 1
+  select doc_id, count(*) n from islands group by doc_id, other, diagonal, island
+), longest as (
+  select doc_id, cast(2 ** floor(log2(max(n))) as bigint) longest_run from runs group by doc_id
 ), gone as (
-  select distinct p.doc_id, p.nr from later r join p on p.doc_id = r.doc_id and p.pos between r.pos and r.last
+  select distinct doc_id, nr from pairs
 )
-select l.doc_id, count(*) n_lines, count(gone.nr) n_removed,
+select l.doc_id, count(*) n_lines, count(gone.nr) n_removed, coalesce(any_value(longest_run), 0) longest_run,
   md5(coalesce(string_agg(l.line, chr(10) order by l.nr) filter (where gone.nr is null), '')) kept_md5
-from l left join gone on gone.doc_id = l.doc_id and gone.nr = l.nr group by l.doc_id
+from l left join gone on gone.doc_id = l.doc_id and gone.nr = l.nr left join longest on longest.doc_id = l.doc_id group by l.doc_id
 """

@@ -1,63 +1,13 @@
-"""Shared folder, written tables and small helpers of the operators."""
+"""Small helpers of the operators."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_folders: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """This application's folder below ``spark.checkpoint.dir``.
-
-    That setting names storage which driver and executors share.  Only where
-    it is unset (a local session, as in tests) a temporary folder stands in.
-    The folder is deleted when the application ends.
-    """
-    app = spark.sparkContext.applicationId
-    if app not in _folders:
-        root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rowparity-")
-        _folders[app] = f"{root.rstrip('/')}/rowparity-{app}"
-        atexit.register(_delete, spark, _folders[app])
-    return _folders[app]
-
-
-def _delete(spark: SparkSession, folder: str) -> None:
-    if spark.sparkContext._jsc is None:
-        return
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path for a new table or archive in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again.
-
-    This cuts the lineage: what follows reads files that survive the loss of
-    an executor, and an expensive step runs once.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of what is now written
-    return spark.read.schema(df.schema).parquet(path)
-
+from ..storage import dropped, new_path, shared_folder, written
 
-def dropped(df: DataFrame) -> None:
-    """Deletes the files of a table of ``written`` that nothing reads any more."""
-    spark = df.sparkSession
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if folder.split(":", 1)[-1].lstrip("/").startswith(shared_folder(spark).split(":", 1)[-1].lstrip("/")):
-            _delete(spark, folder)
+__all__ = ["dropped", "new_path", "row_key", "same_row", "shared_folder", "written"]
 
 
 def row_key() -> list:
