@@ -9,13 +9,18 @@ then verified token by token around the hit.
 An item is found in a document if, along a diagonal, some ``WINDOW`` tokens in
 a row agree in at least ``MATCHES``.  The two masks leave no such window out:
 whichever three of 15 tokens differ, one of the masks fits beside them (the
-tests try all).  Items with fewer tokens are found where all of them agree;
-items with fewer than the shorter mask's span are not looked for, as they are
-evidence of nothing.
+tests try all).  Items with fewer tokens are found where all of them agree.
+An item shorter than both masks is one seed of all its tokens, which the
+documents' runs of that length are held against.
+
+Texts may be as long as a row can be.  A document keeps the diagonals that its
+seeds hit, and of its tokens only the windows along them.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,13 +38,18 @@ def token_hashes(text: str) -> Column:
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def seeds(tokens: str) -> Column:
+#: Items with fewer tokens have a mask of their own, all ones.
+LEAST = min(map(len, MASKS))
+
+
+def seeds(tokens: str, masks: list[str]) -> Column:
     """By mask, the hashes of the masked tokens at each position where the mask fits."""
     found = []
-    for tag, mask in enumerate(MASKS):
+    for mask in masks:
         on = [k for k, c in enumerate(mask) if c == "1"]
-        places = F.when(F.size(tokens) >= len(mask), F.sequence(F.lit(0), F.size(tokens) - len(mask))).otherwise(F.array().cast("array<int>"))
-        found.append(F.transform(places, _hash_at(tokens, on, tag)))
+        fits = F.sequence(F.lit(0), F.size(tokens) - len(mask))
+        places = F.when(F.size(tokens) >= len(mask), fits).otherwise(F.array().cast("array<int>"))
+        found.append(F.transform(places, _hash_at(tokens, on, int(mask, 2))))
     return F.array(*found)
 
 
@@ -47,9 +57,9 @@ def _hash_at(tokens: str, on: list[int], tag: int):
     return lambda i: F.xxhash64(F.lit(tag), *(F.get(F.col(tokens), i + k) for k in on))
 
 
-def _seed_rows(rows: DataFrame, *keys: str) -> DataFrame:
+def _seed_rows(rows: DataFrame, masks: list[str], *keys: str) -> DataFrame:
     """(*keys, seed, at) of rows with ``tokens``."""
-    by_mask = rows.select(*keys, F.explode(seeds("tokens")).alias("seeds"))
+    by_mask = rows.select(*keys, F.explode(seeds("tokens", masks)).alias("seeds"))
     return by_mask.select(*keys, F.posexplode("seeds").alias("at", "seed"))
 
 
@@ -57,28 +67,36 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, text_key, item_id, n_matched): the items found in each document.
 
     n_matched is the most tokens that agree in a window (in all of a short
-    item).  Null and empty texts hold nothing; rows with equal ids and texts
-    give one row; empty tables give an empty one.
+    item).  Null and empty texts hold nothing, and items without a token are
+    in nothing; rows with equal ids and texts give one row; empty tables give
+    an empty one.
     """
-    items = benchmark.select("item_id", token_hashes("text").alias("tokens")).where(F.size("tokens") >= min(map(len, MASKS))).distinct()
-    items = written(items, "items")
-    item_seeds = written(_seed_rows(items, "item_id").withColumnRenamed("at", "item_at").distinct(), "item-seeds")
+    items = benchmark.select("item_id", token_hashes("text").alias("tokens")).where(F.size("tokens") > 0).distinct()
+    items = written(items.withColumn("n", F.size("tokens")), "items")
+    lengths = sorted(r["n"] for r in items.where(F.col("n") < LEAST).select("n").distinct().collect())
+    found = [_seed_rows(items.where(F.col("n") >= LEAST), list(MASKS), "item_id", "n")]
+    found += [_seed_rows(items.where(F.col("n") == n), ["1" * n], "item_id", "n") for n in lengths]
+    item_seeds = written(reduce(DataFrame.union, found).withColumnRenamed("at", "item_at").distinct(), "item-seeds")
     texts = docs.select(*row_key(), token_hashes("text").alias("tokens"))
-    keyed = _seed_rows(texts, "doc_id", "text_key")
+    keyed = _seed_rows(texts, [*MASKS, *("1" * n for n in lengths)], "doc_id", "text_key")
     small = item_seeds.count() <= BROADCAST_SEEDS
     hits = keyed.join(F.broadcast(item_seeds) if small else item_seeds, "seed")
-    hits = hits.select("doc_id", "text_key", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
-    found = hits.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("item_id", "diagonal")).alias("hits"))
+    hits = hits.select("doc_id", "text_key", "item_id", "n", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
+    found = hits.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("item_id", "n", "diagonal")).alias("hits"))
     found = written(found, "hits")
 
     # only texts with a hit are cut into tokens again
-    with_hits = docs.select(*row_key(), "text")
-    with_hits = with_hits.join(found.hint("merge"), same_row(with_hits, found)).select(with_hits["doc_id"], with_hits["text_key"], token_hashes("text").alias("tokens"), "hits")
-    pairs = with_hits.select("doc_id", "text_key", "tokens", F.explode("hits").alias("hit")).select("doc_id", "text_key", "tokens", "hit.*")
+    each = docs.select(*row_key(), "text")
+    with_hits = each.join(found.hint("merge"), same_row(each, found))
+    with_hits = with_hits.select(each["doc_id"], each["text_key"], token_hashes("text").alias("tokens"), "hits")
+    first = lambda h: F.greatest(F.lit(0), h["diagonal"])
+    window = lambda h: F.slice("tokens", first(h) + 1, h["n"] + h["diagonal"] - first(h))
+    pairs = F.transform("hits", lambda h: F.struct(h["item_id"].alias("item_id"), h["diagonal"].alias("diagonal"), window(h).alias("window")))
+    pairs = with_hits.select("doc_id", "text_key", F.explode(pairs).alias("hit")).select("doc_id", "text_key", "hit.*")
     pairs = pairs.join(items.withColumnRenamed("tokens", "item_tokens"), "item_id")
-    low, high = F.greatest(F.lit(0), -F.col("diagonal")), F.least(F.size("item_tokens"), F.size("tokens") - F.col("diagonal"))
-    same = F.transform(F.sequence(low, high - 1), lambda i: (F.get("item_tokens", i) == F.get("tokens", i + F.col("diagonal"))).cast("int"))
-    pairs = pairs.select("doc_id", "text_key", "item_id", F.size("item_tokens").alias("n"), same.alias("same"))
+    pairs = pairs.withColumn("low", F.greatest(F.lit(0), -F.col("diagonal")))
+    same = F.transform("window", lambda t, i: (F.get("item_tokens", i + F.col("low")) == t).cast("int"))
+    pairs = pairs.select("doc_id", "text_key", "item_id", "n", same.alias("same"))
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
     windows = F.transform(F.sequence(F.lit(1), F.size("same") - WINDOW + 1), lambda k: total(F.slice("same", k, WINDOW)))
     best = F.when(F.size("same") >= WINDOW, F.array_max(windows)).when(F.col("n") < WINDOW, total(F.col("same")))
@@ -89,9 +107,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents in which an item is found."""
-    bad = written(leaks(docs, benchmark).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct(), "leaks")
-    rows = docs.withColumn("__text_key", F.xxhash64("text"))
-    return rows.join(bad.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left_anti").select(*docs.columns)
+    bad = written(leaks(docs, benchmark).select("doc_id", "text_key").distinct(), "leaks").hint("merge")
+    same = docs["doc_id"].eqNullSafe(bad["doc_id"]) & (F.xxhash64(docs["text"]) == bad["text_key"])
+    return docs.join(bad, same, "left_anti")
 
 
 def op9_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +126,7 @@ with d as (
 ), dt as (
   select doc_id, len(tokens) n_doc, unnest(tokens) token, generate_subscripts(tokens, 1) - 1 pos from d
 ), bt as (
-  select item_id, len(tokens) n, unnest(tokens) token, generate_subscripts(tokens, 1) - 1 pos from b where len(tokens) >= {min(map(len, MASKS))}
+  select item_id, len(tokens) n, unnest(tokens) token, generate_subscripts(tokens, 1) - 1 pos from b
 ), same as (
   select doc_id, item_id, dt.pos - bt.pos diagonal, bt.pos, n, least(n, n_doc - (dt.pos - bt.pos)) - greatest(0, -(dt.pos - bt.pos)) fits
   from dt join bt using (token)

@@ -22,9 +22,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .shared import dropped, written
+from .shared import dropped, ranked, written
 
 MIN_LINES = 1
 WORD = r"[^\x20\x09-\x0D]+"
@@ -55,24 +54,10 @@ def suffixes(docs: DataFrame) -> DataFrame:
     return rows.select(*PLACE, "line.one", "line.two")
 
 
-def _ranked(groups: DataFrame, by: list[str]) -> DataFrame:
-    """(*by, rank, first) of the groups (*by, n, first): the suffixes before each in the order of ``by``."""
-    parts = groups.repartitionByRange(*by).sortWithinPartitions(*by).select("*", F.spark_partition_id().alias("part"))
-    parts = written(parts, "groups")
-    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = parts.groupBy("part").agg(F.sum("n").alias("n"))
-    starts = sizes.select("part", before(Window.orderBy("part")).alias("start"))  # a row for each partition
-    within = parts.select("*", before(Window.partitionBy("part").orderBy(*by)).alias("inside"))
-    found = within.join(F.broadcast(starts), "part").select(*by, (F.col("start") + F.col("inside")).alias("rank"), "first")
-    found = written(found, "ranks")
-    dropped(parts)
-    return found
-
-
 def _level(rows: DataFrame, by: list[str], name: str) -> DataFrame:
     """(id, text_key, at, rank, later) of the suffixes (*PLACE, *by) whose group has others."""
     groups = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(_order()).alias("first")).where("n > 1")
-    ranks = _ranked(groups, by)
+    ranks = ranked(groups, by).drop("n")
     # always by shuffle: the groups grow with the corpus; adaptive execution splits a group that many rows share
     found = rows.join(ranks.hint("merge"), by).select(*PLACE, "rank", (_order() > F.col("first")).alias("later"))
     found = written(found, name)
@@ -141,11 +126,11 @@ def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """
     names = [c for c in docs.columns if c != "line_dedup"]
     found = repeated_runs(docs, min_lines)
-    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in names)).alias("doc"), *_key(), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in names)).alias("doc"), *_key())
     # always by shuffle: what is removed grows with the corpus
     rows = rows.join(found.hint("merge"), ["id", "text_key"], "left")
     gone = F.flatten(F.transform("starts", lambda s: F.sequence(s, s + min_lines - 1)))
-    rows = rows.withColumn("lines", _split()).withColumn("gone", F.when(F.size("starts") > 0, F.array_distinct(gone)))
+    rows = rows.withColumn("text", F.col("doc").getField("text").cast("string")).withColumn("lines", _split()).withColumn("gone", F.when(F.size("starts") > 0, F.array_distinct(gone)))
     numbers = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(WORD), i)), lambda i: i.isNotNull())
     rows = rows.withColumn("numbers", F.when(F.col("gone").isNotNull(), numbers))
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.transform("gone", lambda k: F.get("numbers", k)))

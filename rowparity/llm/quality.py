@@ -237,10 +237,9 @@ def quality(docs: DataFrame, lower: float = LOWER, upper: float = UPPER) -> Data
 
 def keep_good(docs: DataFrame, lower: float = LOWER, upper: float = UPPER) -> DataFrame:
     """``docs`` without those that ``quality`` rejects."""
-    rejected = written(quality(docs, lower, upper).where("not kept").select("doc_id", "text_key").distinct(), "rejected")
-    rejected = rejected.withColumnsRenamed({"doc_id": "__id", "text_key": "__key"})
-    rows = docs.withColumn("__text_key", F.xxhash64("text"))
-    return rows.join(rejected.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left_anti").select(*docs.columns)
+    rejected = written(quality(docs, lower, upper).where("not kept").select("doc_id", "text_key").distinct(), "rejected").hint("merge")
+    same = docs["doc_id"].eqNullSafe(rejected["doc_id"]) & (F.xxhash64(docs["text"]) == rejected["text_key"])
+    return docs.join(rejected, same, "left_anti")
 
 
 def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:

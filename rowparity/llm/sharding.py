@@ -1,26 +1,34 @@
 """Shards along a Hilbert curve through several metadata columns.
 
-Each column is quantised to ``2^BITS`` steps; the steps of a row are a cell,
+Each column is quantised to a power of two of steps; the steps of a row are a cell,
 and the cells are ordered by their index on a Hilbert curve, so neighbours on
 the curve are near each other in every dimension.  The sorted rows are cut
 into runs of equal length.  Files written so have narrow ranges of all these
 columns at once, which a reader can prune by.
 
-Ranks over the whole table need no global sort: there are at most
-``2^(BITS * dimensions)`` cells, the rows of a cell are dealt into
-``RANK_PARTS`` parts by a hash, and the counts of cells and parts give each
-part's first rank.  A cell with a third of all rows is many parts.
+Ranks over the whole table need no global sort: cells are few (2^18 at most),
+the rows of a cell are dealt by a hash into parts of about ``PART_ROWS`` rows,
+and the counts of cells and parts give each part's first rank.  A cell with a
+third of all rows is many parts.
 """
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Bits of each dimension.
-BITS = 3
-RANK_PARTS = 64
+from .shared import dropped, ranked, written
+
+DIMENSIONS = ("lang", "source", "n_chars")
+#: Cells of the curve for each shard at least, so that a shard is a run of several; bits of a cell's index at most.
+CELLS, MOST_BITS = 16, 18
+#: Rows that are ranked together.
+PART_ROWS = 1_000_000
+#: Rows of a written file.
+FILE_ROWS = 1_000_000
 
 
 def hilbert_index(steps: list[int], bits: int) -> int:
@@ -52,79 +60,92 @@ def hilbert_index(steps: list[int], bits: int) -> int:
     return index
 
 
-def quantised(docs: DataFrame, dimensions: list[str], bits: int = BITS) -> Column:
-    """A column with the cell's index on the curve.
+def bits_for(shards: int, dimensions: int) -> int:
+    """Bits of each dimension."""
+    return max(1, min(-(-(CELLS * shards - 1).bit_length() // dimensions), MOST_BITS // dimensions))
 
-    A dimension's steps are its approximate quantiles over all rows, which
-    one pass finds in bounded memory.  Strings count by their first seven
-    bytes, which keeps their order.  Nulls are the least.
-    """
-    values = []
-    for name in dimensions:
-        if dict(docs.dtypes)[name] == "string":
-            seven = F.rpad(F.substring(F.hex(F.substring(F.col(name).cast("binary"), 1, 7)), 1, 14), 14, "0")
-            values.append(F.conv(seven, 16, 10).cast("long"))
-        else:
-            values.append(F.col(name).cast("double"))
-    share = [k / (1 << bits) for k in range(1, 1 << bits)]
-    bounds = docs.agg(*(F.percentile_approx(v, share, 1000).alias(f"d{k}") for k, v in enumerate(values))).first()
-    steps = []
-    for value, limits in zip(values, bounds, strict=True):
-        step = F.lit(0)
-        for limit in sorted(set(limits or ())):
-            step = step + F.when(value >= limit, 1).otherwise(0)
-        steps.append(step)
-    cells = [[]]
-    for _ in dimensions:
-        cells = [[*c, k] for c in cells for k in range(1 << bits)]
-    order = F.array(*(F.lit(hilbert_index(c, bits)) for c in cells))
-    place = F.lit(0)
-    for step in steps:
-        place = place * (1 << bits) + step
-    return F.element_at(order, place + 1)
 
+def steps(docs: DataFrame, name: str, bits: int) -> Column:
+    """The step of a dimension that a row lies in, from 0 to 2^bits - 1, in the order of its values.
 
-def sharded(docs: DataFrame, shards: int = 40, dimensions: tuple[str, ...] = ("lang", "source", "n_chars")) -> DataFrame:
-    """(doc_id, size, text_crc32, cell, shard, slot) of every document.
-
-    Counts of shards differ by one at most; slots count from 0 without gaps.
-    A null text has the size 16 and the CRC of nothing.  Rows that are equal
-    in id and text share whatever two places they get.  With fewer rows than
-    shards some shards stay empty; an empty table gives an empty one.
+    A value's step is where the rows with lesser values end, as a share of
+    all: exact, whatever the partitioning.  Strings go by their bytes, whole.
+    Nulls are the least.  The driver holds the least value of each step.
     """
+    value = docs[f"`{name}`"]
+    counts = docs.where(value.isNotNull()).groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    values = ranked(counts, ["value"])
+    total = values.agg(F.sum("n").alias("total"))
+    step = F.floor(F.col("rank") * (1 << bits) / F.col("total"))
+    least = values.join(F.broadcast(total)).groupBy(step.alias("step")).agg(F.min("value").alias("value")).orderBy("step").collect()
+    dropped(values)
+    kind = docs.schema[name].dataType
+    reached = [F.when(value >= F.lit(row["value"]).cast(kind), F.lit(int(row["step"]))).otherwise(0) for row in least]
+    return F.coalesce(F.greatest(F.lit(0), F.lit(0), *reached), F.lit(0))
+
+
+def _ranked_rows(docs: DataFrame, shards: int, dimensions: tuple[str, ...], *more: Column) -> DataFrame:
+    """(doc_id, size, text_crc32, cell, shard, slot, *more)."""
+    bits = bits_for(shards, len(dimensions))
+    place = F.lit(0)
+    for name in dimensions:
+        place = place * (1 << bits) + steps(docs, name, bits)
+    text = docs["text"].cast("string")
     rows = docs.select(
-        F.col("doc_id").cast("long"),
-        (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
-        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
-        quantised(docs, list(dimensions)).alias("cell"),
+        docs["doc_id"].cast("long").alias("doc_id"),
+        (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long").alias("size"),
+        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
+        place.cast("int").alias("place"), *more,
     )
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit(17)), F.lit(RANK_PARTS)))
-    counts = rows.groupBy("cell", "part").agg(F.count(F.lit(1)).alias("n"))
-    in_cell = Window.partitionBy("cell").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("in_cell", F.coalesce(F.sum("n").over(in_cell), F.lit(0)))
+    grid = list(product(range(1 << bits), repeat=len(dimensions)))
+    order = docs.sparkSession.createDataFrame([(k, hilbert_index(c, bits)) for k, c in enumerate(grid)], "place int, cell int")
     # at most a row for each cell of the curve
-    cells = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("in_all"))
-    order = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select("cell", F.coalesce(F.sum("in_all").over(order), F.lit(0)).alias("cells_before"), F.sum("in_all").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"))
-    first = counts.join(F.broadcast(cells), "cell").select("cell", "part", "total", (F.col("cells_before") + F.col("in_cell")).alias("first_rank"))
+    cells = rows.groupBy("place").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(order), "place")
+    before = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    cells = cells.select("place", "cell", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), F.sum("n").over(whole).alias("total"))
+    cells = written(cells, "cells")
+    rows = rows.join(F.broadcast(cells), "place")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit(17)), 1 + F.floor(F.col("n") / PART_ROWS)))
+    counts = rows.groupBy("cell", "part").agg(F.count(F.lit(1)).alias("in_part"))
+    inside = Window.partitionBy("cell").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("cell", "part", F.coalesce(F.sum("in_part").over(inside), F.lit(0)).alias("inside"))
     nth = F.row_number().over(Window.partitionBy("cell", "part").orderBy("doc_id", "text_crc32", "size")) - 1
-    ranked = rows.withColumn("nth", nth).join(first, ["cell", "part"]).withColumn("rank", F.col("first_rank") + F.col("nth"))
+    rows = rows.withColumn("nth", nth).join(starts, ["cell", "part"]).withColumn("rank", F.col("before") + F.col("inside") + F.col("nth"))
     # the shards' lengths are total div shards, and one more in the first total mod shards
-    short = F.expr(f"total div {shards}")
-    longer = F.expr(f"total % {shards}")
-    in_longer = F.col("rank") < longer * (short + 1)
-    ranked = ranked.withColumn("shard", F.when(in_longer, F.expr(f"rank div (total div {shards} + 1)")).otherwise(F.expr(f"total % {shards} + (rank - total % {shards} * (total div {shards} + 1)) div greatest(total div {shards}, 1)")))
+    short, longer = F.expr(f"total div {shards}"), F.expr(f"total % {shards}")
+    first = F.expr(f"rank div (total div {shards} + 1)")
+    rest = F.expr(f"total % {shards} + (rank - total % {shards} * (total div {shards} + 1)) div greatest(total div {shards}, 1)")
+    rows = rows.withColumn("shard", F.when(F.col("rank") < longer * (short + 1), first).otherwise(rest).cast("int"))
     start = F.col("shard") * short + F.least(F.col("shard"), longer)
-    return ranked.select("doc_id", "size", "text_crc32", "cell", F.col("shard").cast("int"), (F.col("rank") - start).alias("slot"))
+    return rows.withColumn("slot", F.col("rank") - start).drop("place", "n", "before", "total", "part", "nth", "inside", "rank")
+
 
+def sharded(docs: DataFrame, shards: int = 40, dimensions: tuple[str, ...] = DIMENSIONS) -> DataFrame:
+    """(doc_id, size, text_crc32, cell, shard, slot) of every document.
 
-def write_shards(docs: DataFrame, path: str, shards: int = 40, dimensions: tuple[str, ...] = ("lang", "source", "n_chars")) -> None:
-    """Writes ``docs`` as Parquet below ``path``, a folder for each shard, sorted along the curve."""
-    key = F.xxhash64("doc_id", "text")
-    first = sharded(docs, shards, dimensions).groupBy("doc_id", "text_crc32", "size").agg(F.min("shard").alias("shard"))
-    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    joined = docs.withColumns({"__crc": crc}).alias("d").join(first.alias("f"), F.expr("d.doc_id <=> f.doc_id and d.__crc = f.text_crc32"))
-    joined.select(*(F.col(f"d.{c}") for c in docs.columns), F.col("f.shard")).repartition("shard").sortWithinPartitions("shard", key).write.partitionBy("shard").parquet(path)
+    Counts of shards differ by one at most; slots count from 0 without gaps.
+    A null text has the size 16 and the CRC of nothing; long texts are read
+    whole.  Rows that are equal in id and text share whatever two places they
+    get.  With fewer rows than shards some shards stay empty; an empty table
+    gives an empty one.  Other columns of ``docs`` may have any names.
+    """
+    return _ranked_rows(docs, shards, dimensions)
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = 40, dimensions: tuple[str, ...] = DIMENSIONS) -> None:
+    """Writes ``docs`` as Parquet below ``path``, a folder for each shard, its files runs along the curve.
+
+    Every row is written once.  A file holds about ``FILE_ROWS`` rows, so a
+    shard is as many tasks as files.  The folders are named by ``shard``, or
+    ``shard_`` where ``docs`` has such a column.
+    """
+    name = "shard"
+    while name in (c.lower() for c in docs.columns):
+        name += "_"
+    rows = _ranked_rows(docs, shards, dimensions, F.struct("*").alias("doc"))
+    rows = rows.withColumn("file", F.floor(F.col("slot") / FILE_ROWS)).repartition("shard", "file").sortWithinPartitions("shard", "slot")
+    rows.select(*(F.col("doc").getField(c).alias(c) for c in docs.columns), F.col("shard").alias(name)).write.partitionBy(name).parquet(path)
 
 
 def op2_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -231,10 +231,11 @@ def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("least")
     first = found.groupBy("component").agg(least).select(F.col("least.doc_id").alias("first_id"), F.col("least.text_key").alias("first_key"))
     first = written(first, "first")
-    rows = docs.select("*", F.xxhash64("text").alias("__key"))
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id"), F.xxhash64("text").alias("key"))
     # keys before ids: many documents may have no id
-    kept = rows.join(first.hint("merge"), (F.col("__key") == F.col("first_key")) & F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__key"]).select(*docs.columns)
+    same = (rows["key"] == first["first_key"]) & rows["doc_id"].eqNullSafe(first["first_id"])
+    kept = rows.join(first.hint("merge"), same, "left_semi").dropDuplicates(["doc_id", "key"])
+    return kept.select(*(F.col("doc").getField(c).alias(c) for c in docs.columns))
 
 
 def op7_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:

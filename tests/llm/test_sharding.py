@@ -3,8 +3,9 @@ from collections import Counter
 from itertools import product
 
 import pytest
+from pyspark.sql import functions as F
 
-from rowparity.llm.sharding import hilbert_index, sharded, write_shards
+from rowparity.llm.sharding import bits_for, hilbert_index, sharded, write_shards
 
 
 @pytest.mark.parametrize(("n", "bits"), [(2, 3), (3, 2), (3, 3), (4, 2)])
@@ -39,3 +40,44 @@ def test_empty_table_and_written_files(spark, tmp_path):
     write_shards(table, str(tmp_path / "s"), 8)
     back = spark.read.parquet(str(tmp_path / "s"))
     assert back.count() == 300 and back.select("shard").distinct().count() == 8
+
+
+def test_steps_cells_and_places_against_brute_force(spark):
+    """Whole strings count, a value's step is the share of rows below it, and partitioning changes nothing."""
+    table = [(i, "t" * i, f"https://site{i * 7 % 8}.example", i % 9, i * i % 31) for i in range(200)]
+    df = spark.createDataFrame(table, "doc_id long, text string, site string, kind int, n long")
+    dimensions = ("site", "kind", "n")
+    bits = bits_for(8, 3)
+    assert 1 << 3 * bits >= 16 * 8
+
+    def step(column, value):
+        every = [row[column] for row in table]
+        return max(sum(x < v for x in every) * (1 << bits) // len(every) for v in set(every) if v <= value)
+
+    expected = {row[0]: hilbert_index([step(k, row[k]) for k in (2, 3, 4)], bits) for row in table}
+    places = []
+    for parts in (1, 7):
+        out = sharded(df.repartition(parts), 8, dimensions).collect()
+        assert {r.doc_id: r.cell for r in out} == expected
+        places.append({r.doc_id: (r.shard, r.slot) for r in out})
+        assert sorted((s, k) for s, k in places[-1].values()) == [(s, k) for s in range(8) for k in range(25)]
+    assert places[0] == places[1] and len({step(2, row[2]) for row in table}) == 8
+
+
+def test_files_prune(spark, tmp_path):
+    """Files along the curve have narrow ranges in every dimension; hashed files have full ones."""
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), (F.xxhash64("id", F.lit(1)) % 1000).alias("a"), (F.xxhash64("id", F.lit(2)) % 1000).alias("b"))
+    df = df.withColumn("shard", F.lit("own"))
+    write_shards(df, str(tmp_path / "s"), 16, ("a", "b"))
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert back.where("shard = 'own'").count() == 4000
+    ranges = back.groupBy("shard_").agg(*(((F.max(c) - F.min(c)) / 2000).alias(c) for c in "ab")).collect()
+    assert len(ranges) == 16 and all(sum(r[c] for r in ranges) / 16 < 0.4 for c in "ab")
+
+
+def test_repeated_rows_are_written_as_often(spark, tmp_path):
+    table = [*rows(60), (3, "other text", "en", "src2", 3), (61, "", "", "", 0)]
+    df = spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long")
+    write_shards(df, str(tmp_path / "s"), 4)
+    back = spark.read.parquet(str(tmp_path / "s")).drop("shard")
+    assert Counter(map(tuple, back.collect())) == Counter(table)
