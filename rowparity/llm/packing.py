@@ -30,11 +30,14 @@ from .shared import written
 #: Ranks within a length are counted in so many parts, so that a length that
 #: many pieces share is no single task.
 RANK_PARTS = 256
-#: Words kept with their ids in a Python worker; then it starts afresh.
-WORD_CACHE = 400_000
+#: The vocabulary whose words end at white space and whose texts are lower-cased; only its words are looked up.
+VOCABULARY = "word_bpe_49k.json"
+#: Bytes of words and ids kept in a Python worker; then it starts afresh.  A word counts its overhead too.
+CACHE_BYTES, OVERHEAD = 200 << 20, 200
 #: Marks whose ids stand for themselves after a letter.
 CLOSING = (".", ",")
 _cache: dict[str, bytes] = {}
+_held = [0]
 
 
 @lru_cache(maxsize=2)
@@ -91,18 +94,26 @@ def _encoded(words: list[str], path: str) -> Iterator[tuple[str, bytes]]:
 def token_bytes(texts: list[str | None], path: str) -> Iterator[bytes]:
     """The little-endian unsigned 32-bit ids of each text, and a closing 0.
 
-    The vocabulary's words end at white space, so ids are looked up by the
-    stretch between blanks and line ends, and only new stretches are encoded.
+    The words of ``VOCABULARY`` end at white space, so its ids are looked up
+    by the stretch between blanks and line ends, and only new stretches are
+    encoded.  Texts are encoded whole by any other vocabulary.
     """
+    if os.path.basename(path) != VOCABULARY:
+        for code in _tokenizer(path).encode_batch_fast([t or "" for t in texts], add_special_tokens=False):
+            yield array("I", code.ids).tobytes() + b"\0\0\0\0"
+        return
     cache = _cache
     split = [((t.lower() if _plain(t) else t).replace("\n", " ").split(" ") if t else []) for t in texts]
-    if len(cache) > WORD_CACHE:
+    if _held[0] > CACHE_BYTES:
         cache.clear()
+        _held[0] = 0
     new = set().union(*split).difference(cache)
     closed = {w for w in new if w[-1:] in CLOSING and _closes(w[-2:-1])}  # a letter and then a mark end two words
-    cache.update(_encoded(list((new - closed | {w[:-1] for w in closed} | set(CLOSING)).difference(cache)), path))
+    wanted = (new - closed | {w[:-1] for w in closed} | set(CLOSING)).difference(cache)
+    cache.update(_encoded(list(wanted), path))
     for word in closed:
         cache[word] = cache[word[:-1]] + cache[word[-1]]
+    _held[0] += sum(OVERHEAD + 2 * len(w) + len(cache[w]) for w in wanted | closed)
     for words in split:
         yield b"".join(map(cache.__getitem__, words)) + b"\0\0\0\0"
 

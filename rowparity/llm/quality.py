@@ -17,10 +17,10 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import ranked, written
 
 #: Interquartile ranges between the quartiles and the ends of the band.  UPPER makes the fewest errors on the
 #: labels of sf0.1 and of check_s whose doc_id isn't divisible by 5; below the quartiles LOWER could reject
@@ -34,6 +34,8 @@ BLANKS = " \t\n\x0b\x0c\r"
 #: Bytes that are scored together, and the loss per byte beyond a language's mean that is unusual.
 STRETCH = 128
 UNUSUAL = 0.2
+#: Languages with a model and a band of their own, the most frequent; the others are one.
+LANGUAGES, OTHERS = 100, "\0"
 #: Bytes that are counted together.
 SLICE = 1 << 20
 METRICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
@@ -184,14 +186,26 @@ def _models(counts: DataFrame) -> dict[str, KneserNey]:
     return models
 
 
+def _lang() -> Column:
+    return F.coalesce(F.col("lang").cast("string"), F.lit(""))
+
+
+def pooled(docs: DataFrame) -> Column:
+    """The language that a document is judged by: its own, or ``OTHERS`` beyond the most frequent ones."""
+    found = docs.groupBy(_lang().alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES + 1).collect()
+    names = [r["lang"] for r in found[:LANGUAGES]]
+    return _lang() if len(found) <= LANGUAGES else F.when(_lang().isin(names), _lang()).otherwise(OTHERS)
+
+
 def different(docs: DataFrame) -> DataFrame:
     """(lang, text): each text of a language once, so that copies don't make it the model's own."""
-    rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_key"))
+    rows = docs.select(_lang().alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_key"))
     return rows.groupBy("lang", "text_key").agg(F.first("text").alias("text"))
 
 
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, lang, the base metrics and log_perplexity (per byte; null without text) of each document."""
+    docs = docs.select("doc_id", pooled(docs).alias("lang"), "text")
     models = docs.sparkSession.sparkContext.broadcast(_models(gram_counts(different(docs))))
 
     def run(batches):
@@ -215,21 +229,32 @@ def measured(docs: DataFrame) -> DataFrame:
 
     schema = f"doc_id long, text_key long, lang string, {METRICS}, log_perplexity double"
     names = [part.split()[0] for part in schema.split(", ")]
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), F.coalesce(F.col("lang").cast("string"), F.lit("")), F.col("text").cast("string"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "lang", F.col("text").cast("string"))
     return rows.mapInArrow(run, schema)
 
 
+def _quartiles(texts: DataFrame) -> DataFrame:
+    """(lang, lower, upper): of the texts' log perplexities, exactly, by their ranks over all texts."""
+    by = ["lang", "log_perplexity"]
+    places = ranked(texts.groupBy(*by).agg(F.count(F.lit(1)).alias("n")), by)
+    sizes = places.groupBy("lang").agg(F.min("rank").alias("start"), F.sum("n").alias("total"))
+    at = lambda share: F.col("start") + F.floor(F.lit(share) * (F.col("total") - 1))
+    here = lambda share: (F.col("rank") <= at(share)) & (F.col("rank") + F.col("n") > at(share))
+    rows = places.join(F.broadcast(sizes), "lang").groupBy("lang")
+    return rows.agg(*(F.max(F.when(here(share), F.col("log_perplexity"))).alias(name) for share, name in ((0.25, "lower"), (0.75, "upper"))))
+
+
 def quality(docs: DataFrame, lower: float = LOWER, upper: float = UPPER) -> DataFrame:
     """``measured`` with low, high (the language's band) and kept.
 
     Null and empty texts fail the base rules.  A null language is one of its
-    own.  Equal rows get equal results; an empty table gives an empty one.
+    own; languages beyond the ``LANGUAGES`` most frequent are judged as one.  Equal rows get equal results; an empty table gives an empty one.
     """
     each = written(measured(docs), "measured")
     texts = each.where("not base_failed").groupBy("lang", "text_key").agg(F.first("log_perplexity").alias("log_perplexity"))  # copies don't weigh
-    quartiles = texts.groupBy("lang").agg(F.percentile_approx("log_perplexity", [0.25, 0.75], 100_000).alias("q"))
-    reach = lambda width: F.greatest(width * (F.col("q")[1] - F.col("q")[0]), F.lit(FLOOR))
-    bands = quartiles.select("lang", (F.col("q")[0] - reach(lower)).alias("low"), (F.col("q")[1] + reach(upper)).alias("high"))
+    bands = _quartiles(texts)
+    reach = lambda width: F.greatest(width * (F.col("upper") - F.col("lower")), F.lit(FLOOR))
+    bands = bands.select("lang", (F.col("lower") - reach(lower)).alias("low"), (F.col("upper") + reach(upper)).alias("high"))
     # a row for each language
     found = each.join(F.broadcast(bands), "lang", "left")
     return found.withColumn("kept", F.coalesce(~F.col("base_failed") & F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(False)))

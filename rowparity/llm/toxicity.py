@@ -101,6 +101,15 @@ def fit(positive, unlabelled, prior: float, steps: int = 200, rate: float = 0.05
     return weights, bias
 
 
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(text) of the documents with these ids, a text for each id and in their order, so that a model can be made again.
+
+    Of several texts with one id that with the least hash counts.
+    """
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")).orderBy("doc_id").select("text")
+
+
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> tuple[np.ndarray, float]:
     """Fits the classifier; only labels of rows whose fold isn't 0 are read.
 
@@ -110,9 +119,9 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     prior = seen.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
     by_hash = [F.xxhash64("doc_id", F.lit(5)), "doc_id"]
     ids = seen.where("toxic = 1").select("doc_id").distinct().orderBy(*by_hash).limit(positives)
-    positive = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").drop_duplicates(["doc_id"])
+    positive = _texts(docs, ids)
     others = docs.where((fold("doc_id") != 0) & F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(*by_hash).limit(unlabelled)
-    rest = docs.select("doc_id", "text").join(F.broadcast(others), "doc_id").drop_duplicates(["doc_id"])
+    rest = _texts(docs, others)
     return fit(_features(positive), _features(rest), prior)
 
 

@@ -21,39 +21,51 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path, written
+from .shared import dropped, new_path, written
 
 MAGIC = b"WARC/1.1\r\n"
 END = "\r\n\r\n"
+#: Begins the id of a record without page_id.
+UNNAMED = "urn:payload:"
 #: Bytes of payload from which on equal payloads are stored once.
 REVISIT_FROM = 1000
+#: Stands for a null page_id.
+NO_PAGE = -(1 << 63)
 #: Bytes of payload for each archive, on average.
 ARCHIVE_BYTES = 8 << 20
 
 
-def record_types(pages: DataFrame, revisit_from: int = REVISIT_FROM) -> DataFrame:
+def record_types(pages: DataFrame, archives: int = 1, revisit_from: int = REVISIT_FROM) -> DataFrame:
     """``pages`` (page_id, url, payload) with payload_bytes, payload_digest, record_type and refers_to.
 
     Of the records with one payload of at least ``revisit_from`` bytes, that
     with the largest page_id is the response and the others revisit it.  Rows
     that tie for it (repeated rows) are all responses; a null page_id is less
     than any other.
+
+    Ids and digests alone decide it; payloads are dealt out once, by page, to
+    the tasks that write ``archives`` files, so a payload that a third of all
+    pages share is in all of them.
     """
     sized = pages.select(
         F.col("page_id").cast("long"),
+        F.coalesce(F.col("page_id").cast("long"), F.lit(NO_PAGE)).alias("page"),
         F.col("url").cast("string"),
         F.coalesce(F.col("payload"), F.lit(b"")).alias("payload"),
     )
     sized = sized.select("*", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
-    large = sized.where(F.col("payload_bytes") >= revisit_from).select("payload_digest", "page_id")
-    first = large.groupBy("payload_digest").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("first_id"))
-    first = written(first.where("n > 1").select("payload_digest", "first_id"), "responses")
-    joined = sized.join(first, "payload_digest", "left")
-    revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
+    large = written(sized.where(F.col("payload_bytes") >= revisit_from).select("page", "payload_digest"), "large")
+    first = large.groupBy("payload_digest").agg(F.count(F.lit(1)).alias("n"), F.max("page").alias("first_id")).where("n > 1").drop("n")
+    later = large.join(first.hint("merge"), "payload_digest").where("page <> first_id").distinct()
+    later = written(later, "revisits")
+    dropped(large)
+    dealt = sized.repartition(archives, "page", "payload_digest")
+    joined = dealt.join(later.hint("shuffle_hash"), ["page", "payload_digest"], "left")
+    revisit = F.col("first_id").isNotNull()
     return joined.select(
         "page_id", "url", "payload", "payload_bytes", "payload_digest",
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
-        F.when(revisit, F.col("first_id")).alias("refers_to"),
+        F.when(F.col("first_id") != NO_PAGE, F.col("first_id")).alias("refers_to"),
     )
 
 
@@ -69,7 +81,7 @@ def _records(rows: DataFrame) -> DataFrame:
     head = F.concat(
         F.lit(MAGIC.decode()),
         F.lit("WARC-Type: "), "record_type", F.lit("\r\n"),
-        line("WARC-Record-ID", F.concat(F.lit("<"), uri(F.col("page_id")), F.lit(">"))),
+        line("WARC-Record-ID", F.concat(F.lit("<"), F.coalesce(uri(F.col("page_id")), F.concat(F.lit(UNNAMED), "payload_digest")), F.lit(">"))),
         line("WARC-Target-URI", target),
         F.lit("WARC-Date: 1970-01-01T00:00:00Z\r\n"),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "payload_digest")),
@@ -183,7 +195,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _page(uri: str | None) -> int | None:
-    return int(uri[len("<urn:page:") : -1]) if uri else None
+    return int(uri[len("<urn:page:") : -1]) if uri and not uri.startswith(f"<{UNNAMED}") else None
 
 
 def round_trip(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -192,10 +204,10 @@ def round_trip(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES)
     A null html is an empty payload.  Repeated rows get a record each; an
     empty table gives archives without records.  Other columns are not read.
     """
-    rows = record_types(pages.select("page_id", "url", F.col("html").cast("string").cast("binary").alias("payload")))
     size = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
     # dealt out evenly, so that no archive outgrows a task
-    write_archives(rows.repartition(int(size // archive_bytes) + 1, F.xxhash64("page_id", "payload_digest")), path)
+    payloads = pages.select("page_id", "url", F.col("html").cast("string").cast("binary").alias("payload"))
+    write_archives(record_types(payloads, int(size // archive_bytes) + 1), path)
     return read_archives(pages.sparkSession, path)
 
 

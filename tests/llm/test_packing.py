@@ -1,5 +1,6 @@
 import random
 import zlib
+from array import array
 
 import numpy as np
 import public_tokenizers
@@ -70,3 +71,12 @@ def test_few_sequences_and_empty_table(spark, documents):
     total = sum(1 + i * 37 % 900 for i in range(3000))
     assert check_places(pack(pieces).collect(), 2048) <= total / 2048 + 2
     assert pack_documents(documents([])).collect() == []
+
+
+def test_any_other_vocabulary_encodes_whole_texts():
+    texts = ["Hello  World, it's here.\n\tTabs", "", None, "a " * 3000, "Ünïcode 東京"]
+    default, other = (public_tokenizers.path(name) for name in ("word_bpe_49k.json", "byte_bpe_50k.json"))
+    for path in (default, other, default):
+        tokenizer = Tokenizer.from_file(path)
+        expected = [array("I", [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]).tobytes() for t in texts]
+        assert list(token_bytes(texts, path)) == expected

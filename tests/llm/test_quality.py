@@ -4,8 +4,9 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from rowparity.llm.quality import KneserNey, _grams, base_metrics, gram_counts, keep_good, quality, text_losses
+from rowparity.llm.quality import FLOOR, OTHERS, KneserNey, _grams, base_metrics, gram_counts, keep_good, quality, text_losses
 
 
 def brute_base(text):
@@ -109,3 +110,17 @@ def test_symbols_behind_words_leave_the_band(spark, documents):
     marked = [(100 + n, " ".join(w + "%" * (k % n == 0) for k, w in enumerate(r.choices(words, k=150)))) for n in (3, 4, 5, 6, 8, 10, 12, 15, 20, 30)]
     out = {row.doc_id: row for row in quality(documents([*enumerate(good), *marked])).collect()}
     assert all(out[k].kept for k in range(60)) and not out[103].kept and not out[104].kept and not out[104].base_failed
+
+
+def test_quartiles_and_rare_languages(spark, documents, monkeypatch):
+    r = random.Random(4)
+    words = ["".join(r.choice("aeioutnsrl") for _ in range(r.randint(2, 6))) for _ in range(300)]
+    rows = [(i, " ".join(r.choice(words) for _ in range(r.randint(60, 90)))) for i in range(40)]
+    table = documents(rows).withColumn("lang", F.when(F.col("doc_id") < 25, "en").otherwise(F.concat(F.lit("x"), "doc_id")))
+    monkeypatch.setattr("rowparity.llm.quality.LANGUAGES", 1)
+    out = quality(table, 0, 0).collect()
+    assert {row.lang for row in out} == {"en", OTHERS}
+    for lang in ("en", OTHERS):
+        losses = sorted(row.log_perplexity for row in out if row.lang == lang and not row.base_failed)
+        ends = [losses[(len(losses) - 1) * k // 4] for k in (1, 3)]
+        assert all(abs(row.low - ends[0] + FLOOR) < 1e-12 and abs(row.high - ends[1] - FLOOR) < 1e-12 for row in out if row.lang == lang)
