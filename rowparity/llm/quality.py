@@ -35,7 +35,7 @@ BLANKS = " \t\n\x0b\x0c\r"
 STRETCH = 128
 UNUSUAL = 0.2
 #: Languages with a model and a band of their own, the most frequent; the others are one.
-LANGUAGES, OTHERS = 100, "\0"
+LANGUAGES, OTHERS = 100, "(others)"
 #: Bytes that are counted together.
 SLICE = 1 << 20
 METRICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
