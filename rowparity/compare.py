@@ -39,6 +39,7 @@ class Comparison:
     transitions: dict[str, int] = field(default_factory=dict)
     structure: list[str] = field(default_factory=list)
     shifts: list[dict] = field(default_factory=list)
+    attribution: dict[str, int] = field(default_factory=dict)
 
     @property
     def equivalent(self) -> bool:

@@ -214,6 +214,28 @@ def structure_messages(first: dict[str, dict[str, object]], second: dict[str, di
     return said
 
 
+def attribution(found: DataFrame, kind: str) -> dict[str, int]:
+    """Changes by read group, or modified records by sample whose genotype or phase differs; the most frequent first.
+
+    A pair counts for the second record's read group, or the first's where
+    that has none.  Without tags or samples among the fields there is nothing.
+    """
+    column = "tags" if kind == "alignment" else "samples"
+    if f"{column}_before" not in found.columns:
+        return {}
+    if kind == "alignment":
+        group = lambda when: F.element_at(f"tags_{when}", "RG")["value"]
+        names = found.select(F.coalesce(group("after"), group("before")).alias("name"))
+    else:
+        before, after = F.col("samples_before"), F.col("samples_after")
+        call = lambda m, s: F.struct(_genotype(m, s), F.element_at(m, s)["phased"])
+        every = F.array_union(F.map_keys(before), F.map_keys(after))
+        other = F.filter(every, lambda s: ~call(before, s).eqNullSafe(call(after, s)))
+        names = found.where("status = 'modified'").select(F.explode(other).alias("name"))
+    counts = names.where("name is not null").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    return {r["name"]: r["n"] for r in counts.orderBy(F.desc("n"), "name").collect()}
+
+
 def places(found: DataFrame, kind: str) -> DataFrame:
     """(contig, position, status) of changes; the position, from 0, is the second record's if there are two."""
     if kind == "variant":

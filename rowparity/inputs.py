@@ -26,7 +26,19 @@ class Pair:
     contigs: dict[str, int | None] | None = None
 
     def compare(self, names: tuple[str, str] = ("first", "second"), explain: bool = True, use: Callable[[DataFrame], None] | None = None) -> Comparison:
-        out = compare(self.left, self.right, self.keys, self.fields, explain, names=names, labels=self.labels, structure=self.structure, use=use)
+        by: dict[str, int] = {}
+
+        def seen(found: DataFrame) -> None:
+            if self.kind:
+                by.update(genomics.attribution(found, self.kind))
+            if use:
+                use(found)
+
+        out = compare(
+            self.left, self.right, self.keys, self.fields, explain, names=names, labels=self.labels, structure=self.structure,
+            use=seen if self.kind or use else None,
+        )
+        out.attribution = by
         if explain and self.kind and not out.content_equal:
             out.shifts = genomics.shifts(self.left, self.right, self.kind, self.fields)
         return out

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 CHUNK = 10_000
 
 
@@ -67,7 +69,7 @@ def left_normalized(records: DataFrame, reference: DataFrame, chunk: int = CHUNK
             seen = seen.join(part, (F.col("contig") == F.col(f"c{k}")) & (F.col("__chunk") == F.col(f"k{k}")), "left")
         start = F.when(F.col("s1").isNull(), F.col("__chunk") * chunk + 1).otherwise((F.col("__chunk") - 1) * chunk + 1)
         seen = seen.select(*others, F.col("pos").cast("long").alias("pos"), "ref", "alt", start.cast("long").alias("start"), F.when(F.col("s0").isNotNull(), F.concat(F.coalesce("s1", F.lit("")), "s0")).alias("text"))
-        moved = seen.mapInPandas(move, schema).persist()
+        moved = written(seen.mapInPandas(move, schema), "moved")
         done = done.unionByName(moved.where("not stuck").drop("stuck"))
         rows = moved.where("stuck").drop("stuck")
         if rows.isEmpty():

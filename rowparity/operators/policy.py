@@ -45,27 +45,73 @@ class Document:
     rules: tuple[Rule, ...] = ()
 
 
-def _settings(values: dict) -> dict:
-    known = {f.name for f in fields(Policy)}
-    if unknown := set(values) - known:
-        raise ValueError(f"unknown policy settings: {', '.join(sorted(unknown))}")
-    if values.get("severity", "error") not in ("error", "warning", "info"):
-        raise ValueError("severity is error, warning or info")
-    if values.get("transition_default", "allow") not in ("allow", "fail"):
-        raise ValueError("transition_default is allow or fail")
-    return {k: tuple(v) if isinstance(v, list) else v for k, v in values.items()}
+COUNTS = ("max_modified", "max_only")
+SHARES = ("max_modified_fraction", "max_only_fraction", "min_overlap")
+LISTS = ("fail_transitions", "deny_transitions", "allow_fields", "deny_fields", "allow_transitions")
+CHOICES = {"severity": ("error", "warning", "info"), "transition_default": ("allow", "fail")}
+MATCH = ("sample", "stage", "kind", "profile")
+
+
+def _object(value: object, what: str, known: tuple[str, ...] | None = None) -> dict:
+    """A JSON object; names beyond the known ones raise."""
+    if not isinstance(value, dict):
+        raise ValueError(f"{what} is an object")
+    if known is not None and (unknown := set(value) - set(known)):
+        raise ValueError(f"{what}: unknown {', '.join(sorted(unknown))}")
+    return value
+
+
+def _setting(name: str, value: object) -> object:
+    """A setting of the right type and range; true and false are no numbers."""
+    number = isinstance(value, (int, float)) and not isinstance(value, bool)
+    if name in COUNTS and not (value is None or number and isinstance(value, int) and value >= 0):
+        raise ValueError(f"{name} is a count or null")
+    if name in SHARES and not (number and 0 <= value <= 1 or value is None and name != "min_overlap"):
+        raise ValueError(f"{name} lies between 0 and 1")
+    if name == "allow_structural_differences" and not isinstance(value, bool):
+        raise ValueError(f"{name} is true or false")
+    if name in LISTS:
+        if value is None and name == "allow_fields":
+            return None
+        if not isinstance(value, list) or not all(isinstance(x, str) and x.strip() for x in value):
+            raise ValueError(f"{name} is a list of texts")
+        return tuple(value)
+    if name in CHOICES and value not in CHOICES[name]:
+        raise ValueError(f"{name} is {' or '.join(CHOICES[name])}")
+    return value
+
+
+def _settings(values: object, what: str) -> dict:
+    known = tuple(f.name for f in fields(Policy))
+    return {k: _setting(k, v) for k, v in _object(values, what, known).items()}
+
+
+def _rule(value: object, nth: int) -> Rule:
+    what = f"rule {nth}"
+    said = _object(value, what, ("name", "match", "set"))
+    name = said.get("name")
+    if not isinstance(name, str) or not name.strip():
+        raise ValueError(f"{what} needs a name")
+    match = _object(said.get("match"), f"{what}: match", MATCH)
+    if not match or not all(isinstance(x, str) and x for x in match.values()):
+        raise ValueError(f"{what}: match has one text at least")
+    settings = _settings(said.get("set"), f"{what}: set")
+    if not settings:
+        raise ValueError(f"{what}: set has one setting at least")
+    return Rule(name, dict(match), settings)
 
 
 def load(text: str) -> Document:
-    """A policy document from JSON; unknown names and bad values raise."""
-    data = json.loads(text)
-    if data.get("version") != 1:
+    """A policy document from JSON; unknown names, bad types and values, and repeated or empty rules raise."""
+    data = _object(json.loads(text), "a policy document", ("version", "defaults", "rules"))
+    if data.get("version") != 1 or isinstance(data["version"], bool):
         raise ValueError("a policy document has version 1")
-    rules = tuple(Rule(r["name"], dict(r.get("match", {})), _settings(r.get("set", {}))) for r in data.get("rules", []))
-    for rule in rules:
-        if unknown := set(rule.match) - {"sample", "stage", "kind", "profile"}:
-            raise ValueError(f"unknown match keys: {', '.join(sorted(unknown))}")
-    return Document({"transition_default": "fail"} | _settings(data.get("defaults", {})), rules)
+    if not isinstance(data.get("rules", []), list):
+        raise ValueError("rules is a list")
+    rules = tuple(_rule(r, nth) for nth, r in enumerate(data.get("rules", []), 1))
+    if len({r.name for r in rules}) < len(rules):
+        raise ValueError("names of rules differ from each other")
+    return Document({"transition_default": "fail"} | _settings(data.get("defaults", {}), "defaults"), rules)
 
 
 def resolve(base: Policy, document: Document | None, **item: str) -> tuple[Policy, tuple[str, ...]]:

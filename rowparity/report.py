@@ -24,6 +24,9 @@ def findings(result: Comparison) -> list[str]:
         out.append(f"Records differ by membership: {result.left_only:,} only in the first, {result.right_only:,} only in the second.")
     if result.shifts:
         out.append(shift_text(result.shifts[0]))
+    if result.attribution:
+        name, n = next(iter(result.attribution.items()))
+        out.append(f"{name} has {n / sum(result.attribution.values()):.0%} of the changes that belong to a read group or sample.")
     if result.transitions:
         label, n = next(iter(result.transitions.items()))
         out.append(f"The most frequent change is {label} ({n:,}).")

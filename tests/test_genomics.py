@@ -216,3 +216,19 @@ def test_figures():
     states, cells = transition_matrix(result)
     assert states == ["1/1", "0/1", "0/0"] and cells == [[0, 0, 1], [2, 0, 0], [0, 0, 0]]
     assert "No changes" in svg(Comparison("a", "b", 0, 0, True, True, [], 1.0, 1.0, "empty datasets"))
+
+
+def test_attribution(spark, files, tmp_path):
+    (tmp_path / "c.vcf").write_text(HEAD + "\n".join([LINES[0].replace("1/2", "2/2"), LINES[1].replace("1|1", "1/1")]) + "\n")
+    assert pair(spark, files[0], str(tmp_path / "c.vcf")).compare().attribution == {"s1": 1, "s2": 1}
+    group = lambda name: {"RG": ("Z", name)} if name else {"NM": ("i", "1")}
+    rows = [("modified", group("a"), group("b")), ("modified", group("a"), group(None)), ("left_only", group("a"), None), ("right_only", None, group(None))]
+    kind = "map<string,struct<type:string,value:string>>"
+    found = spark.createDataFrame(rows, f"status string, tags_before {kind}, tags_after {kind}")
+    assert genomics.attribution(found, "alignment") == {"a": 2, "b": 1} and genomics.attribution(found.drop("tags_before"), "alignment") == {}
+
+
+def test_info_texts(spark, tmp_path):
+    """A value is all that follows the first "="; of a repeated key the last value counts."""
+    (tmp_path / "d.vcf").write_text(HEAD + "chr1\t5\t.\tA\tC\t.\t.\tAN=x=1;DB;E=;AN2=3;AN=y=2;.\tGT\t0/0\t0/1\n")
+    assert vcf.read(spark, str(tmp_path / "d.vcf")).first().info == {"AN": "y=2", "DB": "true", "E": "", "AN2": "3"}

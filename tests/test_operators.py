@@ -87,12 +87,23 @@ def test_sketches(spark):
     assert abs(sketch.cardinality(sketch.kmv(big)).first().n / 50_000 - 1) < 0.15
 
 
+RULE = {"name": "r", "match": {"stage": "*"}, "set": {"max_only": 1}}
+BAD = (
+    *({"version": 1, "defaults": {k: v}} for k, v in (
+        ("max_modified", -1), ("max_modified", True), ("max_only", 1.5), ("max_only_fraction", 1.1), ("min_overlap", None), ("min_overlap", "1"),
+        ("allow_structural_differences", 1), ("deny_fields", "a"), ("deny_fields", [""]), ("allow_transitions", [1]), ("transition_default", "warn"))),
+    [], {"version": True}, {"version": 1, "extra": 1}, {"version": 1, "rules": {}}, {"version": 1, "defaults": []},
+    *({"version": 1, "rules": [RULE | change]} for change in ({"name": ""}, {"match": {}}, {"match": {"stage": 1}}, {"set": {}}, {"more": 1})),
+    {"version": 1, "rules": [RULE, RULE]},
+)
+
+
 def test_policy():
     text = json.dumps({"version": 1, "defaults": {"max_modified": 5}, "rules": [{"name": "calls", "match": {"stage": "VAR*"}, "set": {"deny_fields": ["samples"], "severity": "warning"}}]})
     found, names = policy.resolve(policy.Policy(), policy.load(text), sample="a", stage="variants")
     assert names == ("calls",) and found.deny_fields == ("samples",) and found.max_modified == 5 and found.transition_default == "fail"
     assert policy.resolve(policy.Policy(), policy.load(text), sample="a", stage="reads")[1] == ()
-    for bad in ({"version": 2}, {"version": 1, "defaults": {"nope": 1}}, {"version": 1, "rules": [{"name": "r", "match": {"x": "y"}}]}, {"version": 1, "defaults": {"severity": "loud"}}):
+    for bad in ({"version": 2}, {"version": 1, "defaults": {"nope": 1}}, {"version": 1, "rules": [{"name": "r", "match": {"x": "y"}}]}, {"version": 1, "defaults": {"severity": "loud"}}, *BAD):
         with pytest.raises(ValueError):
             policy.load(json.dumps(bad))
 
