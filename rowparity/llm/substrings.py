@@ -291,17 +291,23 @@ def _hot_windows(candidates: DataFrame, width: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = [
-                (c["anchor"], c["variant"], k, hashlib.md5(row["text"][c["start"] + k : c["start"] + k + width]).digest())
-                for row in batch.to_pylist()
-                for c in row["found"]
-                for k in range(c["windows"])
-            ]
-            yield pa.RecordBatch.from_pydict(dict(zip(("anchor", "variant", "first", "digest"), map(list, zip(*rows, strict=True)), strict=True)) if rows else {f: [] for f in fields.names}, schema=fields)
+            held: list[tuple] = []
+            for row in batch.to_pylist():
+                for c in row["found"]:
+                    windows = (row["text"][c["start"] + k : c["start"] + k + width] for k in range(c["windows"]))
+                    held += [(c["anchor"], c["variant"], k, hashlib.md5(w).digest()) for k, w in enumerate(windows)]
+                    if len(held) >= PART:
+                        yield table(held)
+                        held = []
+            yield table(held)
+
+    def table(rows):
+        return pa.RecordBatch.from_pylist([dict(zip(fields.names, r, strict=True)) for r in rows], schema=fields)
 
     fields = pa.schema([("anchor", pa.int64()), ("variant", pa.int64()), ("first", pa.int64()), ("digest", pa.binary())])
     each = written(candidates.mapInArrow(run, "anchor long, variant long, first long, digest binary"), "windows")
-    twice = written(each.groupBy("digest").agg(F.countDistinct("anchor", "variant", "first").alias("n")).where("n > 1").select("digest"), "windows-twice")
+    twice = each.groupBy("digest").agg(F.countDistinct("anchor", "variant", "first").alias("n")).where("n > 1")
+    twice = written(twice.select("digest"), "windows-twice")
     return each.join(twice, "digest").select("anchor", "variant", "first", F.col("first").alias("last"))
 
 
@@ -356,41 +362,48 @@ def _spans(ranges) -> list[tuple[int, int]]:
     return [(a, b) for a, b in spans]
 
 
-def remove_repeats(docs: DataFrame, width: int = 200) -> DataFrame:
-    """A row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, spans.
+def remove_repeats(docs: DataFrame, width: int = 200, whole: bool = True) -> DataFrame:
+    """A row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and if ``whole`` kept and spans.
 
-    ``kept`` has the bytes that are left, ``spans`` the removed byte ranges.
-    A null text counts as empty; texts shorter than ``width`` stay as they
-    are.  Of several equal rows each gets a row; they repeat each other, so
-    all go.  Columns other than doc_id and text are not read.
+    ``kept`` has the bytes that are left, ``spans`` the removed byte ranges;
+    without ``whole`` texts don't come back from the workers.  A null text
+    counts as empty; texts shorter than ``width`` stay as they are, and those
+    of any length are hashed in overlapping pieces.  Of several equal rows
+    each gets a row; they repeat each other, so all go.  Columns other than
+    doc_id and text are not read; an empty table gives an empty one.
     """
     texts = docs.select(*row_key(), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    ranges = repeated_ranges(docs, width)
-    joined = texts.join(ranges.withColumnsRenamed({"doc_id": "range_id", "text_key": "range_key"}), F.col("doc_id").eqNullSafe(F.col("range_id")) & (F.col("text_key") == F.col("range_key")), "left")
+    ranges = repeated_ranges(docs, width).withColumnsRenamed({"doc_id": "range_id", "text_key": "range_key"})
+    same = F.col("doc_id").eqNullSafe(F.col("range_id")) & (F.col("text_key") == F.col("range_key"))
+    joined = texts.join(ranges, same, "left")
 
     def run(batches):
         for batch in batches:
-            out = {name: [] for name in fields.names}
+            out = []
             for row in batch.to_pylist():
                 text, spans = row["text"], _spans(row["ranges"] or ())
-                kept, at = [], 0
-                for a, b in spans:
-                    kept.append(text[at:a])
-                    at = b
-                kept = b"".join([*kept, text[at:]])
-                for name, value in zip(out, (row["doc_id"], len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept, [{"from": a, "to": b} for a, b in spans]), strict=True):
-                    out[name].append(value)
-            yield pa.RecordBatch.from_pydict(out, schema=fields)
-
-    fields = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("spans", pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())])))])
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<from:long,to:long>>"
+                edges = [0, *(x for span in spans for x in span), len(text)]
+                parts = [text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]
+                kept = b"".join(parts)
+                found = (row["doc_id"], len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest())
+                values = dict(zip(fields.names, found, strict=False))
+                if whole:
+                    values |= {"kept": kept, "spans": [{"from": a, "to": b} for a, b in spans]}
+                out.append(values)
+            yield pa.RecordBatch.from_pylist(out, schema=fields)
+
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
+    if whole:
+        schema += ", kept binary, spans array<struct<from:long,to:long>>"
+        fields += [("kept", pa.binary()), ("spans", pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())])))]
+    fields = pa.schema(fields)
     return joined.select(F.col("doc_id").cast("long"), "text", "ranges").mapInArrow(run, schema)
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without strings of 200 bytes that repeat."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return remove_repeats(docs, 200).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), 200, whole=False)
 
 
 ORACLE_OP4 = """

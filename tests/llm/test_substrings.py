@@ -53,6 +53,24 @@ def test_small_blocks_and_hot_anchors(spark, documents, monkeypatch):
     assert run(documents(rows)) == brute(rows)
 
 
+def test_repeats_across_the_seams_of_a_long_text(spark, documents):
+    """Texts are hashed in pieces of BLOCK // 2 starts; a passage lies on each seam of one over three pieces long."""
+    r = random.Random(5)
+    half = substrings.BLOCK // 2
+    long = bytearray(r.choices(b"abcdefgh ", k=3 * half + 1000))
+    passages = [bytes(r.choices(b"abcdefgh ", k=320)) for _ in range(3)]
+    for k, p in enumerate(passages, 1):
+        long[k * half - 60 * k : k * half - 60 * k + 320] = p
+    rows = [(0, long.decode()), *((k, "x" * k + p.decode() + "y" * k) for k, p in enumerate(passages, 1))]
+    assert run(documents(rows)) == brute(rows)
+    found = {row.doc_id: row for row in remove_repeats(documents(rows)).collect()}
+    assert [(x["from"], x["to"]) for x in found[0].spans] == [(k * half - 60 * k, k * half - 60 * k + 320) for k in (1, 2, 3)]
+    short = remove_repeats(documents(rows), whole=False)
+    assert "kept" not in short.columns and {row.doc_id: row.kept_sha256 for row in short.collect()} == {
+        i: hashlib.sha256(row.kept).hexdigest() for i, row in found.items()
+    }
+
+
 def test_empty_table(spark, documents):
     assert remove_repeats(documents([])).collect() == []
 
