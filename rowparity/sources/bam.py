@@ -1,7 +1,10 @@
 """BAM files as tables and back, by a Python data source.
 
-A file is one partition, read as a stream of its BGZF members in bounded
-memory; repartition what is read.  Written are the partitions as parts beside
+A file with an index beside it (``.bai``) is cut where the index says that
+records begin, into partitions of ``SPLIT`` packed bytes or a little more.
+Each cut is checked: the records before it must end there, or the read fails.
+A file without an index is one partition; repartition what is read.  All are
+read as streams of BGZF members in bounded memory.  Written are the partitions as parts beside
 the target, which the driver joins, as BGZF members can be, when all tasks are
 done; what a lost or repeated task wrote is left out.  Paths are those that
 pyarrow's file systems know (local, HDFS, S3).
@@ -28,15 +31,19 @@ BATCH = 2_000
 # fixed values of the format: bases by their 4-bit code, and the sizes of numeric tags
 BASES = "=ACMGRSVTWYHKDBN"
 NUMBERS = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
+#: Packed bytes of a partition, of a file with an index.
+SPLIT = 32 << 20
+# fixed value of the format: the number that stands for an index's figures, which aren't places
+FIGURES = 37450
 #: Bytes of a BGZF member before it is packed, and of a copy between files.
 MEMBER, COPY = 0xFF00, 1 << 22
 
 
 class _Stream:
-    """The unpacked bytes of a gzip stream of many members."""
+    """The unpacked bytes of a gzip stream of many members, and of ``tail`` behind them."""
 
-    def __init__(self, raw, chunk: int = 1 << 20):
-        self.raw, self.chunk, self.data, self.at = raw, chunk, b"", 0
+    def __init__(self, raw, chunk: int = 1 << 20, tail: bytes = b""):
+        self.raw, self.chunk, self.data, self.at, self.tail = raw, chunk, b"", 0, tail
         self.inflate = zlib.decompressobj(31)
 
     def read(self, n: int) -> bytes:
@@ -46,6 +53,7 @@ class _Stream:
             if self.inflate.eof:
                 self.inflate = zlib.decompressobj(31)
             if not packed:
+                self.data, self.at, self.tail = self.data[self.at :] + self.tail, 0, b""
                 break
             self.data, self.at = self.data[self.at :] + self.inflate.decompress(packed), 0
         out = self.data[self.at : self.at + n]
@@ -64,6 +72,62 @@ def _open(path: str):
     return system.open_input_stream(place, compression=None)
 
 
+class _Until:
+    """A file's bytes up to ``end``, or all that follow."""
+
+    def __init__(self, file, end: int | None):
+        self.file, self.end = file, end
+
+    def read(self, n: int) -> bytes:
+        return self.file.read(n if self.end is None else max(0, min(n, self.end - self.file.tell())))
+
+
+def _between(file, start: int, end: int | None) -> _Stream:
+    """What lies between two virtual offsets: a member's place in the file times 2^16, and a place in its bytes."""
+    tail = b""
+    if end is not None:
+        file.seek(end >> 16)
+        tail = _Stream(file, 1 << 16).read(end & 0xFFFF)
+    file.seek(start >> 16)
+    stream = _Stream(_Until(file, None if end is None else end >> 16), tail=tail)
+    stream.read(start & 0xFFFF)
+    return stream
+
+
+def indexed_places(data: bytes) -> list[int]:
+    """The virtual offsets in a BAI index at which records begin, sorted."""
+    if data[:4] != b"BAI\1":
+        raise ValueError("not a BAI index")
+    at, found = 8, set()
+    for _ in range(struct.unpack_from("<i", data, 4)[0]):
+        bins, at = struct.unpack_from("<i", data, at)[0], at + 4
+        for _ in range(bins):
+            number, chunks = struct.unpack_from("<Ii", data, at)
+            if number != FIGURES:
+                found.update(struct.unpack_from(f"<{2 * chunks}Q", data, at + 8)[::2])
+            at += 8 + 16 * chunks
+        at += 4 + 8 * struct.unpack_from("<i", data, at)[0]
+    return sorted(found)
+
+
+def cuts(path: str, split: int = SPLIT) -> list[int]:
+    """Where to cut a file, by its index: virtual offsets at least ``split`` packed bytes apart; none without an index."""
+    system, place = _system(path)
+    for name in (f"{place}.bai", place.removesuffix(".bam") + ".bai"):
+        if system.get_file_info(name).is_file:
+            with system.open_input_stream(name, compression=None) as raw:
+                places = indexed_places(raw.read())
+            break
+    else:
+        return []
+    out, last = [], 0
+    for x in places:
+        if (x >> 16) - last >= split:
+            out.append(x)
+            last = x >> 16
+    return out
+
+
 def read_header(stream: _Stream) -> tuple[str, list[tuple[str, int]]]:
     """The header text and the references with their lengths."""
     if stream.read(4) != b"BAM\1":
@@ -116,16 +180,19 @@ def record(data: bytes, names: list[str]) -> dict:
     }
 
 
-def records(path: str) -> Iterator[dict]:
-    """All records of a BAM file, in file order."""
-    with _open(path) as raw:
-        stream = _Stream(raw)
+def records(path: str, start: int | None = None, end: int | None = None) -> Iterator[dict]:
+    """The records of a BAM file, in file order; those between two virtual offsets, if given."""
+    system, place = _system(path)
+    with system.open_input_file(place) as file:
+        stream = _between(file, 0, end if start is None else None)
         names = [n for n, _ in read_header(stream)[1]]
+        if start is not None:
+            stream = _between(file, start, end)
         while size := stream.read(4):
-            n = struct.unpack("<i", size)[0]
-            data = stream.read(n)
-            if len(data) < n:
-                raise ValueError(f"{path} is cut off")
+            n = struct.unpack("<i", size)[0] if len(size) == 4 else -1
+            data = stream.read(n) if n >= 32 else b""
+            if n < 32 or len(data) < n:
+                raise ValueError(f"{path} is cut off" if end is None else f"{path} isn't what its index describes")
             yield record(data, names)
 
 
@@ -240,20 +307,21 @@ class BamWriter(DataSourceWriter):
 
 
 class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, start: int | None, end: int | None):
+        self.path, self.start, self.end = path, start, end
 
 
 class BamReader(DataSourceReader):
-    def __init__(self, paths: list[str], schema: pa.Schema):
-        self.paths, self.schema = paths, schema
+    def __init__(self, paths: list[str], split: int, schema: pa.Schema):
+        self.paths, self.split, self.schema = paths, split, schema
 
     def partitions(self):
-        return [_File(p) for p in self.paths]
+        ends = {p: cuts(p, self.split) for p in self.paths}
+        return [_File(p, a, b) for p in self.paths for a, b in zip([None, *ends[p]], [*ends[p], None], strict=True)]
 
     def read(self, partition):
         rows = []
-        for r in records(partition.path):
+        for r in records(partition.path, partition.start, partition.end):
             rows.append(r)
             if len(rows) == BATCH:
                 yield pa.RecordBatch.from_pylist(rows, schema=self.schema)
@@ -276,16 +344,16 @@ class BamDataSource(DataSource):
         from pyspark.sql.pandas.types import to_arrow_schema
 
         paths = self.options.get("paths") or self.options["path"]
-        return BamReader(paths.split(","), to_arrow_schema(schema))
+        return BamReader(paths.split(","), int(self.options.get("split", SPLIT)), to_arrow_schema(schema))
 
     def writer(self, schema, overwrite: bool) -> BamWriter:
         return BamWriter(self.options["path"], self.options.get("header", ""), [(n, k) for n, k in json.loads(self.options["references"])], overwrite)
 
 
-def read(spark: SparkSession, *paths: str) -> DataFrame:
-    """The records of BAM files."""
+def read(spark: SparkSession, *paths: str, split: int = SPLIT) -> DataFrame:
+    """The records of BAM files, in partitions of about ``split`` packed bytes where a file has an index."""
     spark.dataSource.register(BamDataSource)
-    return spark.read.format("bam").option("paths", ",".join(paths)).load()
+    return spark.read.format("bam").option("paths", ",".join(paths)).option("split", split).load()
 
 
 def references(path: str) -> list[tuple[str, int]]:

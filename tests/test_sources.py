@@ -1,6 +1,7 @@
 import gzip
 import random
 import struct
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -41,6 +42,44 @@ def test_bam_records(spark, tmp_path):
         bam.read(spark, str(tmp_path / "b.bam")).collect()
 
 
+def index(path, parts, shift=0):
+    """A BAI index beside ``path`` with a chunk for each record, and figures that aren't places."""
+    data, packed = gzip.decompress(open(path, "rb").read()), open(path, "rb").read()
+    members, at = [], 0  # (place in the file, place in the data)
+    while at < len(packed):
+        inflate = zlib.decompressobj(31)
+        members.append((at, members[-1][2] if members else 0, (members[-1][2] if members else 0) + len(inflate.decompress(packed[at:]))))
+        at = len(packed) - len(inflate.unused_data)
+    begin, places = len(data) - sum(map(len, parts)), []
+    for p in parts:
+        member = next(m for m in members if m[1] <= begin < m[2])
+        places.append(member[0] << 16 | begin - member[1])
+        begin += len(p)
+    places[-1] += shift
+    chunks = b"".join(struct.pack("<QQ", x, x + 1) for x in places)
+    figures = struct.pack("<IiQQQQ", 37450, 2, places[0], places[-1], 7, 1)
+    head = b"BAI\1" + struct.pack("<ii", 1, 2) + struct.pack("<Ii", 4681, len(places))
+    with open(f"{path}.bai", "wb") as out:
+        out.write(head + chunks + figures + struct.pack("<iQ", 1, places[0]) + struct.pack("<Q", 0))
+
+
+def test_indexed_bam_is_read_by_several_tasks(spark, tmp_path):
+    parts = [block(f"r{k}", k % 60, pos=k) for k in range(200)]
+    path = write(tmp_path / "a.bam", parts)
+    whole = bam.read(spark, path)
+    assert whole.rdd.getNumPartitions() == 1
+    expected = [r.read_name for r in whole.collect()]
+    index(path, parts)
+    for split in (1, 700, 5000, 1 << 30):
+        cut = bam.read(spark, path, path, split=split)
+        assert cut.rdd.getNumPartitions() == 2 * (1 + len(bam.cuts(path, split)))
+        assert [r.read_name for r in cut.collect()] == 2 * expected == 2 * [f"r{k}" for k in range(200)]
+    assert len(bam.cuts(path, 700)) > 3 and bam.cuts(path, 1 << 30) == []
+    index(path, parts, shift=1)
+    with pytest.raises(Exception, match="index"):
+        bam.read(spark, path, split=1).collect()
+
+
 def test_compared_alignments(spark, tmp_path):
     one = bam.read(spark, write(tmp_path / "a.bam", [block("r0", 20), block("r1", 30)]))
     two = bam.read(spark, write(tmp_path / "b.bam", [block("r1", 40), block("r0", 20)]))
