@@ -5,25 +5,23 @@ its separator; so archives are written inside the JVM to any store that Spark
 can write to.  Files are gzipped as a whole; offsets count unpacked bytes.
 
 Reading doesn't trust the magic string, which a payload may hold as well.
-Tasks emit every place of it as a candidate with the offset of its successor:
-the candidate's own header says how long the record is.  Pointer jumping from
-the start of the file then finds the candidates that the chain reaches, in as
-many steps as the logarithm of their number.  The others lie in payloads.
+Tasks cut the files at every place of it: gzipped ones as streams, plain ones
+by byte ranges.  Each piece is a candidate whose own header says where its
+successor begins.  Pieces that follow one another so are runs, which begin
+anew wherever a candidate elsewhere points.  Pointer jumping from the starts
+of the files, by joins, finds the runs that the chains reach, in as many steps
+as the logarithm of their number.  The other pieces lie in payloads.
 """
 
 from __future__ import annotations
 
-import gzip
-import hashlib
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .shared import dropped, new_path, written
 
-MAGIC = b"WARC/1.1\r\n"
+MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
 #: Begins the id of a record without page_id.
 UNNAMED = "urn:payload:"
@@ -79,7 +77,7 @@ def _records(rows: DataFrame) -> DataFrame:
     stored = F.when(response, F.col("payload")).otherwise(F.lit(b""))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit(END))
     head = F.concat(
-        F.lit(MAGIC.decode()),
+        F.lit(MAGIC),
         F.lit("WARC-Type: "), "record_type", F.lit("\r\n"),
         line("WARC-Record-ID", F.concat(F.lit("<"), F.coalesce(uri(F.col("page_id")), F.concat(F.lit(UNNAMED), "payload_digest")), F.lit(">"))),
         line("WARC-Target-URI", target),
@@ -101,104 +99,143 @@ def write_archives(rows: DataFrame, path: str) -> None:
     _records(rows).write.option("lineSep", END).option("compression", "gzip").text(path)
 
 
-def candidates_of(data: bytes) -> list[tuple[int, int, dict[str, str], int]]:
-    """(offset, successor, header, start of the block) of every magic string in an archive.
+def _pieces(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, id, piece): what lies between magic strings, in the order of ``id`` in each block of a file."""
+    found = spark.read.option("lineSep", MAGIC).option("pathGlobFilter", "part-*").text(path)
+    return found.select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("id"),
+        F.col("value").cast("binary").alias("piece"),
+    )
+
 
-    The successor of what isn't a record, or would end beyond the file, is -1.
+def _parsed() -> dict[str, Column]:
+    """What ``piece`` says as a record, without its magic string; ``reach`` is where it ends, ``whole`` if it does so there."""
+    size, ends = F.octet_length("piece"), F.octet_length(F.lit(END))
+    head = F.substring_index(F.col("piece").cast("string"), END, 1)
+    field = lambda name, value: F.regexp_extract(head, rf"(?imd)^{name}:[ \t]*{value}[ \t]*\r?$", 1)
+    page = lambda name: field(name, r"<urn:page:(-?\d{1,19})>").try_cast("long")
+    block = F.octet_length(head) + ends
+    reach = F.when(block <= size, block + field("Content-Length", r"(\d{1,18})").try_cast("long") + ends)
+    inner = F.substring_index(F.substring(F.col("piece"), block + 1, size).cast("string"), END, 1)
+    start = block + F.octet_length(inner) + ends
+    payload = F.substring(F.col("piece"), start + 1, F.greatest(size - ends - start, F.lit(0)))
+    response = field("WARC-Type", r"(\w+)") == "response"
+    return {
+        "size": size.cast("long"),
+        "reach": reach,
+        "whole": F.coalesce((reach == size) & (F.substring(F.col("piece"), size - ends + 1, ends) == F.lit(END.encode())), F.lit(False)),
+        "page_id": page("WARC-Record-ID"),
+        "record_type": field("WARC-Type", r"(\w+)"),
+        "refers_to": page("WARC-Refers-To"),
+        "payload_bytes": F.when(response, F.octet_length(payload).cast("long")).otherwise(field("X-Full-Payload-Length", r"(\d{1,18})").try_cast("long")),
+        "payload_digest": field("WARC-Payload-Digest", r"sha1:([0-9a-f]{40})"),
+        "read_digest": F.when(response, F.sha1(payload)),
+        "payload": F.when(response, payload),
+    }
+
+
+def _placed(pieces: DataFrame) -> DataFrame:
+    """The pieces' ``_parsed`` columns with ``at``, the place of the magic string before each, and ``follower``.
+
+    The piece before a file's first magic string is empty; it has ``at`` -10
+    and the follower 0, so the chain begins there.
     """
-    out, at = [], data.find(MAGIC)
-    while at >= 0:
-        end = data.find(b"\r\n\r\n", at)
-        head: dict[str, str] = {}
-        follower = block = -1
-        if end >= 0:
-            for line in data[at + len(MAGIC) : end].split(b"\r\n"):
-                name, _, value = line.partition(b":")
-                head.setdefault(name.decode("latin-1").lower(), value.strip().decode("utf-8", "replace"))
-            length = head.get("content-length", "")
-            if length.isascii() and length.isdigit():
-                block = end + 4
-                stop = block + int(length)
-                if data[stop : stop + 4] == b"\r\n\r\n":
-                    follower = stop + 4
-        out.append((at, follower, head, block))
-        at = data.find(MAGIC, at + 1)
-    return out
-
-
-def reachable(offsets: np.ndarray, followers: np.ndarray, size: int) -> np.ndarray:
-    """Which candidates, by increasing offset, the chain from offset 0 reaches.
-
-    Pointer jumping: the reached set is followed by jumps of 1, 2, 4, ...
-    records, and the jumps are squared, until it stops growing.  Raises if the
-    chain doesn't lead from the start to the end of the file.
+    parsed = _parsed()
+    del parsed["payload"]
+    nodes = written(pieces.select("file", "block", "id", *(c.alias(n) for n, c in parsed.items())), "nodes")
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    taken = F.col("size") + len(MAGIC)
+    blocks = nodes.groupBy("file", "block").agg(F.sum(taken).alias("taken"))
+    starts = blocks.select("file", "block", before("taken", Window.partitionBy("file").orderBy("block")).alias("begins"))
+    begin = F.col("begins") + before(taken, Window.partitionBy("file", "block").orderBy("id"))
+    rows = nodes.join(starts, ["file", "block"]).withColumn("begin", begin)
+    follower = F.when(F.col("begin") == 0, 0).otherwise(F.col("begin") + F.col("reach"))
+    return written(rows.withColumn("at", F.col("begin") - len(MAGIC)).withColumn("follower", follower).drop("begins", "begin"), "placed")
+
+
+def _runs(placed: DataFrame) -> DataFrame:
+    """``placed`` with ``run``, the ``at`` of the run's first piece."""
+    here = Window.partitionBy("file", "block").orderBy("id")
+    rows = placed.withColumn("before", F.lag("follower").over(here)).withColumn("next", F.lead("at").over(here))
+    aims = rows.where("follower is not null and not (follower <=> next)").select("file", F.col("follower").alias("at")).distinct()
+    rows = rows.join(aims.withColumn("aimed", F.lit(True)), ["file", "at"], "left")
+    first = ~F.col("before").eqNullSafe(F.col("at")) | F.col("aimed").isNotNull()
+    run = F.last(F.when(first, F.col("at")), ignorenulls=True).over(here)
+    return written(rows.withColumn("run", run).drop("before", "next", "aimed"), "runs")
+
+
+def reachable(steps: DataFrame) -> DataFrame:
+    """The rows (file, run) of ``steps`` (file, run, jump) that the chains from the run at -10 reach.
+
+    Pointer jumping: what is marked marks what lies a jump ahead, and jumps
+    are doubled, until no more is marked.
     """
-    n = len(offsets)
-    jump = np.searchsorted(offsets, followers)
-    jump = np.where((jump < n) & (followers >= 0), np.minimum(jump, n), n)  # n: no further record
-    exact = jump < n
-    exact[exact] = offsets[jump[exact]] == followers[exact]
-    jump = np.append(np.where(exact, jump, n), n)
-    marks = np.zeros(n + 1, bool)
-    if n and offsets[0] == 0:
-        marks[0] = True
-    while True:
-        more = marks.copy()
-        more[jump[marks]] = True
-        if (more == marks).all():
-            break
-        marks, jump = more, jump[jump]
-    marks = marks[:n]
-    if size and (not marks.any() or followers[np.flatnonzero(marks)[-1]] != size):
-        raise ValueError("the chain of records doesn't lead to the end of the archive")
-    return marks
-
-
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    start = F.col("run") == -len(MAGIC)
+    state, marked = written(steps.select("file", "run", "jump", start.alias("mark")), "steps"), -1
+    while (n := state.where("mark").count()) > marked:
+        marked = n
+        hit = state.where("mark and jump is not null").select("file", F.col("jump").alias("run")).distinct().withColumn("hit", F.lit(True))
+        far = state.where("jump is not null").select("file", F.col("run").alias("jump"), F.col("jump").alias("farther"))
+        marks = F.col("mark") | F.col("hit").isNotNull()
+        found = state.join(hit, ["file", "run"], "left").join(far, ["file", "jump"], "left")
+        later = written(found.select("file", "run", F.col("farther").alias("jump"), marks.alias("mark")), "steps")
+        dropped(state)
+        state = later
+    return state.where("mark").select("file", "run")
+
+
+def _several(rows: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(file, at, piece) of the reached records that are cut into several pieces, put together."""
+    here, over = Window.partitionBy("file", "block").orderBy("id"), Window.partitionBy("file").orderBy("block")
+    last = rows.where("reached").groupBy("file", "block").agg(F.max("at").alias("latest"))
+    blocks = rows.select("file", "block").distinct().join(last, ["file", "block"], "left")
+    carried = blocks.select("file", "block", F.max("latest").over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    owner = F.coalesce(F.max(F.when(F.col("reached"), F.col("at"))).over(here), F.col("carried"))
+    owned = rows.join(carried, ["file", "block"]).select("file", "id", "at", owner.alias("owner"))
+    cut = rows.where("reached and not whole and at >= 0").select("file", F.col("at").alias("owner"))
+    parts = pieces.select("file", "id", "piece").join(owned.join(cut, ["file", "owner"]), ["file", "id"])
+    joined = F.array_sort(F.collect_list(F.struct("at", "piece")))
+    text = F.array_join(F.transform(joined, lambda x: x["piece"].cast("string")), MAGIC)
+    return parts.groupBy("file", F.col("owner").alias("at")).agg(text.cast("binary").alias("piece"))
+
+
+def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """The records of the WARC files below ``path``.
 
     (file, offset, page_id, record_type, refers_to, payload_bytes,
-    payload_digest, payload).  A response's digest is that of the payload as
-    read, held against the header; a revisit has the header's and no payload.
+    payload_digest, and if ``payloads`` payload).  A response's digest is that
+    of the payload as read, held against the header; a revisit has the
+    header's and no payload.  Raises where the chain of records doesn't lead
+    from a file's start to its end.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-
-    def find(batches):
-        for batch in batches:
-            for file, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-                found = candidates_of(data)
-                if not found:
-                    continue
-                keep = reachable(np.array([f[0] for f in found]), np.array([f[1] for f in found]), len(data))
-                yield from emitted(file, data, [f for f, k in zip(found, keep.tolist(), strict=True) if k])
-
-    def emitted(file, data, records):
-        for at in range(0, len(records), 500):
-            out = {name: [] for name in fields.names}
-            for offset, follower, head, block in records[at : at + 500]:
-                body = data[block : follower - 4]
-                payload = body[body.index(b"\r\n\r\n") + 4 :]
-                kind, digest = head["warc-type"], head["warc-payload-digest"].removeprefix("sha1:")
-                if kind == "response" and hashlib.sha1(payload).hexdigest() != digest:
-                    raise ValueError(f"{file}, offset {offset}: the payload isn't that of its digest")
-                size = len(payload) if kind == "response" else int(head["x-full-payload-length"])
-                values = (file, offset, _page(head.get("warc-record-id")), kind, _page(head.get("warc-refers-to")), size, digest, payload if kind == "response" else None)
-                for name, value in zip(out, values, strict=True):
-                    out[name].append(value)
-            yield pa.RecordBatch.from_pydict(out, schema=fields)
-
-    long, text = pa.int64(), pa.string()
-    fields = pa.schema([("file", text), ("offset", long), ("page_id", long), ("record_type", text), ("refers_to", long), ("payload_bytes", long), ("payload_digest", text), ("payload", pa.binary())])
-    schema = "file string, offset long, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
-    return files.mapInArrow(find, schema)
-
-
-def _page(uri: str | None) -> int | None:
-    return int(uri[len("<urn:page:") : -1]) if uri and not uri.startswith(f"<{UNNAMED}") else None
-
-
-def round_trip(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    pieces = written(_pieces(spark, path), "pieces")
+    placed = _placed(pieces)
+    runs = _runs(placed)
+    dropped(placed)
+    steps = runs.groupBy("file", "run").agg(F.max_by("follower", "at").alias("jump"))
+    reached = reachable(steps)
+    ends = runs.groupBy("file").agg(F.max(F.col("at") + len(MAGIC) + F.col("size")).alias("end"))
+    done = steps.join(reached, ["file", "run"]).groupBy("file").agg(F.max("jump").alias("last"))
+    wrong = ends.join(done, "file", "left").where("not (`last` <=> `end`)").select("file").take(1)
+    if wrong:
+        raise ValueError(f"the chain of records doesn't lead to the end of {wrong[0].file}")
+    rows = runs.join(reached.withColumn("reached", F.lit(True)), ["file", "run"], "left").withColumn("reached", F.col("reached").isNotNull())
+    rows = written(rows, "reached")
+    alone = rows.where("reached and whole and at >= 0")
+    names = [n for n in _parsed() if payloads or n != "payload"]
+    parse = lambda df: df.select("file", "at", *(_parsed()[n].alias(n) for n in names))
+    alone = parse(alone.select("file", "id", "at").join(pieces, ["file", "id"])) if payloads else alone.select("file", "at", *names)
+    found = alone.unionByName(parse(_several(rows, pieces)))
+    right = F.col("whole") & ((F.col("record_type") != "response") | F.col("payload_digest").eqNullSafe(F.col("read_digest")))
+    fault = F.raise_error(F.concat(F.col("file"), F.lit(": the payload isn't that of its digest, at "), F.col("at").cast("string")))
+    digest = F.when(right, F.col("payload_digest")).otherwise(fault.cast("string")).alias("payload_digest")
+    columns = ["file", F.col("at").alias("offset"), "page_id", "record_type", "refers_to", "payload_bytes", digest]
+    return found.select(*columns, *(["payload"] if payloads else []))
+
+
+def round_trip(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, payloads: bool = True) -> DataFrame:
     """Writes ``pages`` (page_id, url, html) as archives below ``path`` and reads them back.
 
     A null html is an empty payload.  Repeated rows get a record each; an
@@ -208,10 +245,10 @@ def round_trip(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES)
     # dealt out evenly, so that no archive outgrows a task
     payloads = pages.select("page_id", "url", F.col("html").cast("string").cast("binary").alias("payload"))
     write_archives(record_types(payloads, int(size // archive_bytes) + 1), path)
-    return read_archives(pages.sparkSession, path)
+    return read_archives(pages.sparkSession, path, payloads)
 
 
 def op3_boundary_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records of all pages, as read back from archives."""
-    found = round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"), new_path(spark, "warc"))
+    found = round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"), new_path(spark, "warc"), payloads=False)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -1,9 +1,8 @@
 import hashlib
 
-import numpy as np
 import pytest
 
-from rowparity.llm.warc import MAGIC, candidates_of, reachable, read_archives, round_trip
+from rowparity.llm.warc import MAGIC, read_archives, round_trip
 
 SCHEMA = "page_id long, url string, html string, payload string, record_type string, n int"
 
@@ -44,25 +43,54 @@ def test_empty_table(spark, tmp_path):
     assert round_trip(make(spark, []), str(tmp_path / "e")).collect() == []
 
 
-def record(payload):
-    return b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(payload), payload)
+def record(payload, digest=None):
+    body = b"HTTP/1.1 200 OK\r\n\r\n" + payload
+    head = "WARC-Type: response\r\nWARC-Payload-Digest: sha1:%s\r\nContent-Length: %d\r\n\r\n"
+    head %= digest or hashlib.sha1(payload).hexdigest(), len(body)
+    return MAGIC.encode() + head.encode() + body + b"\r\n\r\n"
 
 
-def test_chain_rejects_magic_in_payloads():
-    inner = record(b"inner")
-    data = b"".join(record(p) for p in (b"a", inner, inner * 3 + MAGIC, b"", MAGIC * 5, record(inner)))
-    found = candidates_of(data)
-    keep = reachable(np.array([f[0] for f in found]), np.array([f[1] for f in found]), len(data))
+INNER = record(b"inner")
+PAYLOADS = [b"a", INNER, INNER * 3 + MAGIC.encode(), b"", MAGIC.encode() * 5, record(INNER), b"x" * 700 + INNER + b"\xff\r\n\r\n", INNER * 9, b"z"]
+
+
+def archive(folder, data):
+    folder.mkdir()
+    (folder / "part-0").write_bytes(data)
+    return str(folder)
+
+
+@pytest.mark.parametrize("split", [200, 1000, 1 << 27])
+def test_chain_rejects_magic_in_payloads(spark, tmp_path, split):
     starts, at = [], 0
-    for p in (b"a", inner, inner * 3 + MAGIC, b"", MAGIC * 5, record(inner)):
+    for p in PAYLOADS * 3:
         starts.append(at)
         at += len(record(p))
-    assert [f[0] for f, k in zip(found, keep, strict=True) if k] == starts
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        path = archive(tmp_path / "a", b"".join(map(record, PAYLOADS * 3)))
+        rows = sorted((r.offset, bytes(r.payload)) for r in read_archives(spark, path).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert rows == list(zip(starts, PAYLOADS * 3, strict=True))
+
+
+def test_a_false_chain_that_joins_the_true_one(spark, tmp_path):
+    """A header in a payload whose record would end with the payload's own: its successor is a true record."""
+    head = MAGIC.encode() + b"WARC-Type: response\r\nContent-Length: 3\r\n\r\n"
+    payloads = [b"one", b"before " + head + b"abc", b"two", head + b"abc", b"three"]
+    rows = read_archives(spark, archive(tmp_path / "a", b"".join(map(record, payloads)))).collect()
+    assert [bytes(r.payload) for r in sorted(rows, key=lambda r: r.offset)] == payloads
+
+
+@pytest.mark.parametrize("data", [record(b"a") + record(b"b")[:-2], b"x" + record(b"a"), record(b"a") + record(b"b") + b"more", record(b"a") + record(b"b")[:-9]])
+def test_broken_archives_are_refused(spark, tmp_path, data):
+    with pytest.raises(ValueError):
+        read_archives(spark, archive(tmp_path / "a", data))
 
 
-def test_broken_archives_are_refused():
-    data = record(b"a") + record(b"b")[:-2]
-    found = candidates_of(data)
-    with pytest.raises(ValueError):
-        reachable(np.array([f[0] for f in found]), np.array([f[1] for f in found]), len(data))
-    assert read_archives
+def test_wrong_payloads_are_refused(spark, tmp_path):
+    found = read_archives(spark, archive(tmp_path / "a", record(b"a") + record(b"b", "0" * 40)))
+    with pytest.raises(Exception, match="digest"):
+        found.collect()
