@@ -150,6 +150,22 @@ def _keyed(nodes: DataFrame) -> DataFrame:
     return nodes.select("fingerprint").mapInArrow(run, "fingerprint long, key long")
 
 
+def _mixed_cells(members: DataFrame, bits: int) -> DataFrame:
+    """(key, piece, part, fingerprint, component, main) of cells with several components.
+
+    The fingerprint is cut into one piece more than bits may differ, so two
+    close members of a bucket are equal in a piece and share its cell.  main
+    is the component with the most members in the cell.
+    """
+    ends = [64 * i // (bits + 1) for i in range(bits + 2)]
+    parts = [F.shiftrightunsigned(F.shiftleft("fingerprint", 64 - b), 64 - b + a) for a, b in zip(ends, ends[1:])]
+    cells = members.select("key", "fingerprint", "component", F.posexplode(F.array(*parts)).alias("piece", "part"))
+    at = ["key", "piece", "part"]
+    sizes = cells.groupBy(*at, "component").agg(F.count(F.lit(1)).alias("n"))
+    mains = sizes.groupBy(*at).agg(F.count(F.lit(1)).alias("several"), F.max(F.struct("n", "component")).alias("most"))
+    return cells.join(mains.where("several > 1").select(*at, F.col("most.component").alias("main")), at)
+
+
 def linked(nodes: DataFrame, bits: int = 4) -> DataFrame:
     """(node, component) of the different fingerprints in ``nodes`` that have a link.
 
@@ -157,8 +173,11 @@ def linked(nodes: DataFrame, bits: int = 4) -> DataFrame:
     and the XOR of all, tell all its members if they are few; such buckets are
     verified where they are counted.  Of larger ones, each member is first
     held against the least and the greatest.  Buckets that then lie in one
-    component are done, so a large group of near copies makes no pairs within
-    itself; in the others each pair from different components is verified.
+    component are done.  The others are cut into cells by pieces of the
+    fingerprint, of which two close members share one; in a cell the members
+    outside its main component are held against all.  So a large group of near
+    copies makes no pairs within itself, and a bucket that strangers fill is
+    divided further.
     """
     keyed = _keyed(nodes)
     turned = keyed.withColumn("turned", F.shiftleft("fingerprint", 29).bitwiseOR(F.shiftrightunsigned("fingerprint", 35)))
@@ -183,13 +202,16 @@ def linked(nodes: DataFrame, bits: int = 4) -> DataFrame:
     named = written(named.withColumn("component", F.coalesce("component", "fingerprint")), "named")
     mixed = written(named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key"), "mixed")
     open_ = written(named.join(mixed, "key"), "open")
-    other = open_.select("key", F.col("fingerprint").alias("b"), F.col("component").alias("other"))
-    pairs = open_.withColumnRenamed("fingerprint", "a").join(other, "key").where((F.col("component") < F.col("other")) & close(F.col("a"), F.col("b")))
+    cells = written(_mixed_cells(open_, bits), "cells")
+    at = ["key", "piece", "part"]
+    other = cells.where(F.col("component") != F.col("main")).select(*at, F.col("fingerprint").alias("b"), F.col("component").alias("other"))
+    pairs = cells.withColumnRenamed("fingerprint", "a").join(other, at)
+    pairs = pairs.where((F.col("component") != F.col("other")) & close(F.col("a"), F.col("b")))
     second = components(pairs.select(F.col("component").alias("a"), F.col("other").alias("b")))
     second = second.select(F.col("node").alias("component"), F.col("component").alias("whole"))
     out = first.join(second, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
     out = written(out.union(second.select("component", "whole")).distinct(), "linked")
-    for table in (buckets, members, named, mixed, open_):
+    for table in (buckets, members, named, mixed, open_, cells):
         dropped(table)
     return out
 

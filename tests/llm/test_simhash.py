@@ -57,6 +57,18 @@ def test_components_of_chains_and_groups(spark):
                 x ^= 1 << bit
     centre = r.getrandbits(64)
     prints += [centre ^ (1 << a) ^ (1 << b) for a in range(20) for b in range(a)]
+    check_components(spark, prints)
+
+
+def test_components_in_crowded_buckets(spark):
+    r = random.Random(6)
+    low, centre = r.getrandbits(43), r.getrandbits(21)
+    prints = [low | r.getrandbits(21) << 43 for _ in range(400)]  # equal in two segments: all in the same buckets
+    prints += [low | (centre ^ 1 << a ^ 1 << b) << 43 for a in range(21) for b in range(a)]
+    check_components(spark, prints)
+
+
+def check_components(spark, prints):
     prints = sorted(set(prints))
     signed = [x - (1 << 64) if x >> 63 else x for x in prints]
     out = {row.node: row.component for row in linked(spark.createDataFrame([(x,) for x in signed], "fingerprint long")).collect()}
