@@ -34,6 +34,8 @@ from .shared import dropped, written
 GENERATOR = 0b110001110101
 #: Offset and length of the fingerprint's segments.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
+#: Members of a bucket that are compared as they are: cutting makes five rows of each, which pays for larger ones alone.
+ONE_CELL = 64
 #: Byte to its bits, one in each byte of a word, the first bit lowest.
 _SPREAD = np.array([sum((b >> (7 - k) & 1) << (8 * k) for k in range(8)) for b in range(256)], np.uint64)
 
@@ -153,13 +155,15 @@ def _keyed(nodes: DataFrame) -> DataFrame:
 def _mixed_cells(members: DataFrame, bits: int) -> DataFrame:
     """(key, piece, part, fingerprint, component, main) of cells with several components.
 
-    The fingerprint is cut into one piece more than bits may differ, so two
-    close members of a bucket are equal in a piece and share its cell.  main
-    is the component with the most members in the cell.
+    A bucket of up to ``ONE_CELL`` members (n) is a cell.  Of a larger one,
+    the fingerprint is cut into one piece more than bits may differ, so two
+    close members are equal in a piece and share its cell.  main is the
+    component with the most members in the cell.
     """
     ends = [64 * i // (bits + 1) for i in range(bits + 2)]
     parts = [F.shiftrightunsigned(F.shiftleft("fingerprint", 64 - b), 64 - b + a) for a, b in zip(ends, ends[1:])]
-    cells = members.select("key", "fingerprint", "component", F.posexplode(F.array(*parts)).alias("piece", "part"))
+    parts = F.when(F.col("n") <= ONE_CELL, F.array(F.lit(0).cast("long"))).otherwise(F.array(*parts))
+    cells = members.select("key", "fingerprint", "component", F.posexplode(parts).alias("piece", "part"))
     at = ["key", "piece", "part"]
     sizes = cells.groupBy(*at, "component").agg(F.count(F.lit(1)).alias("n"))
     mains = sizes.groupBy(*at).agg(F.count(F.lit(1)).alias("several"), F.max(F.struct("n", "component")).alias("most"))
@@ -173,7 +177,7 @@ def linked(nodes: DataFrame, bits: int = 4) -> DataFrame:
     and the XOR of all, tell all its members if they are few; such buckets are
     verified where they are counted.  Of larger ones, each member is first
     held against the least and the greatest.  Buckets that then lie in one
-    component are done.  The others are cut into cells by pieces of the
+    component are done.  Large others are cut into cells by pieces of the
     fingerprint, of which two close members share one; in a cell the members
     outside its main component are held against all.  So a large group of near
     copies makes no pairs within itself, and a bucket that strangers fill is
@@ -200,7 +204,9 @@ def linked(nodes: DataFrame, bits: int = 4) -> DataFrame:
     first = components(direct.union(ends[0]).union(ends[1]))
     named = members.select("key", "fingerprint").join(first.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
     named = written(named.withColumn("component", F.coalesce("component", "fingerprint")), "named")
-    mixed = written(named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key"), "mixed")
+    mixed = written(named.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"),
+    ).where("low <> high").select("key", "n"), "mixed")
     open_ = written(named.join(mixed, "key"), "open")
     cells = written(_mixed_cells(open_, bits), "cells")
     at = ["key", "piece", "part"]

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from rowparity.llm import simhash
 from rowparity.llm.simhash import golay_keys, linked, near_duplicates, one_of_each, simhashes
 
 
@@ -60,7 +61,9 @@ def test_components_of_chains_and_groups(spark):
     check_components(spark, prints)
 
 
-def test_components_in_crowded_buckets(spark):
+@pytest.mark.parametrize("one_cell", [4, 10**6])
+def test_components_in_crowded_buckets(spark, monkeypatch, one_cell):
+    monkeypatch.setattr(simhash, "ONE_CELL", one_cell)
     r = random.Random(6)
     low, centre = r.getrandbits(43), r.getrandbits(21)
     prints = [low | r.getrandbits(21) << 43 for _ in range(400)]  # equal in two segments: all in the same buckets
