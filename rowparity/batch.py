@@ -72,10 +72,12 @@ def judge(spark: SparkSession, result: Comparison, policy: policies.Policy) -> t
 def run(
     spark: SparkSession, entries: list[dict], pair: Callable[[dict], Pair],
     base: policies.Policy | None = None, document: policies.Document | None = None, at_once: int = 4, use: Callable[[dict, Pair, DataFrame], None] | None = None,
+    examples: int = 0,
 ) -> Batch:
     """Compares each entry's before and after as ``pair`` gives them; the jobs of ``at_once`` entries share the cluster.
 
-    ``use`` is called with the changes of each entry.
+    ``use`` is called with the changes of each entry, of which each result has
+    the first ``examples``.
 
     An entry that fails raises with its sample and stage.
     """
@@ -85,7 +87,7 @@ def run(
         sample, stage = entry["sample"], entry["stage"]
         try:
             both = pair(entry)
-            result = both.compare(use=(lambda found: use(entry, both, found)) if use else None)
+            result = both.compare(use=(lambda found: use(entry, both, found)) if use else None, examples=examples)
             policy, rules = policies.resolve(base or policies.Policy(), document, sample=sample, stage=stage, kind=both.kind or "table", profile=entry.get("profile") or "strict")
             violations, passed = judge(spark, result, policy)
         except Exception as e:

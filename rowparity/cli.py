@@ -43,6 +43,7 @@ def _parser() -> argparse.ArgumentParser:
         sub.add_argument("--region", action="append", default=[], metavar="CONTIG:FIRST-LAST")
         sub.add_argument("--regions", metavar="BED", help="compare only these")
         sub.add_argument("--exclude-regions", metavar="BED")
+        sub.add_argument("--cache", metavar="FOLDER", help="keep decoded inputs there as Parquet and read them again")
         sub.add_argument("--force", action="store_true", help="replace outputs")
         return sub
 
@@ -50,13 +51,14 @@ def _parser() -> argparse.ArgumentParser:
     one.add_argument("--explain", action="store_true")
     one.add_argument("--name-a")
     one.add_argument("--name-b")
-    one.add_argument("--max-examples", type=int, default=10, help="places that --igv-batch visits")
+    one.add_argument("--max-examples", type=int, default=10, help="changes that reports show, and places that --igv-batch visits")
     for kind in ("json", "html", "svg", "igv-batch", "difference-table", "reproducibility"):
         one.add_argument(f"--{kind}")
     for kind in ("write-diff", "tracks"):
         one.add_argument(f"--{kind}", metavar="FOLDER")
     many = command("batch", "manifest")
     many.add_argument("--policy")
+    many.add_argument("--max-examples", type=int, default=0, help="changes that reports show of each comparison")
     many.add_argument("--output", help="a folder for all reports")
     many.add_argument("--max-modified", type=int, default=0)
     many.add_argument("--max-modified-fraction", type=float)
@@ -145,7 +147,7 @@ def _compare(spark: SparkSession, o: argparse.Namespace) -> int:
         raise ValueError("outputs must differ from each other and from the inputs")
     if taken := [p for p in places if Path(p).exists() and not o.force]:
         raise FileExistsError(f"{taken[0]} exists")
-    both = pair(spark, o.first, o.second, o.keys, o.fields, o.profile, _options(spark, o))
+    both = pair(spark, o.first, o.second, o.keys, o.fields, o.profile, _options(spark, o), o.cache)
     if o.igv_batch and both.kind is None:
         raise ValueError("--igv-batch needs alignments or variants")
     visits: list[tuple[str, int]] = []
@@ -162,7 +164,7 @@ def _compare(spark: SparkSession, o: argparse.Namespace) -> int:
             visits.extend((r["contig"], r["position"]) for r in genomics.places(found, both.kind).select("contig", "position").distinct().orderBy("contig", "position").limit(o.max_examples).collect())
 
     default = labels(o.first, o.second)
-    result = both.compare((o.name_a or default[0], o.name_b or default[1]), bool(o.explain or outputs), use)
+    result = both.compare((o.name_a or default[0], o.name_b or default[1]), bool(o.explain or outputs), use, o.max_examples)
     print(report.text(result), end="")
     made = {o.json: result.to_json, o.html: lambda: report.html(result), o.svg: lambda: report.svg(result)}
     made[o.igv_batch] = lambda: tracks.igv_batch(visits, [o.first, o.second], o.reference or "genome")
@@ -184,7 +186,7 @@ def _entry_pair(spark: SparkSession, o: argparse.Namespace, entry: dict) -> Pair
     if said not in ("", "true", "yes", "1", "false", "no", "0"):
         raise ValueError(f"normalize is true or false, not {said!r}")
     options = _options(spark, o, said in ("true", "yes", "1") if said else None, entry.get("reference"))
-    return pair(spark, entry["before"], entry["after"], o.keys, o.fields, entry.get("profile") or o.profile, options)
+    return pair(spark, entry["before"], entry["after"], o.keys, o.fields, entry.get("profile") or o.profile, options, o.cache)
 
 
 def _batch(spark: SparkSession, o: argparse.Namespace) -> int:
@@ -202,7 +204,7 @@ def _batch(spark: SparkSession, o: argparse.Namespace) -> int:
             Path(o.tracks).mkdir(exist_ok=True)
             _write_tracks(spark, both, found, f"{o.tracks}/{name}", o.force)
 
-    found = run_batch(spark, entries, lambda entry: _entry_pair(spark, o, entry), base, document, use=use if o.write_diff or o.tracks else None)
+    found = run_batch(spark, entries, lambda entry: _entry_pair(spark, o, entry), base, document, use=use if o.write_diff or o.tracks else None, examples=o.max_examples)
     print(report.batch_text(found), end="")
     if o.output:
         with artifacts.workspace(o.output, o.force) as folder:
@@ -217,7 +219,7 @@ def _batch(spark: SparkSession, o: argparse.Namespace) -> int:
 def _tables(spark: SparkSession, o: argparse.Namespace, side: str) -> tuple[dict, list[str]]:
     tables, fields = {}, o.fields
     for e in _entries(spark, o.manifest):
-        kind, df = genomics.kind_of(e[side]), load(spark, e[side])
+        kind, df = genomics.kind_of(e[side]), load(spark, e[side], o.cache)
         if kind:
             numbers = genomics.vcf_numbers(genomics.structure(spark, e[side]))
             df = genomics.prepare(df, kind, _options(spark, o, reference=e.get("reference")), numbers)
@@ -233,7 +235,7 @@ def _create(spark: SparkSession, o: argparse.Namespace) -> int:
 
 def _check(spark: SparkSession, o: argparse.Namespace) -> int:
     after = baseline.create(*_tables(spark, o, "after"))
-    rows = baseline.check(spark.read.schema(after.schema).json(o.baseline), after).orderBy("sample", "stage").collect()
+    rows = baseline.check(baseline.validated(spark.read.schema(after.schema).json(o.baseline)), after).orderBy("sample", "stage").collect()
     for r in rows:
         print(f"{'ok  ' if r['passed'] else 'FAIL'} {r['sample']} / {r['stage']}" + (f": {', '.join(r['changed_fields'])}" if r["changed_fields"] else ""))
     if o.json:
@@ -244,7 +246,7 @@ def _check(spark: SparkSession, o: argparse.Namespace) -> int:
 def _matrix(spark: SparkSession, o: argparse.Namespace) -> int:
     digests, options = None, _options(spark, o)
     for path in o.paths:
-        kind, df = genomics.kind_of(path), load(spark, path)
+        kind, df = genomics.kind_of(path), load(spark, path, o.cache)
         if kind:
             df = genomics.prepare(df, kind, options, genomics.vcf_numbers(genomics.structure(spark, path)))
         fields = o.fields or (genomics.fields_for(kind, o.profile) if kind else df.columns)
@@ -267,12 +269,14 @@ def _matrix(spark: SparkSession, o: argparse.Namespace) -> int:
 def _calls(spark: SparkSession, o: argparse.Namespace, path: str) -> DataFrame:
     """(sample, locus, genotype): of a variant file's samples, or of an alignment at known sites, named by the file."""
     if genomics.kind_of(path) == "variant":
-        return identity.genotype_calls(vcf.genotypes(load(spark, path)))
+        return identity.genotype_calls(vcf.genotypes(load(spark, path, o.cache)))
     if not o.sites:
         raise ValueError("--sites is needed for alignments")
     known = load(spark, o.sites).where((F.size("alleles") == 2) & (F.length(F.col("alleles")[0]) == 1) & F.col("alleles")[1].rlike("^[ACGTacgt]$"))
     known = known.select("contig", "pos", F.col("alleles")[0].alias("ref"), F.col("alleles")[1].alias("alt"))
-    reads = genomics.located(load(spark, path), "alignment").where(F.col("flags").bitwiseAND(F.lit(0x704)) == 0)
+    if known.isEmpty():
+        raise ValueError(f"{o.sites} has no site with one alternative of a single base")
+    reads = genomics.located(load(spark, path, o.cache), "alignment").where(F.col("flags").bitwiseAND(F.lit(0x704)) == 0)
     called = identity.pileup(reads, known, o.min_depth)
     return called.select(F.lit(path).alias("sample"), F.to_json(F.struct("contig", "pos", F.array("ref", "alt").alias("alleles"))).alias("locus"), "genotype")
 

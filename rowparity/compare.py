@@ -40,6 +40,7 @@ class Comparison:
     structure: list[str] = field(default_factory=list)
     shifts: list[dict] = field(default_factory=list)
     attribution: dict[str, int] = field(default_factory=dict)
+    examples: list[dict] = field(default_factory=list)
 
     @property
     def equivalent(self) -> bool:
@@ -86,6 +87,7 @@ def compare(
     left: DataFrame, right: DataFrame, keys: list[str], fields: list[str] | None = None, explain: bool = False,
     transitions: list[Column] | None = None, names: tuple[str, str] = ("first", "second"),
     labels: Callable[[DataFrame], Column] | None = None, structure: list[str] | None = None, use: Callable[[DataFrame], None] | None = None,
+    examples: int = 0,
 ) -> Comparison:
     """Compares two tables by ``keys`` over ``fields`` (all shared columns).
 
@@ -93,7 +95,8 @@ def compare(
     matched.  Fields of one side alone, or of another type, are differences
     of structure, unless ``structure`` names those.  ``labels`` makes an array
     of transitions from the changes, instead of ``transitions``; ``use`` is
-    called with the changes before they are let go.
+    called with the changes before they are let go.  The first ``examples``
+    changes in the order of the keys are part of what is found.
     """
     shared = [c for c in left.columns if c in right.columns]
     fields = fields or shared
@@ -127,6 +130,8 @@ def compare(
         moves = labels(found) if labels else transitions if transitions is not None else [F.when(match.differs(found, f), F.lit(f"{f.replace('_', ' ')} changed")) for f in others]
         if labels or moves:
             out.transitions = {r["label"]: r["n"] for r in match.transitions(found, moves).orderBy(F.desc("n"), "label").collect()}
+        if examples:
+            out.examples = [json.loads(r["example"]) for r in match.examples(found, keys, others, examples).collect()]
         if use:
             use(found)
         found.unpersist()

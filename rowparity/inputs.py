@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from . import genomics
+from .cache import cached
 from .compare import Comparison, compare
 from .genomics import Options
 
@@ -25,7 +26,7 @@ class Pair:
     kind: str | None = None
     contigs: dict[str, int | None] | None = None
 
-    def compare(self, names: tuple[str, str] = ("first", "second"), explain: bool = True, use: Callable[[DataFrame], None] | None = None) -> Comparison:
+    def compare(self, names: tuple[str, str] = ("first", "second"), explain: bool = True, use: Callable[[DataFrame], None] | None = None, examples: int = 0) -> Comparison:
         by: dict[str, int] = {}
 
         def seen(found: DataFrame) -> None:
@@ -36,7 +37,7 @@ class Pair:
 
         out = compare(
             self.left, self.right, self.keys, self.fields, explain, names=names, labels=self.labels, structure=self.structure,
-            use=seen if self.kind or use else None,
+            use=seen if self.kind or use else None, examples=examples,
         )
         out.attribution = by
         if explain and self.kind and not out.content_equal:
@@ -44,10 +45,15 @@ class Pair:
         return out
 
 
-def load(spark: SparkSession, path: str) -> DataFrame:
-    """A table by its suffix; Parquet if it has none that is known."""
+def load(spark: SparkSession, path: str, cache: str | None = None) -> DataFrame:
+    """A table by its suffix; Parquet if it has none that is known.
+
+    Decoded alignments and variants are kept in the folder ``cache``.
+    """
     name = path.rstrip("/").lower()
     if genomics.kind_of(path):
+        if cache:
+            return cached(spark, cache, path, lambda: genomics.read(spark, path))
         return genomics.read(spark, path)
     if name.endswith(".cram"):
         raise ValueError(f"{path}: CRAM isn't supported; convert it to BAM")
@@ -70,7 +76,7 @@ def lengths(*structures: dict[str, dict[str, object]]) -> dict[str, int]:
     return out
 
 
-def pair(spark: SparkSession, first: str, second: str, keys: list[str] | None = None, fields: list[str] | None = None, profile: str = "strict", options: Options = Options()) -> Pair:
+def pair(spark: SparkSession, first: str, second: str, keys: list[str] | None = None, fields: list[str] | None = None, profile: str = "strict", options: Options = Options(), cache: str | None = None) -> Pair:
     """Two inputs of one kind; plain tables need ``keys`` and have no profiles.
 
     Keys or fields that are given go before those of the kind.
@@ -83,6 +89,6 @@ def pair(spark: SparkSession, first: str, second: str, keys: list[str] | None =
             raise ValueError("--keys is needed for this kind of file")
         return Pair(load(spark, first), load(spark, second), keys, fields)
     headers = [genomics.structure(spark, p) for p in (first, second)]
-    sides = [genomics.prepare(load(spark, p), kind, options, genomics.vcf_numbers(h)) for p, h in zip((first, second), headers, strict=True)]
+    sides = [genomics.prepare(load(spark, p, cache), kind, options, genomics.vcf_numbers(h)) for p, h in zip((first, second), headers, strict=True)]
     compared = fields or genomics.fields_for(kind, profile)
     return Pair(*sides, keys or genomics.KEYS[kind], compared, lambda found: genomics.labels(found, compared), genomics.structure_messages(*headers), kind, lengths(*headers))

@@ -24,6 +24,31 @@ def create(tables: dict[tuple[str, str], DataFrame], fields: list[str]) -> DataF
     return found
 
 
+def validated(found: DataFrame) -> DataFrame:
+    """``found`` if it is a baseline; else what is wrong with it raises.
+
+    Values may not be missing, as they are where a line can't be read; each
+    stage has one structure, each field once, and the record.
+    """
+    missing = F.lit(False)
+    for c in ("sample", "stage", "structure", "name", *VALUES):
+        missing = missing | F.col(c).isNull()
+    stages = found.groupBy("sample", "stage").agg(
+        F.bool_or(missing).alias("missing"), (F.count("name") > F.count_distinct("name")).alias("repeated"),
+        (F.count_distinct("structure") > 1).alias("structures"), F.bool_or(F.col("name") == "record").alias("whole"),
+    )
+    faults = F.concat_ws(
+        ", ", F.when(F.col("missing"), "missing values"), F.when(F.col("repeated"), "repeated fields"),
+        F.when(F.col("structures"), "several structures"), F.when(~F.coalesce("whole", F.lit(False)), "no record"),
+    ).alias("faults")
+    rows = stages.select("sample", "stage", faults).orderBy(F.col("faults") == "", "sample", "stage").limit(1).collect()
+    if not rows:
+        raise ValueError("the baseline is empty")
+    if rows[0]["faults"]:
+        raise ValueError(f"the baseline's {rows[0]['sample']} / {rows[0]['stage']} has {rows[0]['faults']}")
+    return found
+
+
 def check(before: DataFrame, after: DataFrame) -> DataFrame:
     """(sample, stage, passed, changed_fields): a full outer comparison of two baselines.
 

@@ -312,3 +312,18 @@ def write_changes(found: DataFrame, keys: list[str], fields: list[str], path: st
     for status, suffix, name in (("left_only", "before", "only-in-first"), ("right_only", "after", "only-in-second"), ("modified", "before", "modified-first"), ("modified", "after", "modified-second")):
         found.where(F.col("status") == status).select(*keys, *(F.col(f"{f}_{suffix}").alias(f) for f in fields)).write.parquet(f"{path}/{name}")
     found.unpersist()
+
+
+def examples(found: DataFrame, keys: list[str], fields: list[str], most: int) -> DataFrame:
+    """(example): the first changes by key as JSON, with status, key, and the records before and after.
+
+    Names that begin with an underscore are left out.
+    """
+    shown = [f for f in fields if not f.startswith("_")]
+    record = lambda suffix: F.struct(*(F.col(f"{f}_{suffix}").alias(f) for f in shown)) if shown else F.lit(None).cast("string")
+    both = [
+        F.when(F.col("status") != absent, record(side)).alias(side) for absent, side in (("right_only", "before"), ("left_only", "after"))
+    ]
+    key = F.struct(*(F.col(k) for k in keys if not k.startswith("_"))) if any(not k.startswith("_") for k in keys) else F.lit(None).cast("string")
+    text = F.to_json(F.struct("status", key.alias("key"), *both), {"ignoreNullFields": "false"})
+    return found.select(*keys, text.alias("example")).orderBy(*keys, "example").limit(most).select("example")

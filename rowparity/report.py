@@ -73,6 +73,9 @@ def html(result: Comparison) -> str:
     body = "".join(f"<p>{escape(x)}</p>" for x in findings(result)) + counts + _table(["field", "changes"], [list(x) for x in result.field_changes.items()])
     if result.shifts:
         body += _table(["metric", "distance", "first", "second"], [[x["metric"], f"{x['distance']:.3f}", f"{x['first']:g}", f"{x['second']:g}"] for x in result.shifts])
+    if result.examples:
+        show = lambda x: json.dumps(x, sort_keys=True, ensure_ascii=False)
+        body += _table(["status", "key", "before", "after"], [[x["status"], *(show(x[c]) for c in ("key", "before", "after"))] for x in result.examples])
     states, cells = transition_matrix(result)
     if states:
         body += _table(["from \\ to", *states], [[s, *row] for s, row in zip(states, cells, strict=True)])

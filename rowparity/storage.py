@@ -40,6 +40,23 @@ def delete(spark: SparkSession, folder: str) -> None:
     system.delete(path, True)
 
 
+def listing(spark: SparkSession, path: str) -> list[list]:
+    """[path, bytes, milliseconds] of each file at or below ``path``; a missing one raises."""
+    place, system = _path(spark, path)
+    found, out = system.listFiles(place, True), []
+    while found.hasNext():
+        status = found.next()
+        out.append([status.getPath().toString(), status.getLen(), status.getModificationTime()])
+    return sorted(out)
+
+
+def children(spark: SparkSession, folder: str, mark: str) -> list[str]:
+    """The folders in ``folder`` that have a file ``mark``; none if it doesn't exist."""
+    place, system = _path(spark, folder)
+    found = [s.getPath().toString() for s in system.listStatus(place)] if system.exists(place) else []
+    return sorted(p for p in found if system.exists(_path(spark, f"{p}/{mark}")[0]))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path for a new table or archive in the shared folder."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

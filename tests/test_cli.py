@@ -33,6 +33,27 @@ def test_compare(spark, tree, capsys):
     assert main(["compare", a, str(tree / "none.vcf")], spark) == 2
 
 
+def test_examples_and_cache(spark, tree, capsys):
+    a, c = (str(tree / f"{n}.vcf") for n in "ac")
+    out, kept = tree / "o.json", tree / "kept"
+    args = ["compare", a, c, "--json", str(out), "--html", str(tree / "o.html"), "--cache", str(kept), "--force"]
+    assert main(args, spark) == 1
+    found = json.loads(out.read_text())["examples"]
+    assert [(x["status"], x["key"]["pos"], "0/1" in str(x["before"]), "1/1" in str(x["after"])) for x in found] == [("modified", 20, True, True)]
+    assert "1/1" in (tree / "o.html").read_text()
+    entries = sorted(kept.glob("*/*"))
+    assert len(entries) == 2 and main(args, spark) == 1 and sorted(kept.glob("*/*")) == entries
+    assert main([*args, "--max-examples", "0"], spark) == 1 and json.loads(out.read_text())["examples"] == []
+    for part in kept.glob("*/*/*.parquet"):  # unreadable entries are misses
+        part.write_bytes(b"no")
+    for check in kept.glob("*/*/.*.crc"):
+        check.unlink()
+    assert main(args, spark) == 1 and len(list(kept.glob("*/*"))) == 4
+    vcf(tree / "c.vcf", "0/1", "0/1", "0/1")  # another size
+    assert main(args, spark) == 1 and len(list(kept.glob("*/*"))) == 5
+    assert [x["status"] for x in json.loads(out.read_text())["examples"]] == ["right_only"]
+
+
 def test_batch(spark, tree, capsys):
     out = str(tree / "out")
     assert main(["batch", str(tree / "m.tsv"), "--output", out], spark) == 1
@@ -51,6 +72,14 @@ def test_baseline_and_matrix(spark, tree, capsys):
     assert main(["baseline-create", str(tree / "m.tsv"), str(tree / "base"), *fields], spark) == 0
     assert main(["baseline-check", str(tree / "m.tsv"), str(tree / "base"), *fields], spark) == 1
     assert capsys.readouterr().out == "ok   S / first\nFAIL S / second: samples\n"
+    part = next((tree / "base").glob("*.json"))
+    lines = [x for p in sorted((tree / "base").glob("*.json")) for x in p.read_text().splitlines()]
+    for text, fault in ((lines[0] + "\n{", "missing values"), ("\n".join([*lines, lines[0]]), "repeated fields"), ("", "is empty")):
+        for p in [*(tree / "base").glob("*.json"), *(tree / "base").glob(".*.crc")]:
+            p.unlink()
+        part.write_text(text)
+        assert main(["baseline-check", str(tree / "m.tsv"), str(tree / "base"), *fields], spark) == 2
+        assert fault in capsys.readouterr().err
     assert main(["matrix", *(str(tree / f"{n}.vcf") for n in "abc")], spark) == 0
     assert "0.500" in capsys.readouterr().out
 
