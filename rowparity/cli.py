@@ -121,8 +121,10 @@ def _write_diff(spark: SparkSession, both: Pair, found: DataFrame, first: str, s
             rows = found.where(F.col("status") == status).select(*both.keys, *(F.col(f"{f}_{suffix}").alias(f) for f in others))
             if both.kind == "alignment":
                 bam.write(rows.orderBy("reference", "position", "read_name"), f"{folder}/{name}.bam", *bam.read_alignment_header(source))
+            elif source.lower().endswith(".bcf"):
+                bcf.write(rows, f"{folder}/{name}.bcf", bcf.header(source))
             elif both.kind == "variant":
-                head = bcf.header_text(source) if source.lower().endswith(".bcf") else vcf.header_text(spark, source)
+                head = vcf.header_text(spark, source)
                 joined.write(vcf.lines(rows, head[-1].split("\t")[9:]), f"{folder}/{name}.vcf", head)
             else:
                 rows.write.parquet(f"{folder}/{name}")

@@ -16,7 +16,7 @@ import json
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -253,24 +253,32 @@ class _Part(WriterCommitMessage):
         self.partition, self.path = partition, path
 
 
-class BamWriter(DataSourceWriter):
+class MemberWriter(DataSourceWriter):
     """Writes each partition as a part of members; ``commit`` joins them behind the header."""
 
-    def __init__(self, path: str, text: str, references: list[tuple[str, int]], overwrite: bool):
-        self.path, self.text, self.references, self.overwrite = path, text, references, overwrite
+    def __init__(self, path: str, overwrite: bool):
+        self.path, self.overwrite = path, overwrite
         self.parts = f"{path}.parts-{uuid.uuid4().hex}"
 
+    def head(self) -> bytes:
+        """What comes before the records."""
+        raise NotImplementedError
+
+    def encoder(self) -> Callable[[dict], bytes]:
+        """Makes a record's bytes from a row."""
+        raise NotImplementedError
+
     def write(self, iterator) -> _Part:
         from pyspark import TaskContext
 
-        numbers = {name: k for k, (name, _) in enumerate(self.references)}
+        encode = self.encoder()
         system, folder = _system(self.parts)
         system.create_dir(folder, recursive=True)
         place = f"{folder}/{uuid.uuid4().hex}"
         held = bytearray()
         with system.open_output_stream(place) as out:
             for row in iterator:
-                held += encoded(row.asDict(recursive=True), numbers)
+                held += encode(row.asDict(recursive=True))
                 while len(held) >= MEMBER:
                     out.write(packed(bytes(held[:MEMBER])))
                     del held[:MEMBER]
@@ -280,10 +288,7 @@ class BamWriter(DataSourceWriter):
 
     def commit(self, messages) -> None:
         system, place = _system(self.path)
-        text = self.text.encode()
-        head = b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(self.references))
-        for name, length in self.references:
-            head += struct.pack("<i", len(name) + 1) + name.encode() + b"\0" + struct.pack("<i", length)
+        head = self.head()
         private = f"{place}.{uuid.uuid4().hex}"
         with system.open_output_stream(private) as out:
             for k in range(0, len(head), MEMBER):
@@ -306,6 +311,23 @@ class BamWriter(DataSourceWriter):
             system.delete_dir(folder)
 
 
+class BamWriter(MemberWriter):
+    def __init__(self, path: str, text: str, references: list[tuple[str, int]], overwrite: bool):
+        super().__init__(path, overwrite)
+        self.text, self.references = text, references
+
+    def head(self) -> bytes:
+        text = self.text.encode()
+        out = b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(self.references))
+        for name, length in self.references:
+            out += struct.pack("<i", len(name) + 1) + name.encode() + b"\0" + struct.pack("<i", length)
+        return out
+
+    def encoder(self) -> Callable[[dict], bytes]:
+        numbers = {name: k for k, (name, _) in enumerate(self.references)}
+        return lambda row: encoded(row, numbers)
+
+
 class _File(InputPartition):
     def __init__(self, path: str, start: int | None, end: int | None):
         self.path, self.start, self.end = path, start, end

@@ -1,21 +1,22 @@
-"""BCF files as tables of the same columns as VCF text, by a Python data source.
+"""BCF files as tables of the same columns as VCF text, read and written by a Python data source.
 
 A file is one partition, read as a stream of its BGZF members; what a record
-holds is written as VCF text has it.
+holds is as VCF text has it.  Tasks write parts that the driver joins.
 """
 
 from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .bam import BATCH, _open, _Stream
+from .bam import BATCH, MemberWriter, _open, _Stream
 
 SCHEMA = (
     "contig string, pos long, stop long, identifiers string, alleles array<string>, quality double, filters array<string>,"
@@ -165,10 +166,110 @@ def header_rows(path: str) -> list[tuple[str, str, str | None]]:
         return _header(_Stream(raw)).rows
 
 
-def header_text(path: str) -> list[str]:
-    """The lines of the header, without the numbers that only BCF has."""
+def header(path: str) -> str:
+    """The text of the header, with the numbers that records have for names."""
     with _open(path) as raw:
-        return [re.sub(r",IDX=\d+", "", line) for line in _header(_Stream(raw)).text.splitlines()]
+        return _header(_Stream(raw)).text
+
+
+def _typed(kind: int, n: int, data: bytes = b"") -> bytes:
+    """A value of ``n`` entries behind its type and length."""
+    if n < 15:
+        return bytes([n << 4 | kind]) + data
+    return bytes([15 << 4 | kind]) + _numbers([[n]]) + data
+
+
+def _numbers(rows: list[list[int | None]]) -> bytes:
+    """Rows of integers of the smallest type that holds all, behind one type; short rows end early."""
+    known = [v for row in rows for v in row if v is not None]
+    low, high = min(known, default=0), max(known, default=0)
+    kind = next((k for k, size in ((1, 8), (2, 16), (3, 32)) if -(1 << size - 1) + 8 <= low and high < 1 << size - 1), None)
+    if kind is None:
+        raise ValueError(f"{low if low < 0 else high} is no 32-bit integer of the format")
+    n = max(map(len, rows))
+    values = [MISSING[kind] if v is None else v for row in rows for v in [*row, *[END[kind]] * (n - len(row))]]
+    return _typed(kind, n, struct.pack(f"<{len(values)}{TYPES[kind][0]}", *values))
+
+
+def _floats(rows: list[list[float | None]]) -> bytes:
+    n = max(map(len, rows))
+    data = b""
+    for row in rows:
+        data += b"".join(struct.pack("<I", MISSING_FLOAT) if v is None else struct.pack("<f", v) for v in row)
+        data += struct.pack("<I", END_FLOAT) * (n - len(row))
+    return _typed(5, n, data)
+
+
+def _texts(rows: list[str]) -> bytes:
+    found = [r.encode() for r in rows]
+    n = max(map(len, found))
+    return _typed(7, n, b"".join(f.ljust(n, b"\0") for f in found))
+
+
+def _values(kind: str, texts: list[str]) -> bytes:
+    """Texts of one key, a row each, as values of the header's type; ``.`` is a missing one."""
+    if kind not in ("Integer", "Float"):
+        return _texts(texts)
+    made = int if kind == "Integer" else float
+    rows = [[None if x in ("", ".") else made(x) for x in t.split(",")] for t in texts]
+    return (_numbers if kind == "Integer" else _floats)(rows)
+
+
+def _alleles(genotype: str) -> list[int]:
+    """A genotype's numbers: twice the allele and one more, plus one behind a bar."""
+    found = re.findall(r"([/|]?)([^/|]+)", genotype)
+    return [(0 if a == "." else int(a) + 1 << 1) | (join == "|") for join, a in found]
+
+
+class Encoder:
+    """Makes records of rows by a header's dictionaries; a name that it lacks raises."""
+
+    def __init__(self, text: str):
+        self.header = Header(text)
+        self.strings = {v: k for k, v in self.header.strings.items()}
+        self.contigs = {v: k for k, v in self.header.contigs.items()}
+        self.types = {(s, n): (v or "").rpartition(":")[2] for s, n, v in self.header.rows}
+
+    def _number(self, names: dict[str, int], name: str) -> int:
+        if name not in names:
+            raise ValueError(f"the header doesn't define {name}")
+        return names[name]
+
+    def __call__(self, row: dict) -> bytes:
+        info, alleles, begin = row["info"] or {}, row["alleles"], row["pos"] - 1
+        length = int(info["END"]) - begin if info.get("END", "").isdigit() else len(alleles[0])
+        given = {n: ((row["samples"] or {}).get(n) or {}).get("values") or {} for n in self.header.samples}
+        keys = sorted({k for values in given.values() for k in values}, key=lambda k: (k != "GT", k))
+        quality = struct.pack("<I", MISSING_FLOAT) if row["quality"] is None else struct.pack("<f", row["quality"])
+        shared = struct.pack("<iii", self._number(self.contigs, row["contig"]), begin, length) + quality
+        shared += struct.pack("<HHI", len(info), len(alleles), len(keys) << 24 | len(given))
+        shared += _texts([row["identifiers"] or ""]) + b"".join(_texts([a]) for a in alleles)
+        filters = [self._number(self.strings, f) for f in row["filters"] or []]
+        shared += _numbers([filters]) if filters else _typed(0, 0)
+        for key in sorted(info):
+            kind = self.types.get(("info", key), "String")
+            # a flag, or a key without a value, reads as true
+            value = _typed(0, 0) if info[key] == "true" and kind != "String" else _values(kind, [info[key]])
+            shared += _numbers([[self._number(self.strings, key)]]) + value
+        each = b""
+        for key in keys:
+            texts = [values.get(key) or "." for values in given.values()]
+            each += _numbers([[self._number(self.strings, key)]])
+            each += _numbers([_alleles(t) for t in texts]) if key == "GT" else _values(self.types.get(("format", key), "String"), texts)
+        return struct.pack("<II", len(shared), len(each)) + shared + each
+
+
+class BcfWriter(MemberWriter):
+    def __init__(self, path: str, text: str, overwrite: bool):
+        super().__init__(path, overwrite)
+        self.text = text
+
+    def head(self) -> bytes:
+        text = self.text.rstrip("\0").encode() + b"\0"
+        return b"BCF\2\2" + struct.pack("<I", len(text)) + text
+
+    def encoder(self) -> Callable[[dict], bytes]:
+        return Encoder(self.text)
 
 
 class _File(InputPartition):
@@ -211,8 +312,20 @@ class BcfDataSource(DataSource):
         paths = self.options.get("paths") or self.options["path"]
         return BcfReader(paths.split(","), to_arrow_schema(schema))
 
+    def writer(self, schema, overwrite: bool) -> BcfWriter:
+        return BcfWriter(self.options["path"], self.options["header"], overwrite)
+
 
 def read(spark: SparkSession, *paths: str) -> DataFrame:
     """The records of BCF files."""
     spark.dataSource.register(BcfDataSource)
     return spark.read.format("bcf").option("paths", ",".join(paths)).load()
+
+
+def write(records: DataFrame, path: str, text: str, force: bool = False) -> None:
+    """Writes records (the columns of ``SCHEMA`` but stop) as one BCF file with a header's text, in the order of its contigs."""
+    records.sparkSession.dataSource.register(BcfDataSource)
+    contigs = F.array(*(F.lit(name) for name in Header(text).contigs.values())).cast("array<string>")
+    rows = records.select("contig", "pos", "identifiers", "alleles", F.col("quality").cast("double"), "filters", "info", "samples")
+    rows = rows.orderBy(F.array_position(contigs, F.col("contig")), "pos", "alleles")
+    rows.write.format("bcf").mode("overwrite" if force else "append").option("header", text).save(path)

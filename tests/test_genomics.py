@@ -72,6 +72,42 @@ def test_bcf_equals_vcf(spark, files):
     assert genomics.structure(spark, text) == genomics.structure(spark, packed)
 
 
+WIDE = (
+    "##fileformat=VCFv4.3\n##contig=<ID=chr2,length=9>\n##contig=<ID=chr1,length=99>\n##FILTER=<ID=low,Description=\"x\">\n"
+    + "".join(f"##INFO=<ID={n},Number=.,Type={t},Description=\"x\">\n" for n, t in (("I", "Integer"), ("F", "Float"), ("S", "String"), ("B", "Flag"), ("END", "Integer")))
+    + "".join(f"##FORMAT=<ID={n},Number=.,Type={t},Description=\"x\">\n" for n, t in (("GT", "String"), ("N", "Integer"), ("P", "Float"), ("T", "String")))
+    + "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts1\ts2\n"
+)
+WIDE_LINES = [
+    "chr1\t3\tx;y\tA\t" + "C" * 40 + "\t0.25\tPASS\tI=127,-120,128;S=" + "w" * 300 + "\tGT:N:P:T\t0|1|2:40000,.,-40000:0.5,.:long text\t.:.:.:.",
+    "chr1\t9\t.\tA\t<DEL>\t.\tlow\tB;END=70;F=.;I=" + ",".join(map(str, range(20))) + "\tGT:T\t1/.:\u00e9\t100|101:.",
+    "chr2\t1\t.\tA\tC\t.\t.\t.\tGT\t0\t1",
+]
+
+
+def test_bcf_written_and_read(spark, files, tmp_path):
+    given, out = bcf.read(spark, files[1]), str(tmp_path / "out.bcf")
+    bcf.write(given, out, bcf.header(files[1]))
+    assert sorted(bcf.read(spark, out).collect(), key=lambda r: r.pos) == sorted(given.collect(), key=lambda r: r.pos)
+    with pytest.raises(Exception, match="exists"):
+        bcf.write(given, out, bcf.header(files[1]))
+    (tmp_path / "wide.vcf").write_text(WIDE + "\n".join(WIDE_LINES) + "\n")
+    wide = vcf.read(spark, str(tmp_path / "wide.vcf"))
+    bcf.write(wide, out, WIDE, force=True)
+    assert pair(spark, str(tmp_path / "wide.vcf"), out).compare().equivalent
+    rows = bcf.read(spark, out).collect()
+    assert [(r.contig, r.pos, r.stop) for r in rows] == [("chr2", 1, 1), ("chr1", 3, 3), ("chr1", 9, 70)]
+    assert rows[1].samples["s1"]["values"]["N"] == "40000,.,-40000" and rows[2].samples["s2"]["values"]["GT"] == "100|101"
+    for bad, why in (("chr3", "define chr3"), ("chr1", "32-bit")):
+        row = wide.where("pos = 3").withColumn("contig", F.lit(bad)).withColumn("info", F.expr("map('I', '3000000000')"))
+        with pytest.raises(Exception, match=why):
+            bcf.write(row, str(tmp_path / "bad.bcf"), WIDE)
+    bcf.write(wide.limit(0), str(tmp_path / "none.bcf"), WIDE)
+    assert bcf.read(spark, str(tmp_path / "none.bcf")).count() == 0
+    assert main(["compare", files[1], str(tmp_path / "none.bcf"), "--write-diff", str(tmp_path / "diff")], spark) == 1
+    assert [r.pos for r in bcf.read(spark, str(tmp_path / "diff" / "only-in-first.bcf")).collect()] == [11, 31, 51]
+
+
 def test_bcf_cut_off(spark, files, tmp_path):
     (tmp_path / "c.bcf").write_bytes(gzip.compress(gzip.decompress(open(files[1], "rb").read())[:-3]))
     with pytest.raises(Exception, match="cut off"):
