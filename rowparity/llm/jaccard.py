@@ -1,21 +1,33 @@
-"""Groups of texts whose sets of word shingles are alike, by MinHash and exact verification.
+"""Groups of texts whose sets of word shingles are alike, by SimHash, Golay-code keys and exact verification.
 
 A text's set is that of its five-word shingles (the whole sequence where it
-has fewer words), hashed to 64 bits.  ``BANDS`` keys of ``ROWS`` minima each
-find the candidates: at a similarity s a pair shares none with probability
-(1 - s^ROWS)^BANDS, which is 3 in a million at 0.8 and less above.  A
-candidate pair is a link if the Jaccard similarity of its sets, counted
+has fewer words), hashed to 64 bits.  Its SimHash fingerprint has ``TABLES``
+pairs of 23-bit words and ``CHECKED`` more bits; a bit is the sign of a sum of
+weights of the shingles.  At a similarity of 0.8 two fingerprints differ in
+about 0.15 of their bits, 9.7 of 64, beyond the 4 that op7's one fingerprint
+reaches.  So each pair of words has op7's keys, 9.6 on average: the nearest
+codeword in one word, any within 4 errors in the other.  A pair of texts that
+differs in at most 2 bits of some pair of words shares a key by pigeonhole,
+others often do: at 0.15 in 0.19 of the tables, so that about 3 pairs in a
+million share none of all, and fewer above 0.8.
+
+Texts that meet under a key are compared by the further bits where they
+meet; ``MOST`` of 128 is over six deviations above what 0.8 makes differ.
+A candidate pair is a link if the Jaccard similarity of its sets, counted
 exactly, reaches the threshold.
 
-Before that, pairs that can't reach it are left out by their parity maps: a
-shingle flips one of ``BITS`` bits, so two maps differ in no more bits than the
-sets differ in shingles.  The bound is exact, and it keeps texts that are
-alike, but not enough, from being held against each other shingle by shingle.
+Members of runs that hold many close texts aren't all paired: each is first
+held against one or two others, and pairs from components that are then still
+apart are verified after.  Of those, pairs that can't reach the similarity are
+left out by their parity maps: a shingle flips one of ``BITS`` bits, so two
+maps differ in no more bits than the sets differ in shingles.  The bound is
+exact, and it keeps texts that are alike, but not enough, from being held
+against each other shingle by shingle.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 from operator import add
 
 import numpy as np
@@ -26,19 +38,24 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import dropped, written
-from .simhash import first_of_each
-
-BANDS, ROWS = 32, 5
+from .simhash import codewords, first_of_each, pair_keys
+
+#: Pairs of words in a fingerprint, and how many are taken in a round of a large input.
+TABLES, ROUND = 64, 8
+#: Further bits of a fingerprint, and the most that may differ between candidates.
+CHECKED, MOST = 128, 44
+#: Length of the sketch of a set whose projections are the fingerprint.
+PLACES = 1024
+#: Members of a run of equal keys that are compared as they are, and close pairs of it that are passed on.
+RUN, CLOSE = 64, 3
+#: Keys that are grouped together, about.
+SLICE = 250_000
+ENTRY = np.dtype([("key", "<u4"), ("node", "<i8"), ("low", "<u8"), ("high", "<u8")])
 #: Bits of a parity map.
 BITS = 2048
 WORDS = BITS // 64
 MAP = [f"p{k}" for k in range(WORDS)]
-#: Shingles whose minima are taken together.
-SLICE = 2048
 _random = np.random.default_rng(7)
-_FACTORS = _random.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-_BAND = _random.integers(0, 1 << 63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
-_SALT = _random.integers(0, 1 << 63, BANDS, np.uint64)
 _PLACE = _random.integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -64,12 +81,31 @@ def shingles(text: bytes, words: int = 5) -> np.ndarray:
     return np.unique(_mixed(total))
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """The key of each band of a set that isn't empty."""
-    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), SLICE):
-        least = np.minimum(least, (hashes[at : at + SLICE, None] * _FACTORS).min(axis=0))
-    return _mixed((_mixed(least).reshape(BANDS, ROWS) * _BAND).sum(axis=1, dtype=np.uint64) + _SALT)
+@lru_cache(maxsize=1)
+def _weights() -> np.ndarray:
+    """Whole numbers, so that sums don't depend on their order."""
+    return np.rint(np.random.default_rng(8).normal(0, 16, (PLACES, 46 * TABLES + CHECKED))).astype(np.float32)
+
+
+def prints(sets: list[np.ndarray]) -> np.ndarray:
+    """The SimHash fingerprints of sets, as rows of bytes.
+
+    A shingle adds the weights of four places or takes them off, by its hash;
+    with one place, two shingles of a short text would cancel out too often.
+    """
+    sketch = np.zeros((len(sets), PLACES), np.float32)
+    for row, hashes in zip(sketch, sets, strict=True):
+        for at in range(0, 64, 16):
+            piece = (hashes >> np.uint64(at)).astype(np.int64)
+            row += np.bincount(piece % PLACES, 1 - 2 * (piece >> 15 & 1), PLACES)
+    return np.packbits(sketch @ _weights() > 0, axis=1)
+
+
+def table_keys(found: np.ndarray, tables: range):
+    """For each of ``tables``, (row, key) of the Golay keys of fingerprints (rows of bytes)."""
+    bits, places = np.unpackbits(found, axis=1), 1 << np.arange(23)
+    for table in tables:
+        yield pair_keys(*(codewords(bits[:, at : at + 23] @ places) for at in (46 * table, 46 * table + 23)))
 
 
 def _node(hashes: np.ndarray) -> int:
@@ -77,19 +113,112 @@ def _node(hashes: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, words: int = 5) -> DataFrame:
-    """(doc_id, text_key, node, n, keys) of whole texts: node names the set, n is its size; no keys without words."""
+    """(doc_id, text_key, node, n, print) of whole texts: node names the set, n is its size, print its fingerprint."""
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 sets = [shingles(t or b"", words) for t in batch.column(2).to_pylist()]
-                keys = [band_keys(s).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
-                columns = [pa.array(map(_node, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "text_key", "node", "n", "keys"])
+                found = pa.array([row.tobytes() for row in prints(sets)], pa.binary())
+                columns = [pa.array(map(_node, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), found]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "text_key", "node", "n", "print"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").cast("binary"))
-    return rows.mapInArrow(run, "doc_id long, text_key long, node long, n int, keys array<long>")
+    return rows.mapInArrow(run, "doc_id long, text_key long, node long, n int, print binary")
+
+
+def _entries(nodes: DataFrame, tables: range, slices: int) -> DataFrame:
+    """(part, entries): the keys of the tables, packed with node and further bits, by table and range of keys."""
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                batch = whole.slice(at, 4096)
+                node = batch.column(0).to_numpy()
+                found = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(len(node), -1)
+                more = np.ascontiguousarray(found[:, -CHECKED // 8 :]).view("<u8")
+                parts, packed = [], []
+                for table, (row, key) in zip(tables, table_keys(found, tables), strict=True):
+                    part = key * slices >> 24
+                    order = np.argsort(part, kind="stable")
+                    row, key, part = row[order], key[order], part[order]
+                    each = np.empty(len(key), ENTRY)
+                    each["key"], each["node"], each["low"], each["high"] = key, node[row], more[row, 0], more[row, 1]
+                    starts = np.flatnonzero(np.diff(part, prepend=-1))
+                    parts.extend((table * slices + part[starts]).tolist())
+                    packed.extend(x.tobytes() for x in np.split(each, starts[1:]))
+                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(packed, pa.binary())], names=["part", "entries"])
+
+    return nodes.select("node", "print").mapInArrow(run, "part long, entries binary")
+
+
+def _differ(data: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    return sum(np.bitwise_count(data[c][i] ^ data[c][j]).astype(np.int64) for c in ("low", "high"))
+
+
+def _met(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of entries: pairs (a, b) of close nodes under one key, and (run, node) of runs with more pairs than are told.
+
+    A run's number is that of its nodes, so equal runs under several keys are
+    one.  Its pairs connect each node with the least that is close, or in
+    runs beyond ``RUN`` with the first and the last where these are close.
+    """
+    data = entries[np.lexsort((entries["node"], entries["key"]))]
+    starts = np.flatnonzero(np.diff(data["key"].astype(np.int64), prepend=-1))
+    sizes = np.diff(starts, append=len(data))
+    run = np.repeat(np.arange(len(starts)), sizes)
+    size, end = sizes[run], (starts + sizes)[run]
+    one, two, index = [], [], np.flatnonzero((size > 1) & (size <= RUN))
+    for gap in range(1, RUN):
+        index = index[index + gap < end[index]]
+        if not len(index):
+            break
+        close = index[_differ(data, index, index + gap) <= MOST]
+        one.append(close)
+        two.append(close + gap)
+    one, two = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (one, two))
+    several = np.bincount(run[one], minlength=len(starts))[run[one]] > CLOSE
+    inner = np.unique(np.concatenate([one[several], two[several]]))
+    least = np.full(len(data), len(data))
+    np.minimum.at(least, two[several], one[several])
+    star = np.flatnonzero(least < len(data))
+    large = np.flatnonzero(size > RUN)
+    pairs = [(one[~several], two[~several]), (least[star], star), (starts[run[large]], large), (large, end[large] - 1)]
+    pairs[2:] = [(i[close], j[close]) for i, j in pairs[2:] for close in [_differ(data, i, j) <= MOST]]
+    a, b = (data["node"][np.concatenate(x)] for x in zip(*pairs, strict=True))
+    found = np.unique(np.stack([a, b], axis=1)[a != b], axis=0)
+    members = np.sort(np.concatenate([inner, large]))
+    if not len(members):
+        return found, np.zeros((0, 2), np.int64)
+    first = np.flatnonzero(np.diff(run[members], prepend=-1))
+    names = np.add.reduceat(_mixed(data["node"][members].astype(np.uint64) * _PLACE[0]), first)
+    names = np.repeat(_mixed(names).view(np.int64), np.diff(first, append=len(members)))
+    return found, np.unique(np.stack([names, data["node"][members]], axis=1), axis=0)
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """(run, a, b) of nodes (node, print): pairs that meet, without a run, and members a of runs with pairs left out."""
+
+    def meet(table: pa.Table) -> pa.Table:
+        entries = np.frombuffer(b"".join(table.column("entries").to_pylist()), ENTRY)
+        pairs, runs = _met(entries)
+        none = lambda n: pa.nulls(n, pa.int64())
+        ints = lambda x: pa.array(np.ascontiguousarray(x), pa.int64())
+        columns = [(none(len(pairs)), ints(runs[:, 0])), (ints(pairs[:, 0]), ints(runs[:, 1])), (ints(pairs[:, 1]), none(len(runs)))]
+        return pa.table([pa.chunked_array(c) for c in columns], names=["run", "a", "b"])
+
+    count = nodes.count()
+    slices = -(-10 * max(count, 1) // SLICE)
+    step = ROUND if count > 5_000 else TABLES
+    found = []
+    for at in range(0, TABLES, step):
+        entries = _entries(nodes, range(at, at + step), slices)
+        found.append(written(entries.groupBy("part").applyInArrow(meet, "run long, a long, b long"), "met"))
+    out = written(reduce(DataFrame.union, found).distinct(), "candidates")
+    for table in found:
+        dropped(table)
+    return out
 
 
 def parity_map(hashes: np.ndarray) -> np.ndarray:
@@ -132,32 +261,29 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
 
     Texts are lower-cased in A to Z and cut at ASCII white space; those with
     equal sets are one node, and links lead on.  Texts without words are alike.
-    Each member of a bucket is first held against its least and its greatest
-    one.  Buckets that then lie in one component are done; in the others each
-    pair from different components is verified.
+    The pairs of ``candidates`` are verified first.  Runs that then lie in one
+    component are done; in the others each pair from different components is
+    verified.
     """
     each = written(signatures(docs, words), "signatures")
-    nodes = each.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.min("text_key").alias("text_key"))
+    nodes = each.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("print").alias("print"), F.min("text_key").alias("text_key"))
     nodes = written(nodes, "nodes")
-    keyed = nodes.select("node", "n", F.explode("keys").alias("key"))
-    ends = F.min(F.struct("node", "n")).alias("low"), F.max(F.struct("node", "n")).alias("high")
-    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), *ends).where("size > 1").drop("size")
-    members = written(keyed.join(buckets, "key"), "members")
+    met = candidates(nodes)
     fits = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y)
-    stars = [members.where((F.col("node") != F.col(f"{e}.node")) & fits(F.col("n"), F.col(f"{e}.n"))).select(F.least("node", f"{e}.node").alias("a"), F.greatest("node", f"{e}.node").alias("b")) for e in ("low", "high")]
-    tested = written(stars[0].union(stars[1]).distinct(), "stars")
-    wanted = members.select("node").distinct().join(nodes.select("node", "text_key"), "node")
-    texts = docs.select(F.xxhash64("text").alias("text_key"), "text").join(wanted, "text_key").dropDuplicates(["node"])
+    tested = met.where("run is null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    members = met.where("run is not null").select("run", F.col("a").alias("node"))
+    wanted = tested.select(F.col("a").alias("node")).union(tested.select("b")).union(members.select("node")).distinct()
+    texts = docs.select(F.xxhash64("text").alias("text_key"), "text").join(wanted.join(nodes.select("node", "text_key"), "node"), "text_key").dropDuplicates(["node"])
     sets = written(_sets(texts, words), "sets")
     first = components(_alike(tested, sets, similarity))
-    named = members.select("key", "node", "n").join(first, "node", "left")
+    named = members.join(nodes.select("node", "n"), "node").join(first, "node", "left")
     named = written(named.withColumn("component", F.coalesce("component", "node")), "named")
-    mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    mixed = named.groupBy("run").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("run")
     maps = sets.select("node", F.struct(*MAP).alias("map"))
-    open_ = written(named.join(mixed, "key").join(maps, "node"), "open")
-    other = open_.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("component").alias("its"), F.col("map").alias("its_map"))
+    open_ = written(named.join(mixed, "run").join(maps, "node"), "open")
+    other = open_.select("run", F.col("node").alias("other"), F.col("n").alias("m"), F.col("component").alias("its"), F.col("map").alias("its_map"))
     near = (F.col("component") < F.col("its")) & fits(F.col("n"), F.col("m")) & _may_reach(similarity, "n", "m", "map", "its_map")
-    pairs = open_.join(other, (open_["key"] == other["key"]) & near)
+    pairs = open_.join(other, (open_["run"] == other["run"]) & near)
     pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     rest = written(_alike(pairs.join(tested, ["a", "b"], "left_anti"), sets, similarity), "rest")
     names = [first.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in")) for c in ("a", "b")]
@@ -166,7 +292,7 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
     whole = second.select(F.col("node").alias("component"), F.col("component").alias("whole"))
     out = first.join(whole, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
     out = written(out.union(second).groupBy("node").agg(F.min("component").alias("component")), "linked")
-    for table in (nodes, members, tested, sets, named, open_, rest):
+    for table in (nodes, met, sets, named, open_, rest):
         dropped(table)
     return each.join(out, "node", "left").select("doc_id", "text_key", F.coalesce("component", "node").alias("component"))
 

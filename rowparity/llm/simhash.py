@@ -63,29 +63,34 @@ def _errors() -> tuple[np.ndarray, np.ndarray]:
     return nearest, table
 
 
-def golay_keys(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of the keys of unsigned 64-bit fingerprints."""
+def codewords(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of 23-bit words: the nearest codeword, and those at distance 4 (padded with -1), as their upper 12 bits."""
     nearest, four = _errors()
-    near, others = [], []
-    for at, bits in SEGMENTS:
-        word = (fingerprints >> np.uint64(at) & np.uint64((1 << bits) - 1)).astype(np.int64)
-        syndrome = _syndromes(word)
-        error = four[syndrome]
-        near.append((word ^ nearest[syndrome]) >> 11)
-        others.append(np.where(error < 0, -1, (word[:, None] ^ error) >> 11))
-    rows, keys = [], []
-    index = np.arange(len(fingerprints))
-    for tag, (i, j) in enumerate(combinations(range(3), 2)):
-        rows.append(index)
-        keys.append(tag << 24 | near[i] << 12 | near[j])
-        for first, second in ((others[i], near[j][:, None]), (near[i][:, None], others[j])):
-            both = np.where((first < 0) | (second < 0), -1, tag << 24 | first << 12 | second)
-            row, column = np.nonzero(both >= 0)
-            rows.append(row)
-            keys.append(both[row, column])
+    syndrome = _syndromes(words)
+    error = four[syndrome]
+    return (words ^ nearest[syndrome]) >> 11, np.where(error < 0, -1, (words[:, None] ^ error) >> 11)
+
+
+def pair_keys(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of the 24-bit keys of two words by their ``codewords``: nearest in one, any within 4 in the other."""
+    (near, others), (near2, others2) = one, two
+    index = np.arange(len(near))
+    rows, keys = [index], [near << 12 | near2]
+    for first, second in ((others, near2[:, None]), (near[:, None], others2)):
+        both = np.where((first < 0) | (second < 0), -1, first << 12 | second)
+        row, column = np.nonzero(both >= 0)
+        rows.append(row)
+        keys.append(both[row, column])
     return np.concatenate(rows), np.concatenate(keys)
 
 
+def golay_keys(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of the keys of unsigned 64-bit fingerprints."""
+    found = [codewords((fingerprints >> np.uint64(at) & np.uint64((1 << bits) - 1)).astype(np.int64)) for at, bits in SEGMENTS]
+    rows, keys = zip(*(pair_keys(found[i], found[j]) for i, j in combinations(range(3), 2)), strict=True)
+    return np.concatenate(rows), np.concatenate([tag << 24 | key for tag, key in enumerate(keys)])
+
+
 def simhashes(texts: list[bytes], words: int = 4) -> np.ndarray:
     """The fingerprint of each text, as unsigned 64-bit numbers.
 

@@ -1,6 +1,9 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
+from rowparity.llm import jaccard
 
 
 def test_near_dedup_stage_against_brute_force(spark, documents):
@@ -35,3 +38,42 @@ def test_near_dedup_stage_against_brute_force(spark, documents):
                 one, two = sorted((find(a), find(b)))
                 nodes[two] = one
     assert sorted(row.doc_id for row in corpus_pipeline.near_dedup(spark, documents(list(enumerate(texts)), extra=True), "").collect()) == sorted({find(k) for k in range(len(texts))})
+
+
+def test_candidates_are_all_pairs_that_golay_keys_reach(spark):
+    rng = np.random.default_rng(4)
+    width = (46 * jaccard.TABLES + jaccard.CHECKED) // 8
+    rows = rng.integers(0, 256, (60, width), np.uint8)
+    near = rows.copy()
+    for row, table in zip(near, rng.integers(0, jaccard.TABLES, len(near)), strict=True):  # two bits differ in one pair of words, a half elsewhere
+        bits = np.unpackbits(row)
+        kept = bits[46 * table : 46 * table + 46].copy()
+        kept[rng.choice(46, 2, replace=False)] ^= 1
+        bits[: -jaccard.CHECKED] = rng.integers(0, 2, len(bits) - jaccard.CHECKED)
+        bits[46 * table : 46 * table + 46] = kept
+        row[:] = np.packbits(bits)
+    hot = np.tile(rng.integers(0, 256, width, np.uint8), (80, 1))  # beyond RUN under each key
+    hot[:, -1] ^= np.arange(80, dtype=np.uint8)
+    data = [(k, row.tobytes()) for k, row in enumerate(np.concatenate([rows, near, hot]))]
+    found = jaccard.candidates(spark.createDataFrame(data, "node long, print binary")).collect()
+    pairs = {(r.a, r.b) for r in found if r.run is None}
+    assert {(k, k + 60) for k in range(60)} == {p for p in pairs if p[0] < 120}
+    assert {(120, k) for k in range(121, 200)} <= pairs
+    runs = {}
+    for r in found:
+        if r.run is not None:
+            runs.setdefault(r.run, set()).add(r.a)
+    assert set(range(120, 200)) in runs.values()
+
+
+def test_fingerprints_of_sets_at_the_threshold_meet():
+    rng = np.random.default_rng(9)
+    for shared, own in ((8, 1), (40, 5), (400, 50)):
+        sets = [np.unique(rng.integers(0, 1 << 64, shared + own, np.uint64)) for _ in range(100)]
+        twins = [np.concatenate([s[:shared], rng.integers(0, 1 << 64, own, np.uint64)]) for s in sets]
+        one, two = jaccard.prints(sets), jaccard.prints(twins)
+        met = set()
+        for (row, key), (row2, key2) in zip(*(jaccard.table_keys(x, range(jaccard.TABLES)) for x in (one, two)), strict=True):
+            met |= {int(x) >> 24 for x in np.intersect1d(row << 24 | key, row2 << 24 | key2)}
+        assert met == set(range(100))
+        assert np.bitwise_count(one[:, -16:] ^ two[:, -16:]).sum(axis=1).max() <= jaccard.MOST
