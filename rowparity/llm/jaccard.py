@@ -17,23 +17,24 @@ A candidate pair is a link if the Jaccard similarity of its sets, counted
 exactly, reaches the threshold.
 
 Members of runs that hold many close texts aren't all paired: each is first
-held against one or two others, and pairs from components that are then still
-apart are verified after.  Of those, pairs that can't reach the similarity are
-left out by their parity maps: a shingle flips one of ``BITS`` bits, so two
-maps differ in no more bits than the sets differ in shingles.  The bound is
-exact, and it keeps texts that are alike, but not enough, from being held
-against each other shingle by shingle.
+held against one or two others.  These members alone, one row each, then get
+their keys a second time, and where they meet those from components that are
+still apart are paired and verified after.  Of those, pairs that can't reach
+the similarity are left out by their parity maps: a shingle flips one of
+``BITS`` bits, so two maps differ in no more bits than the sets differ in
+shingles.  The bound is exact, and it keeps texts that are alike, but not
+enough, from being held against each other shingle by shingle.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache, reduce
-from operator import add
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -54,7 +55,10 @@ ENTRY = np.dtype([("key", "<u4"), ("node", "<i8"), ("low", "<u8"), ("high", "<u8
 #: Bits of a parity map.
 BITS = 2048
 WORDS = BITS // 64
-MAP = [f"p{k}" for k in range(WORDS)]
+MEMBER = np.dtype([("node", "<i8"), ("component", "<i8"), ("n", "<i4"), ("map", "<u8", WORDS)])
+MET = np.dtype([("key", "<u4"), ("node", "<i8")])
+#: Pairs whose parity maps are compared at a time, and the words that are compared first.
+AT_ONCE, HEAD = 16_384, 8
 _random = np.random.default_rng(7)
 _PLACE = _random.integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -158,11 +162,10 @@ def _differ(data: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _met(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of entries: pairs (a, b) of close nodes under one key, and (run, node) of runs with more pairs than are told.
+    """Of entries: pairs (a, b) of close nodes under one key, and the nodes of runs with more pairs than are told.
 
-    A run's number is that of its nodes, so equal runs under several keys are
-    one.  Its pairs connect each node with the least that is close, or in
-    runs beyond ``RUN`` with the first and the last where these are close.
+    The pairs of such a run connect each node with the least that is close, or
+    in runs beyond ``RUN`` with the first and the last where these are close.
     """
     data = entries[np.lexsort((entries["node"], entries["key"]))]
     starts = np.flatnonzero(np.diff(data["key"].astype(np.int64), prepend=-1))
@@ -188,43 +191,124 @@ def _met(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     pairs[2:] = [(i[close], j[close]) for i, j in pairs[2:] for close in [_differ(data, i, j) <= MOST]]
     a, b = (data["node"][np.concatenate(x)] for x in zip(*pairs, strict=True))
     found = np.unique(np.stack([a, b], axis=1)[a != b], axis=0)
-    members = np.sort(np.concatenate([inner, large]))
-    if not len(members):
-        return found, np.zeros((0, 2), np.int64)
-    first = np.flatnonzero(np.diff(run[members], prepend=-1))
-    names = np.add.reduceat(_mixed(data["node"][members].astype(np.uint64) * _PLACE[0]), first)
-    names = np.repeat(_mixed(names).view(np.int64), np.diff(first, append=len(members)))
-    return found, np.unique(np.stack([names, data["node"][members]], axis=1), axis=0)
+    return found, np.unique(data["node"][np.concatenate([inner, large])])
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
-    """(run, a, b) of nodes (node, print): pairs that meet, without a run, and members a of runs with pairs left out."""
+    """(run, a, b) of nodes (node, print): pairs that meet, without a run, and with run 0 each node a of runs with pairs left out."""
 
     def meet(table: pa.Table) -> pa.Table:
         entries = np.frombuffer(b"".join(table.column("entries").to_pylist()), ENTRY)
-        pairs, runs = _met(entries)
+        pairs, left = _met(entries)
         none = lambda n: pa.nulls(n, pa.int64())
         ints = lambda x: pa.array(np.ascontiguousarray(x), pa.int64())
-        columns = [(none(len(pairs)), ints(runs[:, 0])), (ints(pairs[:, 0]), ints(runs[:, 1])), (ints(pairs[:, 1]), none(len(runs)))]
+        columns = [(none(len(pairs)), ints(np.zeros_like(left))), (ints(pairs[:, 0]), ints(left)), (ints(pairs[:, 1]), none(len(left)))]
         return pa.table([pa.chunked_array(c) for c in columns], names=["run", "a", "b"])
 
+    return _by_rounds(nodes, lambda tables, slices: _entries(nodes, tables, slices).groupBy("part").applyInArrow(meet, "run long, a long, b long"), "candidates")
+
+
+def _by_rounds(nodes: DataFrame, meet: Callable[[range, int], DataFrame], name: str) -> DataFrame:
+    """The different rows that ``meet`` makes of ranges of tables and the number of slices of their keys."""
     count = nodes.count()
     slices = -(-10 * max(count, 1) // SLICE)
     step = ROUND if count > 5_000 else TABLES
-    found = []
-    for at in range(0, TABLES, step):
-        entries = _entries(nodes, range(at, at + step), slices)
-        found.append(written(entries.groupBy("part").applyInArrow(meet, "run long, a long, b long"), "met"))
-    out = written(reduce(DataFrame.union, found).distinct(), "candidates")
+    found = [written(meet(range(at, at + step), slices), "met") for at in range(0, TABLES, step)]
+    out = written(reduce(DataFrame.union, found).distinct(), name)
     for table in found:
         dropped(table)
     return out
 
 
+def _member_entries(members: DataFrame, tables: range, slices: int) -> DataFrame:
+    """(part, entries, members): like ``_entries``, with each part's members packed once beside their keys."""
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                batch = whole.slice(at, 4096)
+                each = np.empty(batch.num_rows, MEMBER)
+                for k, name in enumerate(("node", "component", "n")):
+                    each[name] = batch.column(k).to_numpy()
+                found = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(len(each), -1)
+                each["map"] = np.frombuffer(b"".join(batch.column(4).to_pylist()), "<u8").reshape(len(each), WORDS)
+                parts, keys, packed = [], [], []
+                for table, (row, key) in zip(tables, table_keys(found, tables), strict=True):
+                    part = key * slices >> 24
+                    for one in np.unique(part):
+                        own = part == one
+                        met = np.empty(own.sum(), MET)
+                        met["key"], met["node"] = key[own], each["node"][row[own]]
+                        parts.append(int(table * slices + one))
+                        keys.append(met.tobytes())
+                        packed.append(each[np.unique(row[own])].tobytes())
+                columns = [pa.array(parts, pa.int64()), pa.array(keys, pa.binary()), pa.array(packed, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "entries", "members"])
+
+    return members.select("node", "component", "n", "print", "map").mapInArrow(run, "part long, entries binary, members binary")
+
+
+def _may_reach(members: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the sets of members i and j, by their sizes and parity maps, can have the similarity."""
+    n, m = members["n"][i].astype(np.int64), members["n"][j].astype(np.int64)
+    out = np.minimum(n, m) >= similarity * np.maximum(n, m)
+    # of n + m shingles, those that differ are at most (1 - s) / (1 + s); a millionth more against rounding
+    most = (n + m) * ((1 - similarity) / (1 + similarity) + 1e-6)
+    for words in (slice(HEAD), slice(WORDS)):
+        maps, left = members["map"][:, words], np.flatnonzero(out)
+        for some in (left[at : at + AT_ONCE] for at in range(0, len(left), AT_ONCE)):
+            differ = np.bitwise_count(maps[i[some]] ^ maps[j[some]]).sum(axis=1, dtype=np.int64)
+            out[some] = differ <= most[some]
+    return out
+
+
+def _apart(entries: np.ndarray, members: np.ndarray, similarity: float) -> np.ndarray:
+    """The pairs (a, b) of members under one key that are of different components and may reach the similarity."""
+    members = members[np.unique(members["node"], return_index=True)[1]]
+    place = np.searchsorted(members["node"], entries["node"])
+    order = np.lexsort((place, members["component"][place], entries["key"]))
+    place, key = place[order], entries["key"][order].astype(np.int64)
+    component = members["component"][place]
+    starts = np.flatnonzero(np.diff(key, prepend=-1))
+    sizes = np.diff(starts, append=len(key))
+    # runs of the same members are one, and those within one component need no pairs
+    names = np.add.reduceat(_mixed(members["node"][place].astype(np.uint64) * _PLACE[0]), starts)
+    once = np.zeros(len(starts), bool)
+    once[np.unique(np.stack([names, sizes.astype(np.uint64)], axis=1), axis=0, return_index=True)[1]] = True
+    once &= component[starts] != component[starts + sizes - 1]
+    first = np.flatnonzero((np.diff(key, prepend=-1) != 0) | (np.diff(component, prepend=0) != 0))
+    other = np.repeat(np.append(first[1:], len(key)), np.diff(first, append=len(key)))  # where the next component begins
+    end = np.repeat(starts + sizes, sizes)
+    index = np.flatnonzero(np.repeat(once, sizes) & (other < end))
+    other = other[index]
+    found = [np.zeros((0, 2), np.int64)]
+    while len(index):
+        i, j = place[index], place[other]
+        near = _may_reach(members, i, j, similarity)
+        if near.any():
+            found.append(np.stack([i[near], j[near]], axis=1))
+        other = other + 1
+        more = other < end[index]
+        index, other = index[more], other[more]
+    pairs = members["node"][np.unique(np.concatenate(found), axis=0)]
+    return np.unique(np.sort(pairs, axis=1), axis=0)
+
+
+def apart(members: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of members (node, component, n, print, map): pairs that meet, of different components, that may reach the similarity."""
+
+    def meet(table: pa.Table) -> pa.Table:
+        packed = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("entries", MET), ("members", MEMBER)))
+        pairs = _apart(*packed, similarity)
+        return pa.table([pa.array(np.ascontiguousarray(pairs[:, k]), pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return _by_rounds(members, lambda tables, slices: _member_entries(members, tables, slices).groupBy("part").applyInArrow(meet, "a long, b long"), "apart")
+
+
 def parity_map(hashes: np.ndarray) -> np.ndarray:
     """For each of ``BITS`` places, whether an odd number of the set's shingles falls there; as 64-bit words."""
     odd = np.bincount((hashes >> np.uint64(7)).astype(np.int64) % BITS, minlength=BITS) & 1
-    return np.packbits(odd.astype(bool)).view(np.int64)
+    return np.packbits(odd.astype(bool)).view("<u8")
 
 
 def _sets(texts: DataFrame, words: int) -> DataFrame:
@@ -234,19 +318,10 @@ def _sets(texts: DataFrame, words: int) -> DataFrame:
                 batch = whole.slice(at, 256)
                 found = [shingles(t or b"", words) for t in batch.column(1).to_pylist()]
                 sets = pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))
-                maps = np.array([parity_map(x) for x in found], np.int64).reshape(-1, WORDS)
-                columns = [pa.array(np.ascontiguousarray(maps[:, k])) for k in range(WORDS)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), sets, *columns], names=["node", "set", *MAP])
-
-    schema = "node long, set array<long>, " + ", ".join(f"{c} long" for c in MAP)
-    return texts.select("node", F.col("text").cast("string").cast("binary")).mapInArrow(run, schema)
+                maps = pa.array([parity_map(x).tobytes() for x in found], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), sets, maps], names=["node", "set", "map"])
 
-
-def _may_reach(similarity: float, n: str, m: str, one: str, two: str) -> Column:
-    """Whether sets of n and m shingles with these parity maps can have the similarity."""
-    differ = reduce(add, (F.bit_count(F.col(f"{one}.{c}").bitwiseXOR(F.col(f"{two}.{c}"))) for c in MAP))
-    # of n + m shingles, those that differ are at most (1 - s) / (1 + s); a millionth more against rounding
-    return differ <= (F.col(n) + F.col(m)) * ((1 - similarity) / (1 + similarity) + 1e-6)
+    return texts.select("node", F.col("text").cast("string").cast("binary")).mapInArrow(run, "node long, set array<long>, map binary")
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -261,30 +336,23 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
 
     Texts are lower-cased in A to Z and cut at ASCII white space; those with
     equal sets are one node, and links lead on.  Texts without words are alike.
-    The pairs of ``candidates`` are verified first.  Runs that then lie in one
-    component are done; in the others each pair from different components is
-    verified.
+    The pairs of ``candidates`` are verified first.  Of the runs with pairs
+    left out, those that then lie in one component are done; in the others
+    each pair from different components is verified.
     """
     each = written(signatures(docs, words), "signatures")
     nodes = each.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("print").alias("print"), F.min("text_key").alias("text_key"))
     nodes = written(nodes, "nodes")
     met = candidates(nodes)
-    fits = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y)
     tested = met.where("run is null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    members = met.where("run is not null").select("run", F.col("a").alias("node"))
-    wanted = tested.select(F.col("a").alias("node")).union(tested.select("b")).union(members.select("node")).distinct()
+    members = met.where("run is not null").select(F.col("a").alias("node"))
+    wanted = tested.select(F.col("a").alias("node")).union(tested.select("b")).union(members).distinct()
     texts = docs.select(F.xxhash64("text").alias("text_key"), "text").join(wanted.join(nodes.select("node", "text_key"), "node"), "text_key").dropDuplicates(["node"])
     sets = written(_sets(texts, words), "sets")
     first = components(_alike(tested, sets, similarity))
-    named = members.join(nodes.select("node", "n"), "node").join(first, "node", "left")
+    named = members.join(nodes.select("node", "n", "print"), "node").join(sets.select("node", "map"), "node").join(first, "node", "left")
     named = written(named.withColumn("component", F.coalesce("component", "node")), "named")
-    mixed = named.groupBy("run").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("run")
-    maps = sets.select("node", F.struct(*MAP).alias("map"))
-    open_ = written(named.join(mixed, "run").join(maps, "node"), "open")
-    other = open_.select("run", F.col("node").alias("other"), F.col("n").alias("m"), F.col("component").alias("its"), F.col("map").alias("its_map"))
-    near = (F.col("component") < F.col("its")) & fits(F.col("n"), F.col("m")) & _may_reach(similarity, "n", "m", "map", "its_map")
-    pairs = open_.join(other, (open_["run"] == other["run"]) & near)
-    pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    pairs = apart(named, similarity)
     rest = written(_alike(pairs.join(tested, ["a", "b"], "left_anti"), sets, similarity), "rest")
     names = [first.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in")) for c in ("a", "b")]
     across = rest.join(names[0], "a", "left").join(names[1], "b", "left").select(F.coalesce("a_in", "a").alias("a"), F.coalesce("b_in", "b").alias("b"))
@@ -292,7 +360,7 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
     whole = second.select(F.col("node").alias("component"), F.col("component").alias("whole"))
     out = first.join(whole, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
     out = written(out.union(second).groupBy("node").agg(F.min("component").alias("component")), "linked")
-    for table in (nodes, met, sets, named, open_, rest):
+    for table in (nodes, met, sets, named, pairs, rest):
         dropped(table)
     return each.join(out, "node", "left").select("doc_id", "text_key", F.coalesce("component", "node").alias("component"))
 

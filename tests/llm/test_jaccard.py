@@ -77,3 +77,42 @@ def test_fingerprints_of_sets_at_the_threshold_meet():
             met |= {int(x) >> 24 for x in np.intersect1d(row << 24 | key, row2 << 24 | key2)}
         assert met == set(range(100))
         assert np.bitwise_count(one[:, -16:] ^ two[:, -16:]).sum(axis=1).max() <= jaccard.MOST
+
+
+def test_members_of_hot_runs_are_one_row_each(spark):
+    rng = np.random.default_rng(5)
+    width = 46 * jaccard.TABLES + jaccard.CHECKED
+    rows = np.packbits(rng.integers(0, 2, width) ^ (rng.random((90, width)) < 0.04), axis=1)  # many different runs
+    found = jaccard.candidates(spark.createDataFrame([(k, row.tobytes()) for k, row in enumerate(rows)], "node long, print binary")).collect()
+    assert sorted(r.a for r in found if r.run is not None) == list(range(90))
+
+
+def test_hot_runs_of_several_components_against_all_pairs(spark, documents):
+    r, rng = random.Random(3), np.random.default_rng(3)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for _ in range(170):  # one template, copies that are about 0.8 alike: some linked, some not
+        copy = list(base)
+        for at in r.sample(range(120), r.choice([1, 2, 3, 4, 5])):
+            copy[at] = f"x{r.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    sets = [jaccard.shingles(t.encode()) for t in texts]
+    nodes = [jaccard._node(s) for s in sets]
+    component = rng.integers(0, 3, len(texts))
+    alike = lambda a, b: 0.8 * len(np.union1d(sets[a], sets[b])) <= len(np.intersect1d(sets[a], sets[b]))
+    pairs = [(a, b) for b in range(len(texts)) for a in range(b) if component[a] != component[b]]
+    wanted = {tuple(sorted((nodes[a], nodes[b]))) for a, b in pairs if alike(a, b)}
+    data = [(n, int(c), len(s), p.tobytes(), jaccard.parity_map(s).tobytes()) for n, c, s, p in zip(nodes, component, sets, jaccard.prints(sets), strict=True)]
+    found = {(p.a, p.b) for p in jaccard.apart(spark.createDataFrame(data, "node long, component long, n int, print binary, map binary"), 0.8).collect()}
+    assert wanted and wanted <= found <= {tuple(sorted((nodes[a], nodes[b]))) for a, b in pairs}
+    assert len(found) < 0.9 * len(pairs)
+
+    links = {k: {k} for k in range(len(texts))}
+    for b in range(len(texts)):
+        for a in range(b):
+            if links[a] is not links[b] and alike(a, b):
+                links[a] |= links[b]
+                links.update({k: links[a] for k in links[a]})
+    grouped = {row.doc_id: row.component for row in jaccard.groups(documents(list(enumerate(texts)))).collect()}
+    assert len(set(grouped.values())) == len({min(x) for x in links.values()})
+    assert all(grouped[k] == grouped[min(x)] for k, x in links.items())
