@@ -1,12 +1,13 @@
 """The multiset match of two tables by an identity key.
 
-Both sides are one tagged union, aggregated by (key, record digest): equal
-records cancel by multiplicity, map-side first, so a key or record that many
-rows share is a few counts before anything is shuffled.  What is left of a key
-is paired until one side is used up (modified); the rest is one-sided.  Keys
-may be null and need not be unique.
+Both sides are one tagged union, aggregated by (key, record digest), or by the
+values themselves where changes are wanted: equal records cancel by
+multiplicity, map-side first, so a key or record that many rows share is a few
+counts before anything is shuffled.  What is left of a key is paired until one
+side is used up (modified); the rest is one-sided.  Keys may be null and need
+not be unique.
 
-Keys and fields travel in two structs, so columns may have any names.
+Keys and fields travel under names of their own, so columns may have any names.
 
 Residual records of a key are paired by one rule, whatever their number: first
 those that differ in one field, then in two, and so on; sets of fields of one
@@ -20,6 +21,7 @@ key.  Both ways give the same pairs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from itertools import combinations
 from math import comb
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.canon import canonical, record_digest
+from ..functions.canon import canonical, joined_digest, record_digest
 from ..storage import dropped, written
 
 #: Residual records of a key that are paired where they are grouped; a matter of the plan, not of the result.
@@ -44,23 +46,43 @@ def _rest(keys: list[str], fields: list[str]) -> list[str]:
     return [f for f in fields if f not in keys]
 
 
-def _tagged(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str], values: bool) -> DataFrame:
-    """(key, digest[, record], n_left, n_right) of every different record of a key."""
+def _tagged(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """(key, digest, n_left, n_right) of every different record of a key."""
     sides = []
     for side, df in enumerate((left, right)):
-        columns = [F.struct(*(df[f"`{k}`"].alias(f"k{i}") for i, k in enumerate(keys))).alias("key"), record_digest(df, fields).alias("digest")]
-        if values:
-            others = [df[f"`{f}`"].alias(f"f{i}") for i, f in enumerate(_rest(keys, fields))]
-            columns.append(F.struct(*others, F.lit(True).alias("present")).alias("record"))
-        sides.append(df.select(*columns, F.lit(1 - side).cast("long").alias("l"), F.lit(side).cast("long").alias("r")))
-    by = ["key", "digest", "record"] if values else ["key", "digest"]
-    return sides[0].union(sides[1]).groupBy(*by).agg(F.sum("l").alias("n_left"), F.sum("r").alias("n_right"))
+        key = F.struct(*(df[f"`{k}`"].alias(f"k{i}") for i, k in enumerate(keys))).alias("key")
+        sides.append(df.select(key, record_digest(df, fields).alias("digest"), F.lit(1 - side).cast("long").alias("l"), F.lit(side).cast("long").alias("r")))
+    return sides[0].union(sides[1]).groupBy("key", "digest").agg(F.sum("l").alias("n_left"), F.sum("r").alias("n_right"))
+
+
+def _flat(field: str, keys: list[str], others: list[str]) -> str:
+    """The name of a key or field among the columns of ``_residuals``."""
+    return f"k{keys.index(field)}" if field in keys else f"f{others.index(field)}"
+
+
+def _residuals(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """(k0, ..., f0, ..., n) of the records that don't cancel; n is how many more the left has, below 0 if the right has more.
+
+    Records are told apart by their values, so most are never digested.  Where
+    the two sides have a column in two types, the values of the union don't
+    tell 1 from "1": the digest of the record as it was is then one more column.
+    """
+    others = _rest(keys, fields)
+    mixed = any(left.schema[c].dataType != right.schema[c].dataType for c in [*keys, *fields])
+    sides = []
+    for df, n in ((left, 1), (right, -1)):
+        columns = [df[f"`{c}`"].alias(_flat(c, keys, others)) for c in [*keys, *others]]
+        if mixed:
+            columns.append(record_digest(df, fields).alias("digest"))
+        sides.append(df.select(*columns, F.lit(n).cast("long").alias("n")))
+    both = sides[0].union(sides[1])
+    return both.groupBy(*both.columns[:-1]).agg(F.sum("n").alias("n")).where("n <> 0")
 
 
 def by_key(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     """(key, identical, rest_left, rest_right) of each key, a struct of k0, k1, ..."""
     same = F.least("n_left", "n_right")
-    return _tagged(left, right, keys, fields, False).groupBy("key").agg(
+    return _tagged(left, right, keys, fields).groupBy("key").agg(
         F.sum(same).alias("identical"),
         F.sum(F.col("n_left") - same).alias("rest_left"),
         F.sum(F.col("n_right") - same).alias("rest_right"),
@@ -68,9 +90,8 @@ def by_key(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str]
 
 
 def _large() -> Column:
-    """Whether a key's residual records are too many to be paired together."""
-    both = (F.col("rest_left") > 0) & (F.col("rest_right") > 0)
-    return both & (F.col("rest_left") + F.col("rest_right") > TOGETHER)
+    """Whether a key's residual records are too many to be grouped."""
+    return F.col("rest_left") + F.col("rest_right") > TOGETHER
 
 
 def _sums() -> list[Column]:
@@ -92,7 +113,7 @@ def totals(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str]
 
 
 def totals_and_large(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
-    """``totals`` with large: whether ``changes`` has a key to pair in steps."""
+    """``totals`` with large: whether ``changes`` has a key that isn't grouped."""
     return by_key(left, right, keys, fields).agg(*_sums(), F.coalesce(F.bool_or(_large()), F.lit(False)).alias("large"))
 
 
@@ -100,7 +121,7 @@ def residual_counts(left: DataFrame, right: DataFrame, keys: list[str], fields:
     """One row: left_rest and right_rest, the records left after cancelling."""
     same = F.least("n_left", "n_right")
     sums = {"left_rest": F.col("n_left") - same, "right_rest": F.col("n_right") - same}
-    found = _tagged(left, right, keys, fields, False)
+    found = _tagged(left, right, keys, fields)
     return found.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in sums.items()))
 
 
@@ -120,24 +141,34 @@ def _levels(n: int) -> int:
     return n
 
 
-def _paired_together(rows: DataFrame, n: int) -> DataFrame:
-    """(key, before, after) of the residual records (key, is_left, place, marks, record) of keys with few."""
+def _paired_together(rest: DataFrame, n: int, told: Callable[[Column], tuple[Column, list[Column]]]) -> DataFrame:
+    """(key, before, after) of the residual records (k0, ..., record, is_left, copy[, digest]) of keys with few.
+
+    ``told`` gives the digest and the marks of such a row.  Only keys that have
+    a choice of pairs need them, so they are made after the grouping.
+    """
     levels = _levels(n)
-    item = F.struct("place", "marks", "record")
+    ks = [c for c in rest.columns if c[0] == "k"]
+    item = F.struct("copy", *(c for c in ("digest",) if c in rest.columns), "record")
     sides = {"lefts": F.col("is_left"), "rights": ~F.col("is_left")}
-    group = rows.groupBy("key_digest").agg(F.first("key").alias("key"), *(F.collect_list(F.when(c, item)).alias(name) for name, c in sides.items()))
-    by_place = lambda a, b: F.when(a["place"] < b["place"], -1).when(a["place"] > b["place"], 1).otherwise(0)
-    group = group.select("key", *(F.array_sort(name, by_place).alias(name) for name in sides))
-    fields = F.array(*(F.lit(k) for k in range(n))).cast("array<int>")
+    group = rest.groupBy(*ks).agg(*(F.collect_list(F.when(c, item)).alias(name) for name, c in sides.items()))
+
+    def known(x: Column) -> Column:
+        digest, marks = told(x)
+        return F.struct(_place(digest, x["copy"]).alias("place"), F.array(*marks).cast("array<string>").alias("marks"))
 
     def pair(left: Column, i: Column, right: Column, j: Column) -> Column:
-        other = F.filter(fields, lambda k: F.get(left["marks"], k) != F.get(right["marks"], k))
-        size = F.size(other)
-        told = size <= levels
-        which = F.when(told, other).otherwise(F.array().cast("array<int>"))
-        return F.struct(F.when(told, size).otherwise(levels + 1).alias("size"), which.alias("which"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+        which = F.concat(F.lit(""), *(F.when(left["marks"][k] == right["marks"][k], "1").otherwise("0") for k in range(n)))  # in the order of the sets' fields
+        size = F.length(F.translate(which, "1", ""))
+        near = size <= levels
+        return F.struct(
+            F.when(near, size).otherwise(levels + 1).alias("size"), F.when(near, which).otherwise("").alias("which"),
+            left["place"].alias("first"), right["place"].alias("second"), i.cast("int").alias("i"), j.cast("int").alias("j"),
+        )
 
-    both = F.transform("lefts", lambda x, i: F.transform("rights", lambda y, j: pair(x, i, y, j)))
+    # an array of one, as a name for what is made once
+    both = F.array(F.struct(F.transform("lefts", known).alias("l"), F.transform("rights", known).alias("r")))
+    both = F.flatten(F.transform(both, lambda s: F.flatten(F.transform(s["l"], lambda x, i: F.transform(s["r"], lambda y, j: pair(x, i, y, j))))))
     none = F.array().cast("array<int>")
     start = F.struct(none.alias("used_left"), none.alias("used_right"))
 
@@ -148,9 +179,10 @@ def _paired_together(rows: DataFrame, n: int) -> DataFrame:
         )
         return F.when(free, more).otherwise(state)
 
-    group = group.withColumn("taken", F.aggregate(F.array_sort(F.flatten(both)), start, take))
+    single = (F.size("lefts") <= 1) & (F.size("rights") <= 1)
+    group = group.withColumn("taken", F.when(~single, F.aggregate(F.array_sort(both), start, take)))
     record = lambda items, k: F.get(items, k)["record"]
-    nothing = F.lit(None).cast(rows.schema["record"].dataType)
+    nothing = F.lit(None).cast(rest.schema["record"].dataType)
     row = lambda a, b: F.struct(a.alias("before"), b.alias("after"))
     modified = F.zip_with("taken.used_left", "taken.used_right", lambda i, j: row(record(F.col("lefts"), i), record(F.col("rights"), j)))
     free = lambda items, used: F.filter(items, lambda x, k: ~F.array_contains(used, k.cast("int")))
@@ -158,11 +190,13 @@ def _paired_together(rows: DataFrame, n: int) -> DataFrame:
         F.transform(free(F.col("lefts"), F.col("taken.used_left")), lambda x: row(x["record"], nothing)),
         F.transform(free(F.col("rights"), F.col("taken.used_right")), lambda x: row(nothing, x["record"])),
     ]
-    return group.select("key", F.explode(F.concat(modified, *alone)).alias("p")).select("key", "p.before", "p.after")
+    one = F.array(row(record(F.col("lefts"), F.lit(0)), record(F.col("rights"), F.lit(0))))
+    found = F.when(single, one).otherwise(F.concat(modified, *alone))
+    return group.select(F.struct(*ks).alias("key"), F.explode(found).alias("p")).select("key", "p.before", "p.after")
 
 
 def _paired_in_steps(rows: DataFrame, n: int) -> DataFrame:
-    """As ``_paired_together``, a set of fields at a time."""
+    """As ``_paired_together``, a set of fields at a time, of (key_digest, key, is_left, record, marks, place)."""
     rest = written(rows, "residuals")
     done = []
     every = tuple(range(n))
@@ -206,39 +240,49 @@ def _step(rest: DataFrame, block: Column) -> DataFrame:
 def changes(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str], large: bool | None = None) -> DataFrame:
     """A row for each change: (*keys, status, <field>_before, <field>_after ...).
 
-    status is modified, left_only or right_only.  ``large`` says whether some
-    key has too many residual records to be paired where they are grouped, as
-    ``totals_and_large`` finds it; else that is counted first.  Columns that
-    would have one name in the result raise.
+    status is modified, left_only or right_only.  The records that don't cancel
+    are written first, so each side is read once.  ``large`` says whether some
+    key has too many of them to be grouped, as ``totals_and_large`` finds it;
+    else they are counted.  Columns that would have one name in the result
+    raise.
     """
     others = _rest(keys, fields)
     names = [*keys, "status", *(f"{f}_{when}" for f in others for when in ("before", "after"))]
     if len({n.lower() for n in names}) < len(names):
         raise ValueError(f"rename columns: two of the result's would have one name ({', '.join(names)})")
+    rest = written(_residuals(left, right, keys, fields), "residuals")
+    ks = [f"k{i}" for i in range(len(keys))]
     if large is None:
-        large = totals_and_large(left, right, keys, fields).first()["large"]
-    found = _tagged(left, right, keys, fields, True)
-    n = F.abs(F.col("n_left") - F.col("n_right"))
-    rest = found.where("n_left <> n_right").select(
-        "key", "digest", "record", (F.col("n_left") > F.col("n_right")).alias("is_left"), n.alias("n"),
-        record_digest(found, ["key"]).alias("key_digest"),
-    )
-    count = lambda is_left: F.sum(F.when(F.col("is_left") == F.lit(is_left), F.col("n")).otherwise(0))
-    sizes = rest.groupBy("key_digest").agg(count(True).alias("rest_left"), count(False).alias("rest_right"))
-    rest = rest.join(sizes, "key_digest")
-    two_sided = (F.col("rest_left") > 0) & (F.col("rest_right") > 0)
-
-    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy")
-    alone = rest.where(~two_sided).select("key", "is_left", "record", copies)
-    nothing = F.lit(None).cast(rest.schema["record"].dataType)
-    out = alone.select("key", F.when(F.col("is_left"), F.col("record")).otherwise(nothing).alias("before"), F.when(~F.col("is_left"), F.col("record")).otherwise(nothing).alias("after"))
-
-    kinds = rest.schema["record"].dataType
-    marks = F.array(*(_mark(F.col("record")[f"f{i}"], kinds[f"f{i}"].dataType) for i in range(len(others)))).cast("array<string>")
-    rows = rest.where(two_sided).select("*", copies).select("key_digest", "key", "is_left", "record", marks.alias("marks"), _place(F.col("digest"), F.col("copy")).alias("place"), _large().alias("large"))
-    out = out.union(_paired_together(rows.where("not large").drop("large"), len(others)))
+        most = rest.groupBy(*ks).agg(F.sum(F.abs("n")).alias("n")).agg(F.max("n")).first()[0]
+        large = (most or 0) > TOGETHER
+    fs = [f"f{i}" for i in range(len(others))]
+    kinds = {f.name: f.dataType for f in rest.schema.fields}
+    mixed = "digest" in rest.columns
+
+    def told(x: Column | None = None) -> tuple[Column, list[Column]]:
+        digests = {k: _mark(F.col(k), kinds[k]) for k in ks} | {f: _mark(x["record"][f] if x is not None else F.col("record")[f], kinds[f]) for f in fs}
+        whole = (x["digest"] if x is not None else F.col("digest")) if mixed else joined_digest([digests[_flat(f, keys, others)] for f in fields])
+        return whole, [digests[f] for f in fs]
+
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.abs("n"))).alias("copy")
+    rest = rest.select(*ks, F.struct(*fs, F.lit(True).alias("present")).alias("record"), (F.col("n") > 0).alias("is_left"), "n", *(["digest"] if mixed else []))
     if large:
-        out = out.union(_paired_in_steps(rows.where("large").drop("large"), len(others)))
+        rest = rest.withColumn("key", F.struct(*ks))
+        rest = rest.withColumn("key_digest", record_digest(rest, ["key"]))
+        count = lambda is_left: F.sum(F.when(F.col("is_left") == F.lit(is_left), F.abs("n")).otherwise(0))
+        sizes = rest.groupBy("key_digest").agg(count(True).alias("rest_left"), count(False).alias("rest_right")).where(_large())
+        few = rest.join(sizes, "key_digest", "left_anti").drop("key", "key_digest")
+        many = rest.join(sizes, "key_digest")
+        two_sided = (F.col("rest_left") > 0) & (F.col("rest_right") > 0)
+        nothing = F.lit(None).cast(rest.schema["record"].dataType)
+        record = lambda is_left: F.when(F.col("is_left") == F.lit(is_left), F.col("record")).otherwise(nothing)
+        alone = many.where(~two_sided).select("key", record(True).alias("before"), record(False).alias("after"), copies).drop("copy")
+        digest, marks = told()
+        many = many.where(two_sided).select("*", copies)
+        many = many.select("key_digest", "key", "is_left", "record", F.array(*marks).cast("array<string>").alias("marks"), _place(digest, F.col("copy")).alias("place"))
+        out = alone.union(_paired_in_steps(many, len(others))).union(_paired_together(few.select("*", copies), len(others), told))
+    else:
+        out = _paired_together(rest.select("*", copies), len(others), told)
     status = F.when(F.col("before").isNotNull() & F.col("after").isNotNull(), "modified").when(F.col("before").isNotNull(), "left_only").otherwise("right_only")
     value = [F.col(when)[f"f{i}"].alias(f"{f}_{when}") for when in ("before", "after") for i, f in enumerate(others)]
     return out.select(*(F.col("key")[f"k{i}"].alias(k) for i, k in enumerate(keys)), status.alias("status"), *value)

@@ -72,6 +72,21 @@ def test_many_residual_records_of_one_key(spark):
     assert {(r.status, r.same): r["count"] for r in found} == {("modified", True): n // 2 - 1, ("left_only", None): 2}
 
 
+def test_changes_read_each_side_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(row):
+        read.add(1)
+        return row
+
+    left = [(k, x, n) for k in range(40) for x, n in (("x", 1), ("y", 2), ("z", 3))]
+    right = [(k, x, n + (k % 3 == 0)) for k, x, n in left if x != "z" or k % 5]
+    a, b = (spark.createDataFrame(spark.sparkContext.parallelize(rows, 3).map(seen), SCHEMA) for rows in (left, right))
+    found = Counter(r.status for r in match.changes(a, b, ["k"], FIELDS).collect())
+    assert [found[s] for s in ("modified", "left_only", "right_only")] == brute(left, right)[1:]
+    assert read.value == len(left) + len(right)
+
+
 def test_columns_may_have_any_names(spark):
     names = ["n", "side", "digest", "l", "r", "n_left", "k_left", "key", "record", "present", "f0", "k0", "place", "a.b"]
     schema = "k int, " + ", ".join(f"`{c}` bigint" for c in names)
