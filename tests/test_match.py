@@ -87,6 +87,24 @@ def test_changes_read_each_side_once(spark):
     assert read.value == len(left) + len(right)
 
 
+def test_records_cancel_by_values_and_kinds(spark, monkeypatch):
+    plans = []
+
+    def kept(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return match_written(df, name)
+
+    match_written = match.written
+    monkeypatch.setattr(match, "written", kept)
+    a = spark.createDataFrame([(1, "x", 1), (1, "x", 1), (2, None, 2), (None, "z", 3)], SCHEMA)
+    b = spark.createDataFrame([(1, "x", 1), (2, None, 4), (None, "z", 3), (3, "y", None)], SCHEMA)
+    counts = lambda left, right: Counter(r.status for r in match.changes(left, right, ["k"], FIELDS).collect())
+    assert counts(a, b) == {"left_only": 1, "modified": 1, "right_only": 1}
+    assert len(plans) == 1 and "md5" not in plans[0]
+    # 1 and "1" differ, though a union has one type for both
+    assert counts(a, b.withColumn("b", F.col("b").cast("string"))) == {"left_only": 1, "modified": 3, "right_only": 1}
+
+
 def test_columns_may_have_any_names(spark):
     names = ["n", "side", "digest", "l", "r", "n_left", "k_left", "key", "record", "present", "f0", "k0", "place", "a.b"]
     schema = "k int, " + ", ".join(f"`{c}` bigint" for c in names)
